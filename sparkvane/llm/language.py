@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import held_out, read
+from .shared import held_out, read, sliced, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP, MAX_LABELS = 300, 1000
@@ -57,10 +57,10 @@ def learn(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, np.
             keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
             return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-        for batch in batches:
+        for part, some in sliced(batches, 0):
             texts: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if (g := grams(text.as_py())) is not None:
+            for text, lang in zip(some, part.column(1).to_pylist(), strict=True):
+                if (g := grams(text)) is not None:
                     texts.setdefault(lang, []).append(g)
             for lang, gs in texts.items():
                 own = have.setdefault(lang, [])
@@ -71,6 +71,7 @@ def learn(docs: DataFrame, label: str = "lang", top: int = TOP) -> dict[str, np.
             keys, n = fold(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys), pa.array(n)], names=["label", "gram", "n"])
 
+    small_batches(docs.sparkSession)
     counted = docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).cast("string").alias("label")).mapInArrow(counts, "label string, gram long, n long")
     totals = counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
     best = totals.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= top)
@@ -102,15 +103,16 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
     names = np.array([*labels, "und"], dtype=object)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in sliced(batches, 1):
             best, score = np.full(len(batch), len(labels)), np.zeros(len(batch))
-            for i, text in enumerate(batch.column(1)):
-                if labels and text.is_valid and (g := grams(text.as_py())) is not None:
+            for i, text in enumerate(texts):
+                if labels and text and (g := grams(text)) is not None:
                     d = distances(own := ranking(g, top), known, ranks, top)
                     best[i] = int(np.argmin(d))
                     score[i] = 1 - d[best[i]] / (top * len(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(predict, schema)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, token_files
+from . import jaccard, language, token_files, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_vectors": vectors.query,
     "op5_language_id": language.query,
+    "op7_jaccard_join": jaccard.query,
     "op10_token_files": token_files.query,
 }
 

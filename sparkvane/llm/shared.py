@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,5 +62,19 @@ def parts_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(n: int, size: int) -> Iterable[slice]:
-    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+def sliced(batches: Iterator[pa.RecordBatch], text: int, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches again, each with its texts and about `chars` bytes of them, however long the texts are."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        s = 0
+        while s < len(batch):
+            e = max(s + 1, int(np.searchsorted(size, (size[s - 1] if s else 0) + chars)))
+            part = batch.slice(s, e - s)
+            yield part, part.column(text).to_pylist()
+            s = e
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python workers at most so many rows at once: texts are long, and a worker holds a batch whole."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

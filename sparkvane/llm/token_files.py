@@ -11,11 +11,14 @@ by side; rows whose doc_id is null come first. Other columns are ignored, whatev
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import range_coder
-from .shared import parts_for, read, shared_dir
+from .shared import parts_for, read, shared_dir, sliced, small_batches
 
 BLOCK_IDS, LANES, END_ID = 1_500_000, 4096, 2
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: The pre-tokens of byte-level BPE, as the tokenizers library documents its ByteLevel pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which every Unicode version agrees; a text of others goes to the library as a whole.
@@ -45,9 +48,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """The library's encoding of texts; the ids of a pre-token are asked of the library once and kept."""
+    """The library's encoding of texts; the ids of a pre-token are asked of the library once and kept.
+
+    Two generations of at most CACHE_WORDS words each are kept, so memory is bounded and frequent words stay.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,17 +63,29 @@ class Encoder:
         self.by_word = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and kind.endswith("None")
         self.find = regex.compile(PRE_TOKEN).findall
         self.kept: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, text: str) -> list[int]:
-        if not self.by_word or ODD.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        found, kept = self.find(text), self.kept
-        if missing := [w for w in dict.fromkeys(found) if w not in kept]:
-            if len(kept) > CACHE_WORDS:
-                kept.clear()
-                missing = list(dict.fromkeys(found))
-            kept.update(zip(missing, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-        return [i for w in found for i in kept[w]]
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [not self.by_word or ODD.search(t) is not None for t in texts]
+        found = [[] if w else self.find(t) for t, w in zip(texts, whole, strict=True)]
+        if len(self.kept) > CACHE_WORDS:
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        missing = []
+        for w in set().union(*found).difference(kept):
+            if w in older:
+                kept[w] = older[w]
+            else:
+                missing.append(w)
+        if missing:
+            kept.update(zip(missing, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)], strict=True))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if w else list(chain.from_iterable(map(kept.__getitem__, f))), np.int32) for t, w, f in zip(texts, whole, found, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process, which serves many tasks."""
+    return Encoder(path)
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocab: int) -> bytes:
@@ -88,7 +107,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
     """Write the ids of docs (doc_id, text) to path, in ascending order of doc_id."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_for(tokenizer), TaskContext.get().partitionId()
         vocab = max(encoder.vocab, end_id + 1)
         doc_ids: list = []
         lengths: list[int] = []
@@ -99,9 +118,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
             row = [part], [number], [have], [len(doc_ids)], [pack(doc_ids, lengths, np.concatenate(chunks), vocab)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=BLOCKS.names)
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encoder(text.as_py() or ""), end_id], np.int32)
+        for batch, texts in sliced(batches, 1):
+            for key, ids in zip(batch.column(0).to_pylist(), encoder([t or "" for t in texts]), strict=True):
+                ids = np.append(ids, np.int32(end_id))
                 if have and have + len(ids) > block_ids:
                     yield close()
                     doc_ids, lengths, chunks, have, number = [], [], [], 0, number + 1
@@ -113,6 +132,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
             yield close()
 
     spark = docs.sparkSession
+    small_batches(spark)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_for(spark), "doc_id").sortWithinPartitions("doc_id")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
