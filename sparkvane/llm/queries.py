@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, token_files, vectors
+from . import jaccard, language, repeats, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": vectors.query,
+    "op4_toxicity": toxicity.query,
     "op5_language_id": language.query,
+    "op6_repeats": repeats.query,
     "op7_jaccard_join": jaccard.query,
     "op10_token_files": token_files.query,
 }
