@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, repeats, token_files, toxicity, vectors
+from . import jaccard, language, line_templates, mixing, repeats, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": vectors.query,
+    "op3_line_templates": line_templates.query,
     "op4_toxicity": toxicity.query,
     "op5_language_id": language.query,
     "op6_repeats": repeats.query,
     "op7_jaccard_join": jaccard.query,
+    "op8_mixing": mixing.query,
     "op10_token_files": token_files.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_templates": line_templates.SQL,
+    "op8_mixing": mixing.SQL,
+}
