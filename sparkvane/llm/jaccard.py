@@ -209,7 +209,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF
     classes = cut(sketched.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("cls"), F.countDistinct("doc_id").alias("n"), F.first("sketch").alias("sketch")), "classes")
     sk = classes.select("cls", "sketch")
 
-    level = sk.crossJoin(F.broadcast(sk.sparkSession.range(runs_for(threshold=threshold)).select(F.xxhash64("id").alias("node")))).select("cls", "node", "sketch").mapInArrow(_split, "cls long, node long")
+    starts = F.transform(F.sequence(F.lit(1), F.lit(runs_for(threshold=threshold))), lambda r: F.xxhash64(r))
+    level = sk.select("cls", F.explode(starts).alias("node"), "sketch").mapInArrow(_split, "cls long, node long")
     trees = []
     for depth in range(1, DEPTH + 1):
         level = cut(level, f"nodes-{depth}")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, line_templates, mixing, repeats, token_files, toxicity, vectors
+from . import jaccard, language, line_templates, mixing, pages, repeats, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_vectors": vectors.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_repeats": repeats.query,
     "op7_jaccard_join": jaccard.query,
     "op8_mixing": mixing.query,
+    "op9_pages": pages.query,
     "op10_token_files": token_files.query,
 }
 
