@@ -93,28 +93,36 @@ def distances(own: np.ndarray, known: np.ndarray, ranks: np.ndarray, top: int) -
     return np.abs(ranks[:, at[hit]] - np.flatnonzero(hit)).clip(max=top).sum(axis=1) + top * int((~hit).sum())
 
 
+class Predictor:
+    """The nearest profile of one text after another."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], top: int = TOP):
+        self.labels, self.top = sorted(profiles), top
+        self.known = np.unique(np.concatenate([profiles[k] for k in self.labels])) if self.labels else np.zeros(0, np.int64)
+        self.ranks = np.full((len(self.labels), len(self.known)), top, np.int64)
+        for i, k in enumerate(self.labels):
+            self.ranks[i, np.searchsorted(self.known, profiles[k])] = np.arange(len(profiles[k]))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        """The label, and how much nearer than not at all its profile is."""
+        if not self.labels or not text or (g := grams(text)) is None:
+            return "und", 0.0
+        d = distances(own := ranking(g, self.top), self.known, self.ranks, self.top)
+        best = int(np.argmin(d))
+        return self.labels[best], 1 - d[best] / (self.top * len(own))
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """docs (doc_id, text) with lang_pred and score: how much nearer than not at all the best profile is."""
-    labels = sorted(profiles)
-    known = np.unique(np.concatenate([profiles[k] for k in labels])) if labels else np.zeros(0, np.int64)
-    ranks = np.full((len(labels), len(known)), top, np.int64)
-    for i, k in enumerate(labels):
-        ranks[i, np.searchsorted(known, profiles[k])] = np.arange(len(profiles[k]))
-    names = np.array([*labels, "und"], dtype=object)
+    """docs (doc_id, text) with lang_pred and score."""
+    small_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in sliced(batches, 1):
-            best, score = np.full(len(batch), len(labels)), np.zeros(len(batch))
-            for i, text in enumerate(texts):
-                if labels and text and (g := grams(text)) is not None:
-                    d = distances(own := ranking(g, top), known, ranks, top)
-                    best[i] = int(np.argmin(d))
-                    score[i] = 1 - d[best[i]] / (top * len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+        nearest = Predictor(profiles, top)
+        for part, texts in sliced(batches, 1):
+            got = [nearest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(predict, schema)
 
 
@@ -125,10 +133,16 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that have a language; those of `und` go."""
+    """Stage: the documents that have a language, with all their columns; those of `und` go."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))))
-    found = identify(docs, profiles).where("lang_pred <> 'und'").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi")
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = Predictor(profiles)
+        for part, texts in sliced(batches, at):
+            yield part.filter(pa.array([nearest(t)[0] != "und" for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ Targets are shares by value of a dimension, or by default every value's own shar
 power SMOOTHING, which lifts the rare ones. A document's tokens are its characters over four, one at
 least. Null sources, languages and texts are the values `none`, `und` and an empty text. A value that
 targets lack gets nothing. An empty table gives no rows. Rows that repeat a doc_id share one draw and
-a null doc_id is drawn as `null`; other columns are kept by `mix` and ignored by the query.
+a null doc_id is drawn as `null`; other columns are ignored by `mix` and kept by the stage.
 """
 
 from __future__ import annotations
@@ -75,8 +75,8 @@ def given_targets(cells: DataFrame, targets: dict[str, dict[str, float]]) -> Dat
     return cells
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION) -> DataFrame:
-    """docs (doc_id, text, lang, source, ...) with _source, _lang, _topic, _tokens, _draw, weight, probability and kept."""
+def _drawn(docs: DataFrame, targets: dict[str, dict[str, float]] | None, fraction: float) -> DataFrame:
+    """docs with _source, _lang, _topic, _tokens, _draw, _weight and _probability."""
     rows = placed(docs)
     cells = rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
     cells = cut(cells, "counts")
@@ -92,18 +92,25 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fra
         if abs(new - scale) <= 1e-12 * max(scale, 1.0):
             break
         scale = new
-    chance = raked.select("_source", "_lang", "_topic", "weight", F.least(F.lit(1.0), F.lit(scale) * F.col("weight")).alias("probability"))
-    return rows.join(chance, ["_source", "_lang", "_topic"]).withColumn("kept", F.col("_draw") < F.col("probability"))
+    chance = raked.select("_source", "_lang", "_topic", F.col("weight").alias("_weight"), F.least(F.lit(1.0), F.lit(scale) * F.col("weight")).alias("_probability"))
+    return rows.join(chance, ["_source", "_lang", "_topic"])
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, weight, probability and kept for every row of docs (doc_id, text, lang, source)."""
+    done = _drawn(docs.select("doc_id", "text", "lang", "source"), targets, fraction)
+    named = [F.col(f"_{k}").alias(k) for k in ("source", "lang", "topic", "tokens", "weight", "probability")]
+    return done.select("doc_id", *named, (F.col("_draw") < F.col("_probability")).alias("kept"))
 
 
 def keep_sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that the sample holds."""
-    return mix(docs).where("kept").select(docs.columns)
+    """Stage: the documents that the sample holds, with all their columns (but for names that `placed` adds)."""
+    return _drawn(docs, None, FRACTION).where("_draw < _probability").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mix(read(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+    return done.withColumns({"weight": F.round("weight", 6), "probability": F.round("probability", 6)})
 
 
 def _sql() -> str:

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, language, line_templates, mixing, pages, repeats, token_files, toxicity, vectors
+from . import decontamination, jaccard, language, line_templates, mixing, pages, repeats, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontamination.query,
     "op2_near_vectors": vectors.query,
     "op3_line_templates": line_templates.query,
     "op4_toxicity": toxicity.query,

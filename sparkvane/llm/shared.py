@@ -35,8 +35,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def held_out(key: Column) -> Column:
-    """True for the fifth of the rows that no model of this package learns from."""
-    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+    """True for the fifth of the rows that no model of this package learns from; false for a null key."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def words(text: str | None) -> list[str]:

@@ -170,5 +170,10 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None
     return read_ids(spark, path)
 
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: the token-id files of docs, and what they hold of each document."""
+    return token_files(docs)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"))
