@@ -15,7 +15,7 @@ are, repeated or not; a null doc_id is kept; other columns are ignored, whatever
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, read
@@ -23,21 +23,28 @@ from .shared import cut, read
 LEADING, MIN_TOKENS, MIN_DOCS, SIMILAR, FIELD = 3, 3, 5, 0.6, "<*>"
 
 
+def _fields(tokens: Column) -> Column:
+    """Tokens with variable fields in place of those that have a digit."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+
+
 def lines_of(texts: DataFrame) -> DataFrame:
-    """(tkey, pos, n, leaf, tokens) of the lines of texts (tkey, text) that could recur."""
+    """(tkey, pos, leaf, line) of the lines of texts (tkey, text) that could recur. Only leading tokens are looked at yet, and lines stay strings, which are small to shuffle."""
     lines = texts.select("tkey", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    tokens = F.transform(F.filter(F.split("line", " ", -1), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-    parsed = lines.select("tkey", "pos", tokens.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return parsed.select("tkey", "pos", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), "tokens")
+    cut_up = lines.withColumn("raw", F.array_remove(F.split("line", " ", -1), "")).where(F.size("raw") >= MIN_TOKENS)
+    return cut_up.select("tkey", "pos", F.xxhash64(F.size("raw"), _fields(F.slice("raw", 1, LEADING))).alias("leaf"), "line")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
     """tkey (md5 of a text) and the places of its lines that recur, for texts that have any."""
-    texts = docs.where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text")
-    lines = lines_of(texts)
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("tkey").alias("a"), F.max("tkey").alias("b")).where((F.col("lines") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
+    given = docs.where("text is not null")
+    lines = lines_of(given.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"), "text"))
+    hashed = lines_of(given.select(F.xxhash64("text").alias("tkey"), "text"))
+    leaves = hashed.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("tkey").alias("a"), F.max("tkey").alias("b")).where((F.col("lines") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
     # Copies of a text are one: their lines are the same rows.
-    near = cut(lines.join(leaves, "leaf").groupBy("leaf", "n", "tkey", "pos").agg(F.first("tokens").alias("tokens")), "lines")
+    near = lines.join(leaves, "leaf").groupBy("leaf", "tkey", "pos").agg(F.first("line").alias("line"))
+    near = near.select("leaf", "tkey", "pos", _fields(F.array_remove(F.split("line", " ", -1), "")).alias("tokens"))
+    near = cut(near.withColumn("n", F.size("tokens")), "lines")
 
     cells = near.select("leaf", F.posexplode("tokens").alias("p", "token")).groupBy("leaf", "p", "token").agg(F.count("*").alias("c"))
     places = cells.groupBy("leaf", "p").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("all"))
