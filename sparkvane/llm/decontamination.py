@@ -32,7 +32,7 @@ from .groups import runs
 from .shared import WORD, cut, read, sliced, small_batches, words
 
 RANK, OVERSAMPLE, PASSAGE, COSINE, SHARE, ANSWER_SHARE, NEAR_ALL = 192, 16, 32, 0.2, 0.6, 0.5, 0.9
-MAX_VOCABULARY, COMMON, LEAST_WORDS, SEED, BLOCK = 300_000, 0.5, 5, 31, 256
+MAX_VOCABULARY, COMMON, RAREST, LEAST_WORDS, SEED, BLOCK, SLICE_WORDS = 300_000, 0.1, 8, 5, 31, 256, 60_000
 _SENTENCE = re.compile(r"[.!?]\s+(?=\S)")
 
 
@@ -135,8 +135,8 @@ def summed(coded: DataFrame, shape: tuple[int, int], partial, name: str) -> np.n
     return out
 
 
-def inverse_frequencies(coded: DataFrame, n_words: int) -> np.ndarray:
-    """log(texts / texts with the word); zero for words in more than COMMON of the texts, which tell nothing."""
+def inverse_frequencies(coded: DataFrame, n_words: int, items: list[Item]) -> np.ndarray:
+    """log(texts / texts with the word); zero for words in more than COMMON of the texts, but for the RAREST words of each item."""
 
     def partial(sequences: Iterator[np.ndarray]) -> np.ndarray:
         out = np.zeros((n_words + 1, 1))
@@ -149,8 +149,11 @@ def inverse_frequencies(coded: DataFrame, n_words: int) -> np.ndarray:
     counts = summed(coded, (n_words + 1, 1), partial, "frequencies")[:, 0]
     n = max(counts[-1], 1)
     idf = np.log((n + 1) / (counts[:-1] + 0.5))
-    idf[counts[:-1] > COMMON * n] = 0
-    return idf
+    rare = counts[:-1] <= COMMON * n
+    for i in items:
+        own = np.unique(i.ids)
+        rare[own[np.argsort(-idf[own], kind="stable")[:RAREST]]] = True
+    return np.where(rare, np.maximum(idf, 1e-3), 0.0)
 
 
 def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK, seed: int = SEED) -> np.ndarray:
@@ -194,72 +197,69 @@ def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int
 
 
 class Searcher:
-    """Finds and verifies the items in one text after another."""
+    """Finds and verifies the items in many texts at once."""
 
     def __init__(self, items: list[Item], idf: np.ndarray, basis: np.ndarray, cosine: float, share: float, answer_share: float):
-        # A word that no item has counts as much in a window's length as an item's word does on average.
+        # A word that no item has counts as much in a window's length as an item's word does on average; padding counts nothing.
         other = np.mean(np.concatenate([idf[i.ids] ** 2 for i in items]))
-        self.idf2, self.cosine, self.share, self.answer_share = np.append(idf**2, other), cosine, share, answer_share
-        self.vectors = np.concatenate([basis * idf[:, None].astype(np.float32), np.zeros((1, basis.shape[1]), np.float32)])
-        self.useful = np.append(idf > 0, False)
-        self.by_stride: dict[int, tuple[list[Item], np.ndarray]] = {}
+        self.other, self.padding = len(idf), len(idf) + 1
+        self.idf2, self.cosine, self.share, self.answer_share = np.concatenate([idf**2, [other, 0.0]]), cosine, share, answer_share
+        vectors = basis * idf[:, None].astype(np.float32)
+        self.useful = np.concatenate([idf > 0, [False, False]])
+        self.classes: list[tuple[int, list[Item], np.ndarray, np.ndarray | None]] = []
         for stride in sorted({i.stride for i in items}):
             own = [i for i in items if i.stride == stride]
-            q = np.stack([self.vectors[i.ids].sum(axis=0) for i in own])
-            self.by_stride[stride] = own, (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
+            q = np.stack([vectors[i.ids].sum(axis=0) for i in own])
+            q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
+            # A window's dot product with an item is the sum of its words'; few items are multiplied word by word beforehand.
+            self.classes.append((stride, own, vectors @ q, None) if len(own) <= basis.shape[1] else (stride, own, vectors, q))
         self.patterns = {id(i): (Pattern(i.ids), Pattern(i.ids[-i.answer :])) for i in items}
 
-    def __call__(self, ids: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """item_id, cosine, share of the item and share of its answer, for each item that the text holds."""
-        found: dict[int, tuple[int, float, float, float]] = {}
-        useful = np.flatnonzero(self.useful[ids])
+    def __call__(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
+        """Text number, item_id, cosine, share of the item and share of its answer, for each item that a text holds."""
+        if not texts:
+            return []
+        gap = 5 * max(c[0] for c in self.classes)
+        sizes = np.array([len(t) for t in texts]) + gap
+        starts = np.cumsum(sizes) - sizes
+        flat = np.full(int(sizes.sum()), self.padding)
+        for at, t in zip(starts.tolist(), texts, strict=True):
+            flat[at : at + len(t)] = np.where(t < 0, self.other, t)
+        found: dict[tuple[int, int], tuple[int, int, float, float, float]] = {}
+        useful = np.flatnonzero(self.useful[flat])
         if not len(useful):
             return []
-        length = self.idf2[ids]
-        for stride, (items, q) in self.by_stride.items():
-            n = -(-len(ids) // stride)
-            norm = np.add.reduceat(length, np.arange(0, len(ids), stride))
-            mass = np.zeros(n)
-            np.add.at(mass, useful // stride, length[useful])
-            norm, mass = _fives(norm), _fives(mass)
-            # A window whose known words are too light can't reach the cosine.
-            windows = np.flatnonzero(mass >= self.cosine**2 * norm)
-            windows = windows[mass[windows] > 0]
-            if not len(windows):
-                continue
-            wanted = np.zeros(n, bool)
-            for k in range(5):
-                wanted[np.clip(windows - k, 0, n - 1)] = True
-            own = useful[wanted[useful // stride]]
-            chunk = np.zeros((n, q.shape[0]), np.float32)
-            heads = np.flatnonzero(np.diff(own // stride, prepend=-1))
-            for s in range(0, len(heads), 4096):
-                b = heads[s + 4096] if s + 4096 < len(heads) else len(own)
-                part = own[heads[s] : b]
-                chunk[np.unique(part // stride)] = np.add.reduceat(self.vectors[ids[part]], heads[s : s + 4096] - heads[s])
-            for s in range(0, len(windows), 8192):
-                at = windows[s : s + 8192]
-                p = sum(np.where((at - k >= 0)[:, None], chunk[np.maximum(at - k, 0)], 0) for k in range(5))
-                cos = (p @ q) / np.sqrt(norm[at])[:, None]
-                for i, j in zip(*np.nonzero(cos >= self.cosine), strict=True):
-                    self._verify(ids, items[j], int(at[i] - 4) * stride, int(at[i] + 1) * stride, float(cos[i, j]), found)
+        length = self.idf2[flat]
+        for stride, items, table, q in self.classes:
+            n = -(-len(flat) // stride)
+            need = self.cosine * np.sqrt(_fives(np.add.reduceat(length, np.arange(0, len(flat), stride)).reshape(n, 1)))
+            heads = np.flatnonzero(np.diff(useful // stride, prepend=-1))
+            chunk = np.zeros((n, table.shape[1]), np.float32)
+            chunk[useful[heads] // stride] = np.add.reduceat(table[flat[useful]], heads)
+            dots = _fives(chunk if q is None else chunk @ q)
+            for w, j in zip(*(x.tolist() for x in np.nonzero((dots >= need) & (need > 0))), strict=True):
+                a, b = max(0, (w - 4) * stride), min((w + 1) * stride, len(flat))
+                text = int(np.searchsorted(starts, b - 1, "right")) - 1
+                self._verify(flat[a:b].tolist(), text, items[j], float(dots[w, j] / need[w, 0] * self.cosine), found)
         return list(found.values())
 
-    def _verify(self, ids: np.ndarray, item: Item, a: int, b: int, cos: float, found: dict) -> None:
+    def _verify(self, window: list[int], text: int, item: Item, cos: float, found: dict) -> None:
         whole, answer = self.patterns[id(item)]
-        window = ids[max(0, a) : b].tolist()
         share = whole.common(window) / whole.n
-        if share < self.share or item.item_id in found and found[item.item_id][2] >= share:
+        key = text, item.item_id
+        if share < self.share or key in found and found[key][3] >= share:
             return
         answered = answer.common(window) / answer.n
         if share >= NEAR_ALL or answered >= self.answer_share:
-            found[item.item_id] = item.item_id, min(cos, 1.0), share, answered
+            found[key] = text, item.item_id, min(cos, 1.0), share, answered
 
 
 def _fives(x: np.ndarray) -> np.ndarray:
-    """Sums of each value and the four before it."""
-    c = np.cumsum(np.concatenate([np.zeros(5), x]))
-    return c[5:] - c[:-5]
+    """Sums of each row and the four before it."""
+    out = x.copy()
+    for k in range(1, 5):
+        out[k:] += x[:-k]
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = SHARE, answer_share: float = ANSWER_SHARE, rank: int = RANK) -> DataFrame:
@@ -278,20 +278,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
     if not items:
         return spark.createDataFrame([], schema)
     coded = cut(code(docs, number), "coded")
-    idf = inverse_frequencies(coded, len(number))
+    idf = inverse_frequencies(coded, len(number), items)
     basis = latent_space(coded, items, idf, rank)
     sent = spark.sparkContext.broadcast((items, idf, basis))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Searcher(*sent.value, cosine, share, answer_share)
         for batch in batches:
-            out, keys = [], []
-            for k, raw in enumerate(batch.column(1).to_pylist()):
-                got = search(np.frombuffer(raw, "<i4"))
-                out += got
-                keys += [k] * len(got)
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[1:])], names=schema.names)
+            texts = [np.frombuffer(raw, "<i4") for raw in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            s, out = 0, []
+            while s < len(texts):
+                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + SLICE_WORDS)))
+                out += [(s + got[0], *got[1:]) for got in search(texts[s:e])]
+                s = e
+            cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=schema.names)
 
     return coded.mapInArrow(run, schema)
 
