@@ -12,7 +12,7 @@ the item needs no answer check.
 
 The benchmark is the stated query set: it is read by the driver and refused beyond MAX_VOCABULARY
 words. All other work is spread over the texts, each of which is coded once. Null, empty and short
-texts and items without words match nothing. Rows that repeat a doc_id or item_id each count; other
+texts and items under LEAST_WORDS words match nothing. Rows that repeat a doc_id or item_id each count; other
 columns are ignored, whatever their names.
 """
 
@@ -274,7 +274,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
             number.setdefault(w, len(number))
     if len(number) > MAX_VOCABULARY:
         raise ValueError(f"the benchmark has more than {MAX_VOCABULARY} words; split it")
-    items = [i for r in rows if len((i := Item(r.item_id, r.text, number)).ids) >= LEAST_WORDS]
+    items = [Item(r.item_id, r.text, number) for r in rows if len(words(r.text)) >= LEAST_WORDS]
     if not items:
         return spark.createDataFrame([], schema)
     coded = cut(code(docs, number), "coded")

@@ -241,7 +241,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF
     other = found.groupBy("cls").agg(F.sum("n").alias("other"))
     per_class = classes.select("key", "cls", "n").join(other, "cls", "left").join(linked.withColumnRenamed("id", "cls"), "cls", "left")
     per_class = per_class.select("key", (F.coalesce("other", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("class_id"))
-    ids = sketched.join(per_class, "key").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.min("class_id").alias("class_id"))
+    ids = sketched.select("doc_id", "key").distinct().join(per_class, "key").groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.min("class_id").alias("class_id"))
     done = texts.select("doc_id").join(ids, "doc_id", "left")
     return done.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"))
 

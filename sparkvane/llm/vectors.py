@@ -119,7 +119,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, same_label: b
     links = found.groupBy("cls").agg(F.sum("n").alias("other"))
     per_class = kept.join(links, "cls", "left").join(linked.withColumnRenamed("id", "cls"), "cls", "left")
     per_class = per_class.select("label", "v", F.coalesce("other", F.lit(0)).alias("other"), "n", F.coalesce("component", "cls").alias("component_id"))
-    ids = rows.select("vec_id", "label", F.transform("v", lambda x: x + 0.0).alias("v")).join(per_class, ["label", "v"]).groupBy("vec_id").agg(F.sum(F.col("other") + F.col("n") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
+    ids = rows.select("vec_id", "label", F.transform("v", lambda x: x + 0.0).alias("v")).distinct().join(per_class, ["label", "v"]).groupBy("vec_id").agg(F.sum(F.col("other") + F.col("n") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
     done = vectors.select("vec_id").join(ids, "vec_id", "left")
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
 
