@@ -87,4 +87,4 @@ def majority_worth(df: DataFrame) -> DataFrame:
     for m in reversed(MODELS[:-1]):
         name = F.when(F.col(m) == best, F.lit(m)).otherwise(name)
     n = F.col("n")
-    return wide.select("n", F.round(F.col("_v") / n, 6).alias("majority"), *(F.round(F.col(m) / n, 6).alias(m) for m in MODELS), name.alias("best_model"), F.round((F.col("_v") - best) / n, 6).alias("majority_minus_best"))
+    return wide.select("n", F.round(F.try_divide("_v", n), 6).alias("majority"), *(F.round(F.try_divide(m, n), 6).alias(m) for m in MODELS), name.alias("best_model"), F.round(F.try_divide(F.col("_v") - best, n), 6).alias("majority_minus_best"))

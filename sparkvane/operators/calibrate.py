@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +42,22 @@ def ece(df: DataFrame, keys: list[str], bins: int = 10, y: str = "y", p: str = "
 class Platt:
     """A logistic curve from scores to probabilities, with penalty strength 1 on its slope."""
 
-    def __init__(self, df: DataFrame, y: str = "y", score: str = "score"):
-        rows = VectorAssembler(inputCols=[score], outputCol="_x").transform(df.select(F.col(y).cast("double").alias("_y"), score))
-        fit = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / max(rows.count(), 1), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=200).fit(rows)
-        self.slope, self.intercept = float(fit.coefficients[0]), float(fit.intercept)
+    def __init__(self, df: DataFrame, y: str = "y", score: str = "score", steps: int = 40):
+        """Newton's method on two parameters; each step is one pass of sums."""
+        self.slope = self.intercept = 0.0
+        rows = df.select(F.col(score).cast("double").alias("x"), F.col(y).cast("double").alias("t"))
+        for _ in range(steps):
+            p = self.column(F.col("x"))
+            w = p * (1 - p)
+            x, miss = F.col("x"), p - F.col("t")
+            got = rows.agg(F.sum(miss * x), F.sum(miss), F.sum(w * x * x), F.sum(w * x), F.sum(w)).first()
+            if got[0] is None:
+                return
+            gradient = np.array([got[0] + self.slope, got[1]])
+            step = np.linalg.solve(np.array([[got[2] + 1, got[3]], [got[3], got[4] + 1e-12]]), gradient)
+            self.slope, self.intercept = self.slope - float(step[0]), self.intercept - float(step[1])
+            if np.abs(step).max() < 1e-10:
+                return
 
     def column(self, score: Column) -> Column:
         return 1 / (1 + F.exp(-(F.lit(self.slope) * score + F.lit(self.intercept))))

@@ -84,16 +84,16 @@ def roc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> D
     """keys, threshold, fp, tp, fpr and tpr of each distinct score as a threshold."""
     c = cumulative(df, keys, y, score)
     fp, tp = F.col("all_neg") - F.col("neg_below"), F.col("all_pos") - F.col("pos_below")
-    return c.select(*keys, F.col("score").alias("threshold"), fp.alias("fp"), tp.alias("tp"), (fp / F.col("all_neg")).alias("fpr"), (tp / F.col("all_pos")).alias("tpr"))
+    return c.select(*keys, F.col("score").alias("threshold"), fp.alias("fp"), tp.alias("tp"), F.try_divide(fp, F.col("all_neg")).alias("fpr"), F.try_divide(tp, F.col("all_pos")).alias("tpr"))
 
 
 def partial_auc(df: DataFrame, keys: list[str], max_fpr: float = 0.02, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
     """keys and the standardised area under the curve up to max_fpr (0.5: chance, 1: perfect); null if one class is missing."""
     c = cumulative(df, keys, y, score)
-    n, p, m = F.col("all_neg").cast("double"), F.col("all_pos").cast("double"), F.lit(max_fpr)
+    n, p, m = F.nullif(F.col("all_neg").cast("double"), F.lit(0.0)), F.nullif(F.col("all_pos").cast("double"), F.lit(0.0)), F.lit(max_fpr)
     x1, y1 = (F.col("all_neg") - F.col("neg_below")) / n, (F.col("all_pos") - F.col("pos_below")) / p
     x0, y0 = (F.col("all_neg") - F.col("neg_below") - F.col("neg")) / n, (F.col("all_pos") - F.col("pos_below") - F.col("pos")) / p
-    cut = y0 + (y1 - y0) * (m - x0) / (x1 - x0)
+    cut = y0 + F.try_divide((y1 - y0) * (m - x0), x1 - x0)
     piece = F.when(x0 >= m, 0.0).when(x1 <= m, (x1 - x0) * (y0 + y1) / 2).otherwise((m - x0) * (y0 + cut) / 2)
     least, most = 0.5 * max_fpr * max_fpr, max_fpr
     area = F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), F.sum(piece))

@@ -36,7 +36,7 @@ def dedup_report(df: DataFrame, id_col: str) -> DataFrame:
     rest = [c for c in df.columns if c != id_col]
     n = df.agg(F.count("*").alias("rows_before"), F.countDistinct(F.struct(*rest)).alias("kept"))
     removed = F.col("rows_before") - F.col("kept")
-    return n.select("rows_before", removed.alias("removed"), F.round(100.0 * removed / F.col("rows_before"), 2).alias("pct_removed"))
+    return n.select("rows_before", removed.alias("removed"), F.round(F.try_divide(100.0 * removed, F.col("rows_before")), 2).alias("pct_removed"))
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:

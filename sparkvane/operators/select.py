@@ -98,9 +98,10 @@ def average_ranks(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     return long.join(ranks, ["name", "x"]).select(row_id, "name", "rank")
 
 
-def spearman(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """(a, b, rho) of each two columns, a < b; null for a constant column."""
-    ranks = average_ranks(df, columns, row_id).groupBy(row_id).pivot("name", columns).agg(F.first("rank"))
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, rho) of each two columns, a < b; null for a constant column. Rows are told apart by place, so no column need be unique."""
+    row_id = "_row"
+    ranks = average_ranks(df.select(*columns, F.monotonically_increasing_id().alias(row_id)), columns, row_id).groupBy(row_id).pivot("name", columns).agg(F.first("rank"))
     pairs = [(a, b) for a in sorted(columns) for b in sorted(columns) if a < b]
     n = F.count("*").cast("double")
     aggs = []
@@ -155,7 +156,7 @@ def select_features(df: DataFrame, pool: list[str], y: str, row_id: str, k: int
     if not kept:
         return {"selected": [], "survivors": [], "dropped": [], "mi": {}}
     mi = {r.name: r.mi for r in neighbour_information(df, kept, y, row_id, seed).collect()}
-    rho = rho_table(spearman(df, kept, row_id).collect()) if len(kept) > 1 else {}
+    rho = rho_table(spearman(df, kept).collect()) if len(kept) > 1 else {}
     survivors, dropped = prune(mi, rho)
     return {"selected": mrmr({c: mi[c] for c in survivors}, rho, k, quotient), "survivors": survivors, "dropped": dropped, "mi": mi}
 

@@ -426,7 +426,7 @@ _RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {
 
 @query("F7_spearman", f"WITH {sql.FLOWS}, r AS (SELECT {_RANKS} FROM flows) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM r" for a in sorted(NUMERIC) for b in sorted(NUMERIC) if a < b))
 def _(s, d):
-    return select.spearman(flows(s, d), NUMERIC, "row_id")
+    return select.spearman(flows(s, d), NUMERIC)
 
 
 @query("F10_selection")
