@@ -111,9 +111,14 @@ def _(s, d):
     return prepare.offenders(flows(s, d), POOL)
 
 
-@query("P14_quarantine", "SELECT CASE WHEN value IS NULL THEN 'value: missing' WHEN isnan(value) OR isinf(value) THEN 'value: not finite' WHEN value < 0 THEN 'value: negative' END AS reject_reason, count(*) AS n FROM events GROUP BY 1")
+@query("P14_quarantine", "SELECT CASE WHEN c_acctbal IS NULL THEN 'c_acctbal: missing' WHEN isnan(c_acctbal) OR isinf(c_acctbal) THEN 'c_acctbal: not finite' END AS reject_reason, count(*) AS n FROM customer GROUP BY 1")
 def _(s, d):
-    return prepare.quarantine(table(s, d, "events"), ["value"], non_negative=True).groupBy("reject_reason").agg(F.count("*").alias("n"))
+    return prepare.quarantine(table(s, d, "customer"), ["c_acctbal"]).groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+@query("P15_non_negative", "SELECT CASE WHEN c_acctbal IS NULL THEN 'c_acctbal: missing' WHEN isnan(c_acctbal) OR isinf(c_acctbal) THEN 'c_acctbal: not finite' WHEN c_acctbal < 0 THEN 'c_acctbal: negative' END AS reject_reason, count(*) AS n FROM customer GROUP BY 1")
+def _(s, d):
+    return prepare.quarantine(table(s, d, "customer"), ["c_acctbal"], non_negative=True).groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
 # --- joins -------------------------------------------------------------------------------------------------------
@@ -224,6 +229,49 @@ def _(s, d):
     return summaries.over_seeds(_seed_runs(s, d), ["model", "metric"]).groupBy("model").pivot("metric", ["accuracy", "fpr"]).agg(F.first("mean"))
 
 
+_HALF_COLUMNS = ["row_id", "quantity", "status", "label", "category"]
+
+
+def _half_sql(name: str, part: int) -> str:
+    return _profile_sql(name, "", _HALF_COLUMNS, "row_id", ["status", "category"], "label", "category").strip()
+
+
+@query("A2_compare", f"WITH {sql.FLOWS}, h0 AS (SELECT {', '.join(_HALF_COLUMNS)} FROM flows WHERE is_open = 0), h1 AS (SELECT {', '.join(_HALF_COLUMNS)} FROM flows WHERE is_open = 1), p0 AS ({_half_sql('h0', 0)}), p1 AS ({_half_sql('h1', 1)}) SELECT coalesce(p0.section, p1.section) AS section, coalesce(p0.name, p1.name) AS name, p0.value AS first, p1.value AS second FROM p0 FULL JOIN p1 ON p0.section = p1.section AND p0.name = p1.name")
+def _(s, d):
+    f = flows(s, d)
+    a, b = (f.where(F.col("is_open") == k).select(*_HALF_COLUMNS) for k in (0, 1))
+    return profile.compare(a, b, "row_id", "label", "category")
+
+
+@query("A7_compact", f"WITH {_SEEDED} SELECT model, metric, count(value) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0.0), 4) AS std_sample, round(stddev_pop(value), 4) AS std_pop FROM tall GROUP BY model, metric")
+def _(s, d):
+    return summaries.over_seeds(_seed_runs(s, d), ["model", "metric"], digits=4)
+
+
+_SIZED = f"{sql.LONG}, runs AS (SELECT model, split_part(row_id, ':', 4)::INT * 500 AS n_train, split_part(row_id, ':', 3)::INT % 3 AS feature_set, ('0x' || substr(md5('seed:' || row_id), 1, 6))::BIGINT % 5 AS seed, count_if(y = pred) / count(*)::DOUBLE AS accuracy FROM long GROUP BY ALL)"
+
+
+def _sized_runs(s, d):
+    parts = F.split("row_id", ":")
+    seed = F.conv(F.substring(F.md5(F.concat(F.lit("seed:"), F.col("row_id")).cast("binary")), 1, 6), 16, 10).cast("long") % 5
+    return long_scored(s, d).groupBy("model", (parts[3].cast("int") * 500).alias("n_train"), (parts[2].cast("int") % 3).alias("feature_set"), seed.alias("seed")).agg((count_if(F.col("y") == F.col("pred")) / F.count("*")).alias("value"))
+
+
+@query("A8_learning_curve", f"WITH {_SIZED} SELECT model, n_train, count(*) AS n, round(avg(accuracy), 6) AS mean, round(coalesce(stddev_samp(accuracy), 0.0), 6) AS std_sample, round(stddev_pop(accuracy), 6) AS std_pop FROM runs GROUP BY model, n_train")
+def _(s, d):
+    return summaries.over_seeds(_sized_runs(s, d), ["model", "n_train"])
+
+
+@query("A9_grid_cells", f"WITH {_SIZED} SELECT model, n_train, feature_set, count(*) AS n, round(avg(accuracy), 6) AS mean, round(coalesce(stddev_samp(accuracy), 0.0), 6) AS std_sample, round(stddev_pop(accuracy), 6) AS std_pop FROM runs GROUP BY ALL")
+def _(s, d):
+    return summaries.over_seeds(_sized_runs(s, d), ["model", "n_train", "feature_set"])
+
+
+@query("A11_feature_spaces", f"WITH {_SIZED} SELECT model, feature_set, count(*) AS n, round(avg(accuracy), 4) AS mean, round(coalesce(stddev_samp(accuracy), 0.0), 4) AS std_sample, round(stddev_pop(accuracy), 4) AS std_pop FROM runs GROUP BY ALL")
+def _(s, d):
+    return summaries.over_seeds(_sized_runs(s, d), ["model", "feature_set"], digits=4)
+
+
 @query("A12_majority", f"WITH {sql.SCORED} SELECT (svm_pred + rf_pred + qsvc_pred >= 2)::INT AS vote, y, count(*) AS n FROM scored GROUP BY ALL")
 def _(s, d):
     return scored(s, d).groupBy(agreement.majority(*(F.col(f"{m}_pred") for m in MODELS)).alias("vote"), "y").agg(F.count("*").alias("n"))
@@ -273,6 +321,17 @@ def _(s, d):
     return summaries.best_candidate(_grid(s, d).withColumn("f1", F.round("f1", 3)), ["grp"]).select("grp", "c", "f1")
 
 
+@query("W8_grid_argmax_unrounded", "WITH g AS (SELECT l_suppkey % 7 AS grp, l_linenumber AS grid_pos, max(l_discount) AS f1 FROM lineitem GROUP BY ALL) SELECT grp, grid_pos FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY f1 DESC, grid_pos) AS k FROM g) WHERE k = 1")
+def _(s, d):
+    g = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("grp"), F.col("l_linenumber").alias("grid_pos")).agg(F.max("l_discount").alias("f1"))
+    return summaries.best_of_grid(g, ["grp"]).select("grp", "grid_pos")
+
+
+@query("W5_threshold_rank", f"WITH {sql.LONG} SELECT model, rank, nominal_rank FROM ({sql.thresholds('long', 'model', 0.02)})")
+def _(s, d):
+    return metrics.thresholds(long_scored(s, d), ["model"], 0.02).select("model", "rank", "nominal_rank")
+
+
 @query("W9_grid_argmax", "WITH g AS (SELECT l_suppkey % 7 AS grp, l_linenumber AS grid_pos, avg(l_discount) AS f1 FROM lineitem GROUP BY ALL) SELECT grp, grid_pos FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(f1, 4) DESC, grid_pos) AS k FROM g) WHERE k = 1")
 def _(s, d):
     g = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("grp"), F.col("l_linenumber").alias("grid_pos")).agg(F.avg("l_discount").alias("f1"))
@@ -338,6 +397,25 @@ def _(s, d):
     return split.bounded_partitions(flows(s, d), 100, 50, 100, "row_id", "label", 42).groupBy("split", "label").agg(F.count("*").alias("n"))
 
 
+@query("S5_two_samples", f"WITH {sql.FLOWS}, a AS (SELECT * FROM flows WHERE is_open = 1), b AS (SELECT * FROM flows WHERE is_open = 0) SELECT 'train' AS part, row_id FROM {sql.ranked('a', 42)} JOIN {sql.quota('a', 300)} USING (label) WHERE place < q UNION ALL SELECT 'test', row_id FROM {sql.ranked('b', 42)} JOIN {sql.quota('b', 200)} USING (label) WHERE place < q")
+def _(s, d):
+    f = flows(s, d)
+    a, b = split.sample(f.where("is_open = 1"), 300, "row_id", "label", 42), split.sample(f.where("is_open = 0"), 200, "row_id", "label", 42)
+    return a.select(F.lit("train").alias("part"), "row_id").unionByName(b.select(F.lit("test").alias("part"), "row_id"))
+
+
+@query("S6_then_remainder", f"WITH {sql.FLOWS}, first AS (SELECT row_id FROM {sql.ranked('flows', 42)} JOIN {sql.quota('flows', 100)} USING (label) WHERE place < q), rest AS (SELECT * FROM flows WHERE row_id NOT IN (SELECT row_id FROM first)) SELECT row_id FROM {sql.ranked('rest', 43)} JOIN {sql.quota('rest', 50)} USING (label) WHERE place < q")
+def _(s, d):
+    f = flows(s, d)
+    rest = split.remainder(f, split.sample(f, 100, "row_id", "label", 42), "row_id")
+    return split.sample(rest, 50, "row_id", "label", 43).select("row_id")
+
+
+@query("S9_cv_subsample", f"WITH {sql.FLOWS} SELECT row_id, label FROM {sql.ranked('flows', 42)} JOIN {sql.quota('flows', 5000)} USING (label) WHERE place < q")
+def _(s, d):
+    return split.sample(flows(s, d), 5000, "row_id", "label", 42).select("row_id", "label")
+
+
 @query("S7_validation_split", f"WITH {sql.FLOWS}, sizes AS (SELECT label, count(*) AS size FROM flows GROUP BY label) SELECT row_id, CASE WHEN place < ceil(0.2::DOUBLE * size) THEN 'validation' ELSE 'train' END AS split FROM {sql.ranked('flows', 42)} JOIN sizes USING (label)")
 def _(s, d):
     return split.fraction_split(flows(s, d), 0.2, "row_id", "label", 42).select("row_id", "split")
@@ -416,6 +494,40 @@ def _(s, d):
     return select.binned_information(flows(s, d), POOL, "label")
 
 
+@query("W1_information_order", f"WITH b AS ({_binned_sql()}) SELECT name, mi, row_number() OVER (ORDER BY mi DESC, name DESC)::INT AS place FROM b QUALIFY place <= 15")
+def _(s, d):
+    top = select.by_information(select.binned_information(flows(s, d), POOL, "label")).limit(15).collect()  # one row a feature
+    return s.createDataFrame([(r.name, r.mi, k + 1) for k, r in enumerate(top)], "name string, mi double, place int")
+
+
+@query("F5_near_constant", f"WITH {sql.FLOWS}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, var_samp({c}) AS v, count(DISTINCT {c}) AS k FROM flows" for c in POOL) + ") SELECT name FROM r WHERE k > 1 AND v > 1e-5")
+def _(s, d):
+    return select.spread(flows(s, d), POOL).where("kept").select("name")
+
+
+@query("F8_pruning")
+def _(s, d):
+    f = flows(s, d)
+    mi = {r.name: r.mi for r in select.binned_information(f, POOL, "label").collect()}
+    kept, _ = select.prune(mi, select.rho_table(select.spearman(f, POOL).collect()))
+    return s.createDataFrame([(k, n, mi[n]) for k, n in enumerate(kept)], "place int, name string, mi double")
+
+
+@query("F9_mrmr")
+def _(s, d):
+    f = flows(s, d)
+    mi = {r.name: r.mi for r in select.binned_information(f, POOL, "label").collect()}
+    rho = select.rho_table(select.spearman(f, POOL).collect())
+    return s.createDataFrame([(rule, k, n) for rule, q in (("difference", False), ("quotient", True)) for k, n in enumerate(select.mrmr(mi, rho, 4, q))], "rule string, place int, name string")
+
+
+@query("F11_stability")
+def _(s, d):
+    sample = split.sample(flows(s, d), 2000, "row_id", "label", 42).persist()  # a sample of a set size, as the operator takes
+    rows = select.stability(sample, POOL, "label", "row_id", 3)
+    return s.createDataFrame([(r["name"], r["folds"], r["frequency"]) for r in rows], "name string, folds int, frequency double")
+
+
 @query("F6_neighbour_information")
 def _(s, d):
     return select.by_information(select.neighbour_information(flows(s, d), POOL, "label", "row_id"))
@@ -504,6 +616,27 @@ def _(s, d):
     return kernel.entry_invariants(entries)
 
 
+@query("K5_gram", f"WITH {_states_sql()}, {_MARKS}, k AS (SELECT p.vec_id AS i, mark AS j, {_DOTS} FROM psi p JOIN marks q ON true WHERE p.vec_id IN (SELECT mark FROM marks)) SELECT i, j, round(least(greatest(a * a + b * b, 0), 1), 5) AS k FROM k")
+def _(s, d):
+    marks = split.landmarks(kernel.embed(_angles(s, d), ANGLES), 16, "vec_id", 7)
+    return kernel.kernel_rows(marks, marks, "vec_id").select(F.col("vec_id").alias("i"), F.col("mark").alias("j"), F.round("k", 5).alias("k"))
+
+
+@query("K12_cross_check")
+def _(s, d):
+    x = np.array([[r[a] for a in ANGLES] for r in split.landmarks(_angles(s, d), 50, "vec_id", 7).orderBy("vec_id").collect()])  # 50 landmarks
+    psi = kernel.states(x)
+    f, k = kernel.explicit_map(psi), kernel.fidelity(psi)
+    got = kernel.invariants(k)
+    return s.createDataFrame([("explicit map", float(np.abs(f @ f.T - k).max())), ("diagonal", got["diagonal"]), ("asymmetry", got["asymmetry"]), ("least eigenvalue", got["least_eigenvalue"])], "item string, value double")
+
+
+@query("K13_scaling_gate", "SELECT q::INT AS qubits, (2 * 100.0::DOUBLE * pow(2.0, q) * 16 + 8 * 100.0::DOUBLE * 100 + 10485760)::BIGINT AS bytes, 2 * 100.0::DOUBLE * pow(2.0, q) * 16 + 8 * 100.0::DOUBLE * 100 + 10485760 <= 524288000 AS fits FROM (SELECT unnest([4, 6, 8, 10, 12, 14, 16]) AS q)")
+def _(s, d):
+    rows = s.createDataFrame([(q, 100, kernel.fits(100, q)) for q in (4, 6, 8, 10, 12, 14, 16)], "qubits int, n int, fits boolean")
+    return rows.select("qubits", projection.state_memory(F.col("n"), F.col("qubits")).cast("long").alias("bytes"), "fits")
+
+
 # --- metrics, curves, thresholds ---------------------------------------------------------------------------------
 
 @query("E1_evaluate", f"WITH {sql.LONG}, c AS (SELECT model, {sql.CELLS} FROM long GROUP BY model), {sql.cumulative('long', 'model')}, a AS (SELECT model, {sql.auc()} FROM cum GROUP BY model) SELECT model, tn, fp, fn, tp, {sql.rates(6)}, auc FROM c JOIN a USING (model)")
@@ -529,6 +662,17 @@ def _(s, d):
     return r.select("model", "class", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
+@query("E3_compact", f"WITH {sql.LONG}, c AS (SELECT model, {sql.CELLS} FROM long GROUP BY model), {sql.cumulative('long', 'model')}, a AS (SELECT model, {sql.auc(4)} FROM cum GROUP BY model) SELECT model, {sql.rates(4)}, auc FROM c JOIN a USING (model)")
+def _(s, d):
+    return metrics.evaluate(long_scored(s, d), ["model"], digits=4).drop("tn", "fp", "fn", "tp")
+
+
+@query("E5_single_class", f"WITH {sql.LONG} SELECT model, NULL::DOUBLE AS auc, NULL::DOUBLE AS pauc FROM long WHERE y = 0 GROUP BY model")
+def _(s, d):
+    one = long_scored(s, d).where("y = 0")
+    return metrics.auc(one, ["model"]).join(metrics.partial_auc(one, ["model"]), "model")
+
+
 @query("E4_auc", f"WITH {sql.LONG}, {sql.cumulative('long', 'model')} SELECT model, {sql.auc()} FROM cum GROUP BY model")
 def _(s, d):
     return metrics.auc(long_scored(s, d), ["model"])
@@ -664,6 +808,17 @@ def _(s, d):
     return agreement.majority_worth(scored(s, d))
 
 
+@query("D6_small_table", f"WITH {sql.SCORED}, scored100 AS (SELECT * FROM scored ORDER BY row_id LIMIT 100), p AS ({' UNION ALL '.join(_pair_counts(a, b).replace('FROM scored', 'FROM scored100') for a, b in agreement.PAIRS)}) SELECT model_a, model_b, n, agree, both_wrong, round(agree / n::DOUBLE, 6) AS agreement FROM p")
+def _(s, d):
+    return agreement.pairs(tables.first_rows(scored(s, d), "row_id", 100)).select("model_a", "model_b", "n", "agree", "both_wrong", "agreement")
+
+
+@query("V5_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {v}, '{t}', true)" for n, v, t in policy.PRESETS) + ") p(name, votes, threat, as_expected)")
+def _(s, d):
+    rows = s.createDataFrame([(n, t, *(int(k < v) for k in range(3))) for n, v, t in policy.PRESETS], "name string, want string, a int, b int, c int")
+    return policy.decide(rows, ["a", "b", "c"]).select("name", "votes", "threat", (F.col("threat") == F.col("want")).alias("as_expected"))
+
+
 _DECIDED = f"{sql.SCORED}, v AS (SELECT *, svm_pred + rf_pred + qsvc_pred AS votes FROM scored), decided AS (SELECT *, (votes >= 2)::INT AS final, CASE votes WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS threat, votes IN (1, 2) AS review, votes::VARCHAR || '/3' AS tally FROM v)"
 
 
@@ -727,6 +882,19 @@ def _(s, d):
     return s.createDataFrame([(c["grid_pos"], float(c["params"]["c"]), float(c["f1"])) for c in cells], "grid_pos int, c double, f1 double")
 
 
+@query("M7_tune_and_refit")
+def _(s, d):
+    p = _model_split(s, d)
+    got = models.evaluate_once(models.tune_and_refit("rf", p["train"], p["tune"], POOL, grid=models.FOREST_GRID[:2]), p["test"])
+    return s.createDataFrame([(got["n"], got["accuracy"], got["f1"], got["auc"])], "n long, accuracy double, f1 double, auc double")
+
+
+@query("M11_scores")
+def _(s, d):
+    p = _model_split(s, d)
+    return models.checked_scores(models.forest(p["train"], POOL).transform(p["test"])).select("row_id", "y", "score", "pred")
+
+
 @query("M12_platt")
 def _(s, d):
     base = scored(s, d).select("y", F.col("rf_score").alias("score"))
