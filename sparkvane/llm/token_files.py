@@ -18,7 +18,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from . import range_coder
 from .shared import parts_for, read, shared_dir, sliced, small_batches
 
 BLOCK_IDS, LANES, END_ID = 1_500_000, 4096, 2
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: The pre-tokens of byte-level BPE, as the tokenizers library documents its ByteLevel pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which every Unicode version agrees; a text of others goes to the library as a whole.
@@ -62,8 +61,24 @@ class Encoder:
         kind = repr(self.tokenizer.pre_tokenizer) + repr(self.tokenizer.normalizer)
         self.by_word = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and kind.endswith("None")
         self.find = regex.compile(PRE_TOKEN).findall
-        self.kept: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _joined(self, words: list[str], between: str) -> None:
+        """Encode words of letters in one call, as a text in which the pattern parts them again."""
+        got = self.tokenizer.encode(between.join(words), add_special_tokens=False)
+        of, ids = np.array(got.word_ids), np.array(got.ids, np.int32)
+        step = 1 + bool(between)
+        if len(of) and of[-1] == step * (len(words) - 1):
+            bounds = np.searchsorted(of, np.arange(0, step * len(words), step)).tolist()
+            ends = np.searchsorted(of, np.arange(0, step * len(words), step), "right").tolist()
+            raw = ids.tobytes()
+            self.kept.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, bounds, ends, strict=True))
+        else:
+            self._apart(words)
+
+    def _apart(self, words: list[str]) -> None:
+        self.kept.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = [not self.by_word or ODD.search(t) is not None for t in texts]
@@ -71,15 +86,23 @@ class Encoder:
         if len(self.kept) > CACHE_WORDS:
             self.older, self.kept = self.kept, {}
         kept, older = self.kept, self.older
-        missing = []
+        spaced, bare, rest = [], [], []
         for w in set().union(*found).difference(kept):
             if w in older:
                 kept[w] = older[w]
+            elif w[0] == " " and w[1:].isalpha():
+                spaced.append(w)
+            elif w.isalpha():
+                bare.append(w)
             else:
-                missing.append(w)
-        if missing:
-            kept.update(zip(missing, [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)], strict=True))
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if w else list(chain.from_iterable(map(kept.__getitem__, f))), np.int32) for t, w, f in zip(texts, whole, found, strict=True)]
+                rest.append(w)
+        for words, between in ((spaced, ""), (bare, "\n")):
+            if words:
+                self._joined(words, between)
+        if rest:
+            self._apart(rest)
+        get = kept.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if w else np.frombuffer(b"".join(map(get, f)), np.int32) for t, w, f in zip(texts, whole, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
