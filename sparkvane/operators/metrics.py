@@ -1,8 +1,8 @@
 """Classification metrics, curves and low-false-positive thresholds, exact at any size.
 
-What needs ranks works on distinct scores: counts are summed by score, scores are filed in BINS of
-equal width, and cumulative counts are those within a bin plus those of the bins before. So no window
-holds all rows.
+What needs ranks works on distinct scores: counts are summed by score, scores are filed in bins that
+rise with them, and cumulative counts are those within a bin plus those of the bins before. So no
+window holds all rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import count_if, ratio
 
-BINS = 4096
+#: Bins for each unit of the logarithm of a thousand scores.
+STEPS = 256
 
 
 def predict(score: Column, threshold: Column | float) -> Column:
@@ -56,19 +57,21 @@ def class_report(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred
     return per.unionByName(both)
 
 
-def cumulative(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", bins: int = BINS) -> DataFrame:
-    """keys, score, pos, neg (rows with that score), pos_below, neg_below (rows with a lower one), all_pos, all_neg."""
-    per = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    ends = per.groupBy(*keys).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    per = per.join(ends, keys) if keys else per.crossJoin(F.broadcast(ends))  # one row of ends
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (bins - 1))).otherwise(0)
-    per = per.withColumn("_bin", at.cast("int")).drop("_lo", "_hi")
+def cumulative(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    """keys, score, pos, neg (rows with that score), pos_below, neg_below (rows with a lower one), all_pos, all_neg. NaN and null scores are left out."""
+    s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    # Rising with the score and fine at every magnitude, so that bins need no look at the data first.
+    at = F.floor(F.signum(s) * F.log1p(F.abs(s) * 1000) * STEPS).cast("int")
+    base = df.select(*keys, F.col(y).alias("_y"), s.alias("score"), at.alias("_bin")).where("_bin is not null")
+    counts = [F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")]
     past = (Window.unboundedPreceding, -1)
-    sums = per.groupBy(*keys, "_bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    over = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*past)
-    sums = sums.select(*keys, "_bin", F.coalesce(F.sum("_p").over(over), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_nb"))
+    sums = base.groupBy(*keys, "_bin").agg(*counts)
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*past)
+    none = F.lit(0)
+    sums = sums.select(*keys, "_bin", F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"), F.coalesce(F.sum("pos").over(before), none).alias("_pb"), F.coalesce(F.sum("neg").over(before), none).alias("_nb"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("score").rowsBetween(*past)
-    per = per.withColumns({"_pi": F.coalesce(F.sum("pos").over(inside), F.lit(0)), "_ni": F.coalesce(F.sum("neg").over(inside), F.lit(0))})
+    per = base.groupBy(*keys, "_bin", "score").agg(*counts)
+    per = per.withColumns({"_pi": F.coalesce(F.sum("pos").over(inside), none), "_ni": F.coalesce(F.sum("neg").over(inside), none)})
     out = per.join(sums, [*keys, "_bin"])
     return out.select(*keys, "score", "pos", "neg", (F.col("_pi") + F.col("_pb")).alias("pos_below"), (F.col("_ni") + F.col("_nb")).alias("neg_below"), "all_pos", "all_neg")
 

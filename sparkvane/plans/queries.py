@@ -523,8 +523,7 @@ def _(s, d):
 
 @query("F11_stability")
 def _(s, d):
-    sample = split.sample(flows(s, d), 2000, "row_id", "label", 42).persist()  # a sample of a set size, as the operator takes
-    rows = select.stability(sample, POOL, "label", "row_id", 3)
+    rows = select.stability(flows(s, d), POOL, "label", "row_id", 3)
     return s.createDataFrame([(r["name"], r["folds"], r["frequency"]) for r in rows], "name string, folds int, frequency double")
 
 
