@@ -2,18 +2,18 @@
 
 Texts become sequences of the benchmark's words (every other word is "another word"). Passages of
 PASSAGE words, as TF-IDF vectors over all texts and the benchmark's items, are factorised by a
-distributed randomised SVD: tasks sum A'(A R) for a random R, the driver orthonormalises that matrix
-of one row a word, tasks sum the small Gram matrix of the projected passages, and its eigenvectors
-turn the basis. Each item is then compared with every window of about its length, by cosine in the
-latent space (other words count in the window's length). Candidates are verified: the longest common
-subsequence of item and window must hold SHARE of the item's words, and ANSWER_SHARE of its answer,
-which is its last sentence, or its last quarter where that is shorter; a window that holds NEAR_ALL of
-the item needs no answer check.
+distributed randomised SVD of one pass: tasks sum A'(A R) for a random orthonormal R, and the driver
+takes the singular vectors from that matrix of one row a word (the Nystrom form for A'A). Each item
+is then compared with every window of about its length, by cosine in the latent space (other words
+count in the window's length). Candidates are verified: the longest common subsequence of item and
+window must hold SHARE of the item's words, and ANSWER_SHARE of its answer, which is its last
+sentence, or its last quarter where that is longer; a window that holds NEAR_ALL of the item needs no
+answer check.
 
 The benchmark is the stated query set: it is read by the driver and refused beyond MAX_VOCABULARY
 words. All other work is spread over the texts, each of which is coded once. Null, empty and short
-texts and items under LEAST_WORDS words match nothing. Rows that repeat a doc_id or item_id each count; other
-columns are ignored, whatever their names.
+texts and items under LEAST_WORDS words match nothing. Rows that repeat a doc_id or item_id each
+count; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .groups import runs
-from .shared import WORD, cut, read, sliced, small_batches, words
+from .shared import WORD, cut, latin_words, read, sliced, small_batches, words
 
 RANK, OVERSAMPLE, PASSAGE, COSINE, SHARE, ANSWER_SHARE, NEAR_ALL = 192, 16, 32, 0.2, 0.6, 0.5, 0.9
 MAX_VOCABULARY, COMMON, RAREST, LEAST_WORDS, SEED, BLOCK, SLICE_WORDS = 300_000, 0.1, 8, 5, 31, 256, 60_000
@@ -74,8 +74,15 @@ def code(docs: DataFrame, number: dict[str, int]) -> DataFrame:
         from itertools import repeat
 
         get = sent.value.get
+        latin = {w.encode("latin-1"): k for w, k in sent.value.items() if all(ord(c) < 256 for c in w)}.get
+
+        def numbers(t: str) -> bytes:
+            own = latin_words(t)
+            found = map(get, WORD.findall(t.lower()), repeat(-1)) if own is None else map(latin, own, repeat(-1))
+            return np.fromiter(found, "<i4").tobytes()
+
         for part, texts in sliced(batches, 1):
-            coded = [np.fromiter(map(get, WORD.findall(t.lower()), repeat(-1)), "<i4").tobytes() for t in texts]
+            coded = [numbers(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(coded, pa.binary())], names=["doc_id", "ids"])
 
     own = docs.where("text is not null and text <> ''").select("doc_id", "text")
@@ -158,42 +165,31 @@ def inverse_frequencies(coded: DataFrame, n_words: int, items: list[Item]) -> np
 
 def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK, seed: int = SEED) -> np.ndarray:
     """The right singular vectors, word x rank, of the passage matrix with the items' rows, which weigh as much as all passages."""
-    sc = coded.sparkSession.sparkContext
     wide = min(rank + OVERSAMPLE, len(idf))
-    start = np.random.default_rng(seed).standard_normal((len(idf), wide)).astype(np.float32)
-
-    def times(word: np.ndarray, of: np.ndarray, value: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(m[word] * value[:, None], np.flatnonzero(np.diff(of, prepend=-1)))
+    start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), wide)))
+    start = start.astype(np.float32)
 
     def sketched(sequences: Iterator[np.ndarray], m: np.ndarray) -> np.ndarray:
         """A'(A m), and the number of passages in one more row."""
         out = np.zeros((len(idf) + 1, m.shape[1]))
         for word, of, value in passages(sequences, idf):
-            y = times(word, of, value, m)
+            y = np.add.reduceat(m[word] * value[:, None], np.flatnonzero(np.diff(of, prepend=-1)))
             order = np.argsort(word, kind="stable")
             heads = np.flatnonzero(np.diff(word[order], prepend=-1))
             out[word[order][heads]] += np.add.reduceat(y[of[order]] * value[order, None], heads)
             out[-1] += len(y)
         return out
 
-    def gram(sequences: Iterator[np.ndarray], m: np.ndarray) -> np.ndarray:
-        out = np.zeros((m.shape[1], m.shape[1]))
-        for word, of, value in passages(sequences, idf):
-            y = times(word, of, value, m)
-            out += y.T @ y
-        return out
-
-    own = [i.ids for i in items]
-    sent = sc.broadcast(start)
+    sent = coded.sparkSession.sparkContext.broadcast(start)
     z = summed(coded, (len(idf) + 1, wide), lambda s: sketched(s, sent.value), "sketch")
-    ours = sketched(iter(own), start)
-    weight = math.sqrt(max(z[-1, 0], 1) / max(ours[-1, 0], 1))
-    q, _ = np.linalg.qr(z[:-1] + weight**2 * ours[:-1])
-    q = q.astype(np.float32)
-    sent_q = sc.broadcast(q)
-    g = summed(coded, (wide, wide), lambda s: gram(s, sent_q.value), "gram") + weight**2 * gram(iter(own), q)
-    values, vectors = np.linalg.eigh(g)
-    return (q @ vectors[:, np.argsort(-values)[: min(rank, wide)]]).astype(np.float32)
+    ours = sketched((i.ids for i in items), start)
+    z = z[:-1] + max(z[-1, 0], 1) / max(ours[-1, 0], 1) * ours[:-1]
+    # A'A is near (A'A R)(R'A'A R)^-1 (A'A R)': its eigenvectors are the left singular vectors of the first factor times a root of the middle one.
+    z += (shift := 1e-6 * max(np.linalg.norm(z), 1e-12)) * start
+    middle = start.T.astype(float) @ z
+    root = np.linalg.cholesky((middle + middle.T) / 2 + shift * 1e-3 * np.eye(wide))
+    left, _, _ = np.linalg.svd(np.linalg.solve(root, z.T).T, full_matrices=False)
+    return left[:, : min(rank, wide)].astype(np.float32)
 
 
 class Searcher:

@@ -43,6 +43,18 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+#: Lower case of each Latin-1 character that words have, and a space for each other.
+_LATIN = bytes(ord(chr(c).lower()) if WORD.match(chr(c)) else 32 for c in range(256))
+
+
+def latin_words(text: str) -> list[bytes] | None:
+    """words() of a text as Latin-1 bytes, several times as fast; None for a text with other characters."""
+    try:
+        return text.encode("latin-1").translate(_LATIN).split()
+    except UnicodeEncodeError:
+        return None
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit numbers (the finaliser published as splitmix64)."""
     x = x.astype(np.uint64, copy=True)
