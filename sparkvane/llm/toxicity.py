@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
     varied = rows.where("y = 1").select("text").mapInArrow(holding, "w string, before string").groupBy("w").agg(F.countDistinct("before").alias("n"))
     contexts = {r.w: r.n for r in varied.where(F.col("n") >= least).limit(MAX_CANDIDATES).collect()}
     entries: list[str] = []
-    for w in sorted((w for w, k in contexts.items() if k >= VARIED * in_toxic[w]), key=lambda w: (-in_toxic[w] * rate[w], -len(w), w)):
+    for w in sorted((w for w, k in contexts.items() if k >= VARIED * in_toxic[w]), key=lambda w: (-in_toxic[w] * rate[w] ** 4, -len(w), w)):
         if len(entries) < MAX_ENTRIES and not any(w.startswith(e) or e.startswith(w) for e in entries):
             entries.append(w)
     # Shares from smoothed counts; an entry that clean texts lack weighs the most.
