@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +32,11 @@ from .shared import parts_for, read, shared_dir, sliced, small_batches
 
 BLOCK_IDS, LANES, END_ID = 1_500_000, 4096, 2
 CACHE_WORDS = 100_000
-#: The pre-tokens of byte-level BPE, as the tokenizers library documents its ByteLevel pattern.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters on which every Unicode version agrees; a text of others goes to the library as a whole.
-ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-§¿-ÖØ-öø-ɏ]|<\|")
+#: Letters and all characters on which every Unicode version agrees; a text with others goes to the library as a whole.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+ODD = re.compile(rf"[^\t\n\r\x20-\x7e¡-§¿{LETTER}]|<\|")
+#: The pre-tokens of byte-level BPE, as the tokenizers library documents its ByteLevel pattern, for such texts.
+PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
 BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("n_docs", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
 
@@ -60,7 +60,7 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         kind = repr(self.tokenizer.pre_tokenizer) + repr(self.tokenizer.normalizer)
         self.by_word = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and kind.endswith("None")
-        self.find = regex.compile(PRE_TOKEN).findall
+        self.find = PRE_TOKEN.findall
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
