@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import count_if
+from ..sources.tables import MODELS, by_model
 from .agreement import PAIRS
 
 #: Metrics of which more is better; of the others less is.
@@ -71,34 +72,44 @@ def verdict(lower: str = "lower", upper: str = "upper", better: str = "better",
     return F.when((lo >= -rope) & (hi <= rope), "EQUIVALENT").when(lo > rope, "SUPERIOR").when(hi < -rope, "INFERIOR").when((lo < 0) & (hi > 0), "SPANS_ZERO").otherwise("BORDERLINE")
 
 
-def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
+def gathered(df: DataFrame) -> tuple[dict, dict]:
+    """Row counts by label and all predictions, and by model, label and score bin: at most 16 and 6 x AUC_BINS, whatever the number of rows."""
+    joint = {tuple(r)[:-1]: r.n for r in df.groupBy("y", *(f"{m}_pred" for m in MODELS)).agg(F.count("*").alias("n")).collect()}
+    at = F.greatest(F.lit(0), F.least(F.lit(AUC_BINS - 1), F.floor(F.col("score") * AUC_BINS).cast("int")))
+    bins = {(r.model, r.y, r.bin): r.n for r in by_model(df, "y").groupBy("model", "y", at.alias("bin")).agg(F.count("*").alias("n")).collect()}
+    return joint, bins
+
+
+def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42, counts: tuple[dict, dict] | None = None) -> DataFrame:
     """(resample, metric, difference of a and b) for each resample of the rows, common to both models.
 
-    Rows only matter by their cell (label, both predictions, both scores' bins), so a draw of n rows
-    is one multinomial draw over the cells: the work does not depend on the number of rows. The AUC
-    takes scores in AUC_BINS bins, ties half; the other metrics are exact.
+    Rows only matter by their cell (label, both predictions), so a draw of n rows is one multinomial
+    draw over the cells: the work does not depend on the number of rows. The AUC takes scores in
+    AUC_BINS bins, ties half; the other metrics are exact.
     """
     spark = df.sparkSession
-    at = lambda m: F.least(F.lit(AUC_BINS - 1), F.floor(F.col(f"{m}_score") * AUC_BINS)).cast("int")
-    base = df.select("y", F.col(f"{a}_pred").alias("pa"), F.col(f"{b}_pred").alias("pb"), at(a).alias("sa"), at(b).alias("sb"))
-    # At most 8 and 2 x 2 x AUC_BINS cells, whatever the number of rows.
-    small = {(r.y, r.pa, r.pb): r.n for r in base.groupBy("y", "pa", "pb").agg(F.count("*").alias("n")).collect()}
-    joint = base.groupBy("y", "pa", "pb", "sa", "sb").agg(F.count("*").alias("n"))
-    bins = [(r.m, r.y, r.s, r.n) for r in joint.select("y", "n", F.inline(F.array(F.struct(F.lit(0).alias("m"), F.col("sa").alias("s")), F.struct(F.lit(1).alias("m"), F.col("sb").alias("s"))))).groupBy("m", "y", "s").agg(F.sum("n").alias("n")).collect()]
+    joint, bins = counts or gathered(df)
+    small: dict[tuple, int] = {}
+    for (y, *preds), n in joint.items():
+        key = y, preds[MODELS.index(a)], preds[MODELS.index(b)]
+        small[key] = small.get(key, 0) + n
 
     def draw(batches):
         import pandas as pd
 
-        keys, counts = sorted(small), np.array([small[k] for k in sorted(small)], float)
+        keys, sizes = sorted(small), np.array([small[k] for k in sorted(small)], float)
         hist = np.zeros((2, 2, AUC_BINS))
-        for m, y, s, n in bins:
-            hist[m, y, s] += n
-        n = int(counts.sum())
+        for (m, y, at), k in bins.items():
+            for which in (which for which, name in enumerate((a, b)) if name == m):
+                hist[which, y, at] += k
+        n = int(sizes.sum())
+        if not n:
+            return
         for pdf in batches:
             out = []
             for k in pdf["id"]:
                 rng = np.random.default_rng([seed, int(k)])
-                c = dict(zip(keys, rng.multinomial(n, counts / counts.sum()), strict=True))
+                c = dict(zip(keys, rng.multinomial(n, sizes / sizes.sum()), strict=True))
                 got = []
                 for which in (1, 2):
                     tp, fp, fn, tn = (sum(v for key, v in c.items() if key[0] == y and key[which] == p) for y, p in ((1, 1), (0, 1), (1, 0), (0, 0)))
@@ -115,9 +126,9 @@ def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: i
 
 def bootstrap(df: DataFrame, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """(model_a, model_b, metric, mean, se, lower, upper, verdict) of each two models."""
-    out = None
+    out, counts = None, gathered(df)
     for a, b in PAIRS:
-        got = interval(resampled(df, a, b, resamples, seed), ["metric"], "difference").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
+        got = interval(resampled(df, a, b, resamples, seed, counts), ["metric"], "difference").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
         out = got if out is None else out.unionByName(got)
     better = F.lit(1)
     for name, up in HIGHER_IS_BETTER.items():
@@ -128,7 +139,6 @@ def bootstrap(df: DataFrame, resamples: int = RESAMPLES, seed: int = 42) -> Data
 def poisson_counts(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
     """(resample, model, n, right): rows weigh by a Poisson draw from a hash, the same on every engine; the accuracy's bootstrap in plain SQL."""
     from ..functions.columns import uniform
-    from ..sources.tables import MODELS
 
     rows = df.select("row_id", *((F.col(f"{m}_pred") == F.col("y")).cast("int").alias(m) for m in MODELS), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
     u = uniform(seed, F.col("resample"), F.col("row_id"))
