@@ -3,9 +3,13 @@
 Texts become sequences of the benchmark's words (every other word is "another word"). Passages of
 PASSAGE words, as TF-IDF vectors over all texts and the benchmark's items, are factorised by a
 distributed randomised SVD of one pass: tasks sum A'(A R) for a random orthonormal R, and the driver
-takes the singular vectors from that matrix of one row a word (the Nystrom form for A'A). Each item
-is then compared with every window of about its length, by cosine in the latent space (other words
-count in the window's length). Candidates are verified: the longest common subsequence of item and
+takes the singular vectors from that matrix of one row a word (the Nystrom form for A'A). A benchmark
+is cut into blocks of BLOCK_ITEMS items, each with a latent space of its own words, so that the rank
+is enough however many items there are. Each item is then compared with every window of about its
+length, by cosine in the latent space (other words count in the window's length), divided by the part
+of the item's own length that the space keeps. An item's own words count at least as they do in the
+full space, and other words never count against it, so a window that holds 2 COSINE of an item's
+squared TF-IDF length passes, a verbatim copy always. Candidates are verified: the longest common subsequence of item and
 window must hold SHARE of the item's words, and ANSWER_SHARE of its answer, which is its last
 sentence, or its last quarter where that is longer; a window that holds NEAR_ALL of the item needs no
 answer check.
@@ -18,9 +22,11 @@ count; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import copy
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,8 @@ from .shared import WORD, cut, latin_words, read, sliced, small_batches, words
 
 RANK, OVERSAMPLE, PASSAGE, COSINE, SHARE, ANSWER_SHARE, NEAR_ALL = 192, 16, 32, 0.2, 0.6, 0.5, 0.9
 MAX_VOCABULARY, COMMON, RAREST, LEAST_WORDS, SEED, BLOCK, SLICE_WORDS = 300_000, 0.1, 8, 5, 31, 256, 60_000
+#: Of a block, unless one item has more; and the least part of an item's length that its cosine is divided by.
+BLOCK_ITEMS, BLOCK_WORDS, LEAST_KEPT = 256, 8192, 0.2
 _SENTENCE = re.compile(r"[.!?]\s+(?=\S)")
 
 
@@ -163,7 +171,37 @@ def inverse_frequencies(coded: DataFrame, n_words: int, items: list[Item]) -> np
     return np.where(rare, np.maximum(idf, 1e-3), 0.0)
 
 
-def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK, seed: int = SEED) -> np.ndarray:
+def in_blocks(items: list[Item]) -> Iterator[tuple[np.ndarray, list[Item]]]:
+    """Blocks of items in their order: the words of each, rising, and its items with their words as places among these. Items of one item_id stay together."""
+    held: list[Item] = []
+    own: set[int] = set()
+
+    def made() -> tuple[np.ndarray, list[Item]]:
+        block, out = np.array(sorted(own)), []
+        for i in held:
+            out.append(copy.copy(i))
+            out[-1].ids = np.searchsorted(block, i.ids).astype(np.int32)
+        return block, out
+
+    for i in items:
+        more = own.union(i.ids.tolist())
+        if held and held[-1].item_id != i.item_id and (len(held) >= BLOCK_ITEMS or len(more) > BLOCK_WORDS):
+            yield made()
+            held, own, more = [], set(), set(i.ids.tolist())
+        held.append(i)
+        own = more
+    if held:
+        yield made()
+
+
+def places(block: np.ndarray, n_words: int) -> np.ndarray:
+    """The place of each word in a block, -1 for others; the last entry is for -1 itself."""
+    out = np.full(n_words + 1, -1, np.int32)
+    out[block] = np.arange(len(block))
+    return out
+
+
+def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK, seed: int = SEED, place: np.ndarray | None = None) -> np.ndarray:
     """The right singular vectors, word x rank, of the passage matrix with the items' rows, which weigh as much as all passages."""
     wide = min(rank + OVERSAMPLE, len(idf))
     start, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(idf), wide)))
@@ -180,8 +218,13 @@ def latent_space(coded: DataFrame, items: list[Item], idf: np.ndarray, rank: int
             out[-1] += len(y)
         return out
 
-    sent = coded.sparkSession.sparkContext.broadcast(start)
-    z = summed(coded, (len(idf) + 1, wide), lambda s: sketched(s, sent.value), "sketch")
+    sent = coded.sparkSession.sparkContext.broadcast((start, place))
+
+    def partial(sequences: Iterator[np.ndarray]) -> np.ndarray:
+        m, at = sent.value
+        return sketched(sequences if at is None else (at[ids] for ids in sequences), m)
+
+    z = summed(coded, (len(idf) + 1, wide), partial, "sketch")
     ours = sketched((i.ids for i in items), start)
     z = z[:-1] + max(z[-1, 0], 1) / max(ours[-1, 0], 1) * ours[:-1]
     # A'A is near (A'A R)(R'A'A R)^-1 (A'A R)': its eigenvectors are the left singular vectors of the first factor times a root of the middle one.
@@ -202,13 +245,19 @@ class Searcher:
         self.idf2, self.cosine, self.share, self.answer_share = np.concatenate([idf**2, [other, 0.0]]), cosine, share, answer_share
         vectors = basis * idf[:, None].astype(np.float32)
         self.useful = np.concatenate([idf > 0, [False, False]])
-        self.classes: list[tuple[int, list[Item], np.ndarray, np.ndarray | None]] = []
+        self.classes: list[tuple[int, list[Item], np.ndarray, np.ndarray]] = []
         for stride in sorted({i.stride for i in items}):
             own = [i for i in items if i.stride == stride]
             q = np.stack([vectors[i.ids].sum(axis=0) for i in own])
-            q = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)).T.copy()
-            # A window's dot product with an item is the sum of its words'; few items are multiplied word by word beforehand.
-            self.classes.append((stride, own, vectors @ q, None) if len(own) <= basis.shape[1] else (stride, own, vectors, q))
+            terms = [np.unique(i.ids, return_counts=True) for i in own]
+            full = np.array([np.linalg.norm(n * idf[w]) for w, n in terms])
+            kept = np.linalg.norm(q, axis=1)
+            q /= (np.maximum(kept, 1e-9) * np.maximum(kept / full, LEAST_KEPT))[:, None]
+            # A window's dot product with an item is the sum of its words'.
+            table = np.maximum(vectors @ q.T.astype(np.float32), 0)
+            for j, (w, n) in enumerate(terms):
+                table[w, j] = np.maximum(table[w, j], n * idf[w] ** 2 / full[j])
+            self.classes.append((stride, own, table, 2 * full))
         self.patterns = {id(i): (Pattern(i.ids), Pattern(i.ids[-i.answer :])) for i in items}
 
     def __call__(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
@@ -226,17 +275,18 @@ class Searcher:
         if not len(useful):
             return []
         length = self.idf2[flat]
-        for stride, items, table, q in self.classes:
+        for stride, items, table, most in self.classes:
             n = -(-len(flat) // stride)
-            need = self.cosine * np.sqrt(_fives(np.add.reduceat(length, np.arange(0, len(flat), stride)).reshape(n, 1)))
+            size = np.sqrt(_fives(np.add.reduceat(length, np.arange(0, len(flat), stride)).reshape(n, 1)))
             heads = np.flatnonzero(np.diff(useful // stride, prepend=-1))
             chunk = np.zeros((n, table.shape[1]), np.float32)
             chunk[useful[heads] // stride] = np.add.reduceat(table[flat[useful]], heads)
-            dots = _fives(chunk if q is None else chunk @ q)
-            for w, j in zip(*(x.tolist() for x in np.nonzero((dots >= need) & (need > 0))), strict=True):
+            dots = _fives(chunk)
+            # Heavy words around an item of light ones do not hide it.
+            for w, j in zip(*(x.tolist() for x in np.nonzero((dots >= self.cosine * np.minimum(size, most)) & (size > 0))), strict=True):
                 a, b = max(0, (w - 4) * stride), min((w + 1) * stride, len(flat))
                 text = int(np.searchsorted(starts, b - 1, "right")) - 1
-                self._verify(flat[a:b].tolist(), text, items[j], float(dots[w, j] / need[w, 0] * self.cosine), found)
+                self._verify(flat[a:b].tolist(), text, items[j], float(dots[w, j] / size[w, 0]), found)
         return list(found.values())
 
     def _verify(self, window: list[int], text: int, item: Item, cos: float, found: dict) -> None:
@@ -275,23 +325,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
         return spark.createDataFrame([], schema)
     coded = cut(code(docs, number), "coded")
     idf = inverse_frequencies(coded, len(number), items)
-    basis = latent_space(coded, items, idf, rank)
-    sent = spark.sparkContext.broadcast((items, idf, basis))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Searcher(*sent.value, cosine, share, answer_share)
-        for batch in batches:
-            texts = [np.frombuffer(raw, "<i4") for raw in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            s, out = 0, []
-            while s < len(texts):
-                e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + SLICE_WORDS)))
-                out += [(s + got[0], *got[1:]) for got in search(texts[s:e])]
-                s = e
-            cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=schema.names)
-
-    return coded.mapInArrow(run, schema)
+    def searched(block: np.ndarray, own: list[Item]) -> DataFrame:
+        place = places(block, len(number))
+        sent = spark.sparkContext.broadcast((place, (own, idf[block], latent_space(coded, own, idf[block], rank, place=place))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, made = sent.value
+            search = Searcher(*made, cosine, share, answer_share)
+            for batch in batches:
+                texts = [at[np.frombuffer(raw, "<i4")] for raw in batch.column(1).to_pylist()]
+                ends = np.cumsum([len(t) for t in texts])
+                s, out = 0, []
+                while s < len(texts):
+                    e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + SLICE_WORDS)))
+                    out += [(s + got[0], *got[1:]) for got in search(texts[s:e])]
+                    s = e
+                cols = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])], names=schema.names)
+
+        return coded.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [searched(*b) for b in in_blocks(items)])
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,25 @@ def test_decontamination(spark, docs, odd_rows):
     assert kept.count() == len(rows) - len(want)
 
 
+def test_decontamination_by_many_items(spark, docs):
+    """Copies of thousands of items are found, verbatim or with a fifth of the words replaced, and items of light words among heavy ones."""
+    rnd = random.Random(5)
+    vocabulary = [prose(rnd, 1) for _ in range(20_000)]
+    pick = lambda n: [vocabulary[int(20_000 * rnd.random() ** 2)] for _ in range(n)]
+    items = [pick(rnd.randint(16, 50)) for _ in range(2000)]
+    rows, want = [], set()
+    for k in range(2000):
+        w = list(items[k])
+        if k % 2:
+            for j in rnd.sample(range(len(w) - 5), len(w) // 5):
+                w[j] = pick(1)[0]
+        rows.append((k, " ".join([*pick(rnd.randint(20, 60)), *w, *pick(40)])))
+        want.add((k, k))
+    rows += [(5000 + k, " ".join(pick(200))) for k in range(200)]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs(rows), bench(spark, [(k, " ".join(w)) for k, w in enumerate(items)])).collect()}
+    assert got == want
+
+
 def test_decontamination_of_nothing(spark, docs):
     assert decontamination.leaks(docs([]), bench(spark, [(1, "some words of a short item here")])).count() == 0
     assert decontamination.leaks(docs([(1, "a b c")]), bench(spark, [])).count() == 0
