@@ -39,11 +39,22 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 #: An opening tag of the first closes an open element of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 
 
+@lru_cache(maxsize=4096)
+def attributes(tag: str) -> tuple[tuple[str, ...], bool]:
+    """Of an opening tag's attributes: the parts of its class, id and role, and whether it is hidden."""
+    own: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        own.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    parts = tuple(p for k, v in own.items() if k in ("class", "id", "role") for p in _PART.findall(v.lower()))
+    hidden = "hidden" in own and not own["hidden"].strip().lower().startswith(("false", "until"))
+    return parts, hidden or own.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(own.get("style", "")) is not None
+
+
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """Path, text and characters inside links of each leaf block of a page, in page order."""
     if not page:
@@ -113,10 +124,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select", "div", "article", "section", "body"):
                     break
         if name not in VOID and not m[3].endswith("/"):
-            parts = [name]
-            if "=" in m[3]:
-                parts += [p for k in _NAMES.finditer(m[3]) for p in _PART.findall(k[2].lower())][:12]
-            stack.append((name, tuple(parts), bool(m[3]) and _HIDDEN.search(m[3]) is not None or name == "head"))
+            parts, hidden = attributes(m[3]) if m[3] else ((), False)
+            stack.append((name, (name, *parts), hidden or name == "head"))
     if at < len(page) and "<" != page[at]:
         add(page[at:])
     end()
@@ -148,7 +157,7 @@ class Inputs:
         self.word, self.word_of = np.array([s for w in words for s in w], np.int64), np.repeat(np.arange(n), [len(w) for w in words])
         self.plain = np.array(
             [
-                (min(len(w), 400) ** 0.5 / 10, len(w) > 12, min(1.0, linked / max(len(t), 1)), t[-1] in ".!?:…\"'", (k + 1) / n, k == 0, sum(c in "|©»›·" for c in t[:200]) > 0, t[:1].isupper())
+                (min(len(w), 400) ** 0.5 / 10, len(w) > 12, min(1.0, linked / max(len(t), 1)), t[-1] in ".!?:…\"'", (k + 1) / n, k == 0, any(c in t for c in "|©»›·"), t[:1].isupper())
                 for k, ((_, t, linked), w) in enumerate(zip(found, texts, strict=True))
             ],
             float,

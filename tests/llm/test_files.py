@@ -45,6 +45,19 @@ def test_encoder_is_the_library():
         assert [x.tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_only_hidden_elements_are_hidden():
+    for tag in ('class="overflow-hidden"', 'style="overflow:hidden"', 'class="hidden-print"', 'title="a hidden gem"', "data-hidden=1", 'aria-hidden="false"', 'hidden="until-found"', 'title="display:none"', 'data-aria-hidden="true"', 'title="no > end"'):
+        assert [t for _, t, _ in pages.blocks(f"<div {tag}><p>text</p></div>")] == ["text"], tag
+    for tag in ("hidden", "HIDDEN", 'hidden=""', 'class="a" hidden', "aria-hidden=true", 'style="color:red; display : none"', "style='DISPLAY:NONE !important'"):
+        assert pages.blocks(f"<div {tag}><p>text</p></div>") == [], tag
+
+
+def test_late_names_and_characters_count():
+    path, text, _ = pages.blocks(f'<div class="{" ".join(["x"] * 40)} sidebar"><p>{"word " * 60}| more</p></div>')[0]
+    assert "sidebar" in path
+    assert pages.Inputs([(path, text, 0)]).plain[0, 6] == 1 and pages.Inputs([(path, text.replace("|", ""), 0)]).plain[0, 6] == 0
+
+
 def test_token_files(spark, docs, odd_rows, tmp_path):
     from tokenizers import Tokenizer
 
