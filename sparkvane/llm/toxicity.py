@@ -3,13 +3,14 @@
 Texts are lower-cased, look-alike letters and digits are folded to the Latin letters they stand for,
 accents are dropped and letters set apart by dots or dashes are drawn together. A lexicon entry is a
 beginning of a word; it is matched where a word begins. Entries and weights (smoothed log odds) are
-learned from labelled texts: nearly all texts with the entry are toxic, and it stands in many
-contexts, so that the other words of a toxic text with many copies stay out. Phrases that hold an entry
+learned from labelled texts: nearly all texts with the entry are toxic, and it stands in as many
+contexts as an entry has texts at least. Texts that are near copies count as one, so that the other
+words of a toxic text with many copies stay out, however many rows there are. Phrases that hold an entry
 but are found in clean texts are exceptions and mask the matches inside them. The score is a logistic
 function of the weight sum and of the weight sum for each hundred words.
 
 The lexicon is fitted on a bounded sample: the MAX_TOXIC and MAX_CLEAN labelled rows that come first
-by the hash of doc_id. Every text is scored whole. A null or empty text has no match and so the base
+by the hash of doc_id; of near copies among them (SAME of the sketches' HASHES agree) one is kept. Every text is scored whole. A null or empty text has no match and so the base
 score, as has every text if there are no labels. Rows are kept as they are, repeated or not; other
 columns are ignored, whatever their names.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WORD, cut, held_out, read, sliced, small_batches
+from .shared import WORD, cut, held_out, mix64, read, sliced, small_batches, words
 
 MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_ENTRIES, MAX_EXCEPTIONS = 8000, 16000, 20_000, 400, 400
-SHORTEST, LONGEST, LEAST_SHARE, PRECISION, VARIED = 4, 12, 0.003, 0.95, 0.3
+SHORTEST, LONGEST, LEAST_SHARE, PRECISION = 4, 12, 0.003, 0.95
+#: Of sketches of word pairs, and of their bands, by which near copies meet.
+HASHES, BAND, SAME = 192, 3, 0.25
 
 # Look-alike characters and the letters they stand for.
 LOOKALIKES = {
@@ -144,13 +148,60 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+_FACTORS = mix64(np.arange(1, HASHES + 1)) | np.uint64(1)
+
+
+def sketch(text: str) -> np.ndarray | None:
+    """The least of each of HASHES hashes over the pairs of neighbouring words; None without pairs."""
+    own = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words(text)], np.uint64)
+    if len(own) < 2:
+        return None
+    pairs = mix64(np.unique(own[:-1] << np.uint64(32) | own[1:]))
+    least = [(pairs[k : k + 5000, None] * _FACTORS).min(axis=0) for k in range(0, len(pairs), 5000)]
+    return (np.min(least, axis=0) >> np.uint64(32)).astype("<u4")
+
+
+def copies(sketches: list[np.ndarray]) -> list[int]:
+    """The places of texts that are near copies of one before them, directly or by others in between."""
+    up = list(range(len(sketches)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    heads: dict[tuple[int, bytes], int] = {}
+    for k, own in enumerate(sketches):
+        for b in range(0, HASHES, BAND):
+            a, c = root(heads.setdefault((b, own[b : b + BAND].tobytes()), k)), root(k)
+            if a != c and np.mean(sketches[heads[b, own[b : b + BAND].tobytes()]] == own) >= SAME:
+                up[max(a, c)] = min(a, c)
+    return [k for k in range(len(up)) if root(k) != k]
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """rows (d, text, y) without near copies of others of the same y. The sketches, of at most MAX_TOXIC + MAX_CLEAN texts, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in sliced(batches, 1):
+            got = [None if (k := sketch(t)) is None else k.tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(got, pa.binary())], names=["d", "y", "sketch"])
+
+    made = rows.select("d", "text", "y").mapInArrow(run, "d long, y int, sketch binary").where("sketch is not null").orderBy("y", "d").collect()
+    gone = []
+    for y in (0, 1):
+        own = [m for m in made if m.y == y]
+        gone += [(own[k].d, y) for k in copies([np.frombuffer(m.sketch, "<u4") for m in own])]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(gone, "d long, y int")), ["d", "y"], "left_anti")
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and y of the labelled rows that are learned from; exact copies count once."""
+    """d (a hash of the text), text and y of the labelled rows that are learned from; copies and near copies count once."""
     own = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     picked = [own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     # At most MAX_TOXIC + MAX_CLEAN rows of two numbers.
     bounded = F.broadcast(picked[0].unionByName(picked[1]))
-    return cut(docs.select("doc_id", "text").where("text is not null").join(bounded, "doc_id").dropDuplicates(["text", "y"]).select(F.xxhash64("doc_id").alias("d"), "text", "y"), "labelled")
+    return apart(cut(docs.select("doc_id", "text").where("text is not null").join(bounded, "doc_id").dropDuplicates(["text", "y"]).select(F.xxhash64("text").alias("d"), "text", "y"), "labelled"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[str], list[float]]:
@@ -197,11 +248,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
                 out += first.items()
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], names=["w", "before"])
 
-    # Texts that are copies of each other have one context for a word; a lexicon word has many.
+    # A lexicon word has many contexts. Their share of its texts falls as these grow, so it is not looked at.
     varied = rows.where("y = 1").select("text").mapInArrow(holding, "w string, before string").groupBy("w").agg(F.countDistinct("before").alias("n"))
     contexts = {r.w: r.n for r in varied.where(F.col("n") >= least).limit(MAX_CANDIDATES).collect()}
     entries: list[str] = []
-    for w in sorted((w for w, k in contexts.items() if k >= VARIED * in_toxic[w]), key=lambda w: (-in_toxic[w] * rate[w] ** 4, -len(w), w)):
+    for w in sorted(contexts, key=lambda w: (-in_toxic[w] * rate[w] ** 4, -len(w), w)):
         if len(entries) < MAX_ENTRIES and not any(w.startswith(e) or e.startswith(w) for e in entries):
             entries.append(w)
     # Shares from smoothed counts; an entry that clean texts lack weighs the most.

@@ -185,6 +185,29 @@ def test_toxicity(spark, docs, odd_rows):
     assert toxicity.toxicity(docs([]), lab).count() == 0
 
 
+def test_toxicity_of_frequent_words_and_near_copies(spark, docs):
+    """A toxic word stays an entry when its contexts recur and near copies hold it; the copies' other words do not become entries."""
+    rnd = random.Random(6)
+    common = [prose(rnd, 1) for _ in range(40)]
+    copied = [prose(rnd, 1, "uvwxyz") + "uvwxyz"[k % 6] * 3 for k in range(60)]
+    rows, labels = [], []
+    for k in range(1500):
+        w = [rnd.choice(common) for _ in range(rnd.randint(20, 60))]
+        if k % 3 == 1:
+            w.insert(rnd.randrange(1, len(w)), "zorgle")
+        elif k % 3 == 2:
+            w = [prose(rnd, 1) if rnd.random() < 0.1 else x for x in copied]
+            w.insert(30, "zorgle")
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 3 > 0)))
+    weights, _, _ = toxicity.learn(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any("zorgle".startswith(e) for e in weights)
+    assert not any(w.startswith(e) for e in weights for w in copied)
+    held = {k for k, _ in labels if k % 3 == 1}
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert all(r.predicted == 1 for r in toxicity.toxicity(docs(rows), lab).collect() if r.doc_id in held)
+
+
 def test_language(spark, docs, odd_rows):
     rnd = random.Random(5)
     letters = {"aa": "abcde", "bb": "defgh", "cc": "éèàbc"}
