@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import count_if
-from ..sources.tables import MODELS, by_model
+from ..sources.tables import MODELS
 from .agreement import PAIRS
 
 #: Metrics of which more is better; of the others less is.
@@ -72,52 +72,47 @@ def verdict(lower: str = "lower", upper: str = "upper", better: str = "better",
     return F.when((lo >= -rope) & (hi <= rope), "EQUIVALENT").when(lo > rope, "SUPERIOR").when(hi < -rope, "INFERIOR").when((lo < 0) & (hi > 0), "SPANS_ZERO").otherwise("BORDERLINE")
 
 
-def gathered(df: DataFrame) -> tuple[dict, dict]:
-    """Row counts by label and all predictions, and by model, label and score bin: at most 16 and 6 x AUC_BINS, whatever the number of rows."""
-    joint = {tuple(r)[:-1]: r.n for r in df.groupBy("y", *(f"{m}_pred" for m in MODELS)).agg(F.count("*").alias("n")).collect()}
-    at = F.greatest(F.lit(0), F.least(F.lit(AUC_BINS - 1), F.floor(F.col("score") * AUC_BINS).cast("int")))
-    bins = {(r.model, r.y, r.bin): r.n for r in by_model(df, "y").groupBy("model", "y", at.alias("bin")).agg(F.count("*").alias("n")).collect()}
-    return joint, bins
+def gathered(df: DataFrame, a: str, b: str) -> np.ndarray:
+    """Label, both predictions, both score bins and the number of rows of each cell that has any: at most 8 x AUC_BINS x AUC_BINS columns, whatever the number of rows."""
+    at = lambda m: F.greatest(F.lit(0), F.least(F.lit(AUC_BINS - 1), F.floor(F.col(f"{m}_score") * AUC_BINS).cast("int")))
+    cells = df.select(F.col("y").cast("int").alias("y"), *(F.col(f"{m}_pred").cast("int").alias(f"p{k}") for k, m in enumerate((a, b))), *(at(m).alias(f"s{k}") for k, m in enumerate((a, b))))
+    got = cells.groupBy(*cells.columns).agg(F.count("*").alias("n")).toArrow()
+    out = np.array([got.column(c).to_numpy() for c in got.column_names], np.int64)
+    # In one order, so that a seed gives one result.
+    return out[:, np.lexsort(out)]
 
 
-def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42, counts: tuple[dict, dict] | None = None) -> DataFrame:
+def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """(resample, metric, difference of a and b) for each resample of the rows, common to both models.
 
-    Rows only matter by their cell (label, both predictions), so a draw of n rows is one multinomial
-    draw over the cells: the work does not depend on the number of rows. The AUC takes scores in
-    AUC_BINS bins, ties half; the other metrics are exact.
+    Rows only matter by their cell (label, both predictions, both scores' bins), so a draw of n rows is
+    one multinomial draw over the cells, from which all metrics of both models are taken: the work is
+    bounded by the cells. The AUC takes scores in AUC_BINS bins, ties half; the other metrics are exact.
     """
     spark = df.sparkSession
-    joint, bins = counts or gathered(df)
-    small: dict[tuple, int] = {}
-    for (y, *preds), n in joint.items():
-        key = y, preds[MODELS.index(a)], preds[MODELS.index(b)]
-        small[key] = small.get(key, 0) + n
+    sent = spark.sparkContext.broadcast(gathered(df, a, b))
 
     def draw(batches):
         import pandas as pd
 
-        keys, sizes = sorted(small), np.array([small[k] for k in sorted(small)], float)
-        hist = np.zeros((2, 2, AUC_BINS))
-        for (m, y, at), k in bins.items():
-            for which in (which for which, name in enumerate((a, b)) if name == m):
-                hist[which, y, at] += k
+        y, *rest, sizes = sent.value
         n = int(sizes.sum())
         if not n:
             return
+        share = sizes / n
+        # Of each model: the place of a cell among label and prediction, and among label and score bin.
+        places = [(y * 2 + rest[k], y * AUC_BINS + rest[2 + k]) for k in (0, 1)]
         for pdf in batches:
             out = []
             for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                c = dict(zip(keys, rng.multinomial(n, sizes / sizes.sum()), strict=True))
+                c = np.random.default_rng([seed, int(k)]).multinomial(n, share)
                 got = []
-                for which in (1, 2):
-                    tp, fp, fn, tn = (sum(v for key, v in c.items() if key[0] == y and key[which] == p) for y, p in ((1, 1), (0, 1), (1, 0), (0, 0)))
-                    h = hist[which - 1]
-                    pos, neg = (rng.multinomial(int(h[y].sum()), h[y] / max(h[y].sum(), 1)) if h[y].sum() else np.zeros(AUC_BINS) for y in (1, 0))
+                for outcome, scored in places:
+                    tn, fp, fn, tp = (int(v) for v in np.bincount(outcome, c, 4))
+                    neg, pos = np.bincount(scored, c, 2 * AUC_BINS).reshape(2, AUC_BINS)
                     below = np.cumsum(neg) - neg
                     area = float((pos * (below + neg / 2)).sum() / max(pos.sum() * neg.sum(), 1))
-                    got.append({"accuracy": (tp + tn) / max(n, 1), "f1": 2 * tp / max(2 * tp + fp + fn, 1), "fpr": fp / max(fp + tn, 1), "auc": area})
+                    got.append({"accuracy": (tp + tn) / n, "f1": 2 * tp / max(2 * tp + fp + fn, 1), "fpr": fp / max(fp + tn, 1), "auc": area})
                 out += [(int(k), name, got[0][name] - got[1][name]) for name in got[0]]
             yield pd.DataFrame(out, columns=["resample", "metric", "difference"])
 
@@ -126,9 +121,9 @@ def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: i
 
 def bootstrap(df: DataFrame, resamples: int = RESAMPLES, seed: int = 42) -> DataFrame:
     """(model_a, model_b, metric, mean, se, lower, upper, verdict) of each two models."""
-    out, counts = None, gathered(df)
+    out = None
     for a, b in PAIRS:
-        got = interval(resampled(df, a, b, resamples, seed, counts), ["metric"], "difference").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
+        got = interval(resampled(df, a, b, resamples, seed), ["metric"], "difference").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
         out = got if out is None else out.unionByName(got)
     better = F.lit(1)
     for name, up in HIGHER_IS_BETTER.items():

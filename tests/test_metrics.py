@@ -164,3 +164,24 @@ def test_summaries(spark):
     assert (got["m"]["mean"], got["m"].std_sample) == (0.85, 0.070711) and got["one"].std_sample == 0
     c = spark.createDataFrame([("g", 0.1, 0.82), ("g", 1.0, 0.88), ("g", 10.0, 0.85), ("t", 10.0, 0.5), ("t", 0.1, 0.5)], "g string, c double, f1 double")
     assert {r.g: r.c for r in summaries.best_candidate(c, ["g"]).collect()} == {"g": 1.0, "t": 0.1}
+
+
+def test_bootstrap_is_paired(spark):
+    """Equal models never differ; models that mostly agree differ as much as in resamples of the rows themselves."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    a = np.clip(0.4 * y + 0.6 * rng.random(400), 0, 1 - 1e-9)
+    b = np.clip(a + rng.normal(0, 0.03, 400), 0, 1 - 1e-9)
+    names = inference.MODELS
+    rows = [(int(t), *(v for s in (p, q, p) for v in (float(s), int(s >= 0.5)))) for t, p, q in zip(y, a, b, strict=True)]
+    df = spark.createDataFrame(rows, "y int, " + ", ".join(f"{m}_score double, {m}_pred int" for m in names))
+    same = inference.resampled(df, names[0], names[2], 50).collect()
+    assert len(same) == 200 and all(r.difference == 0 for r in same)
+    got = {m: np.std([r.difference for r in inference.resampled(df, names[0], names[1], 400).collect() if r.metric == m]) for m in ("auc", "accuracy")}
+
+    def area(t, s):
+        return (s[t == 1][:, None] > s[t == 0]).mean()
+
+    draws = [rng.integers(0, 400, 400) for _ in range(400)]
+    assert abs(got["auc"] / np.std([area(y[k], a[k]) - area(y[k], b[k]) for k in draws]) - 1) < 0.2
+    assert abs(got["accuracy"] / np.std([((a[k] >= 0.5) == y[k]).mean() - ((b[k] >= 0.5) == y[k]).mean() for k in draws]) - 1) < 0.2
