@@ -249,3 +249,20 @@ def test_models_and_bundle(spark, tmp_path):
         models.margin_or_probability(df)
     with pytest.raises(ValueError):
         models.checked_scores(spark.createDataFrame([], "score double"))
+
+
+def test_neighbours_strictly_inside(spark):
+    """The k-th neighbour is not counted, whatever the offset of the values; estimates keep what a feature tells."""
+    rng = np.random.default_rng(0)
+    for offset in (0.0, 1e6):
+        x = offset + rng.normal(size=300)
+        order = np.sort(x)
+        gaps = np.abs(order[None, :] - x[:, None])
+        radius = np.sort(gaps, axis=1)[:, 3]
+        assert select.inside(order, x, radius).tolist() == (gaps < radius[:, None]).sum(axis=1).tolist()
+    y = (rng.random(4000) < 0.25).astype(int)
+    for shift, want in ((0.5, 0.023), (1.0, 0.086)):
+        assert abs(select.information(rng.normal(size=4000) + shift * y, y) - want) < 0.03
+    assert select.information(rng.normal(size=4000) + 2.0 * y, y) > 0.2
+    df = spark.createDataFrame([(str(k), float(v), int(c)) for k, (v, c) in enumerate(zip(rng.normal(size=4000) + 1.0 * y, y, strict=True))], "row_id string, x double, y int")
+    assert abs(select.neighbour_information(df, ["x"], "y", "row_id", chunk=1000).first().mi - 0.086) < 0.03
