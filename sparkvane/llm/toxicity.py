@@ -3,14 +3,17 @@
 Texts are lower-cased, look-alike letters and digits are folded to the Latin letters they stand for,
 accents are dropped and letters set apart by dots or dashes are drawn together. A lexicon entry is a
 beginning of a word; it is matched where a word begins. Entries and weights (smoothed log odds) are
-learned from labelled texts: nearly all texts with the entry are toxic, and it stands in as many
-contexts as an entry has texts at least. Texts that are near copies count as one, so that the other
+learned from labelled texts: nearly all texts with the entry are toxic, more of them than chance gives
+to any of the candidates (a bound of the binomial tail, times their number, is under CHANCE), and it
+stands in as many contexts as an entry has texts at least. Texts that are near copies count as one, so that the other
 words of a toxic text with many copies stay out, however many rows there are. Phrases that hold an entry
-but are found in clean texts are exceptions and mask the matches inside them. The score is a logistic
+but are found in clean texts are exceptions and mask the matches inside them (labelled texts without
+such phrases give none; `score` takes any others). The score is a logistic
 function of the weight sum and of the weight sum for each hundred words.
 
 The lexicon is fitted on a bounded sample: the MAX_TOXIC and MAX_CLEAN labelled rows that come first
-by the hash of doc_id; of near copies among them (SAME of the sketches' HASHES agree) one is kept. Every text is scored whole. A null or empty text has no match and so the base
+by the hash of doc_id; of near copies among them (SAME of the sketches' HASHES agree) one is kept.
+What the sample gives is not cut further. Every text is scored whole. A null or empty text has no match and so the base
 score, as has every text if there are no labels. Rows are kept as they are, repeated or not; other
 columns are ignored, whatever their names.
 """
@@ -32,8 +35,9 @@ from pyspark.sql import types as T
 
 from .shared import WORD, cut, held_out, mix64, read, sliced, small_batches, words
 
-MAX_TOXIC, MAX_CLEAN, MAX_CANDIDATES, MAX_ENTRIES, MAX_EXCEPTIONS = 8000, 16000, 20_000, 400, 400
-SHORTEST, LONGEST, LEAST_SHARE, PRECISION = 4, 12, 0.003, 0.95
+MAX_TOXIC, MAX_CLEAN = 8000, 16000
+#: Characters of an entry, the least share of the toxic texts that have it, the share of texts with it that are toxic (of as many of both), and the expected number of entries by chance.
+SHORTEST, LONGEST, LEAST_SHARE, PRECISION, CHANCE = 4, 40, 0.003, 0.85, 0.2
 #: Of sketches of word pairs, and of their bands, by which near copies meet.
 HASHES, BAND, SAME = 192, 3, 0.25
 
@@ -48,6 +52,7 @@ LOOKALIKES = {
 #: Characters that folding changes, beyond those whose compatibility form it takes.
 _ODD = re.compile(r"[^a-z\s.,;:!?'\"()*#%&_-]")
 _SIGN = re.compile(r"(?<![@$])[@$](?=[a-z])")
+_NEXT = re.compile(r"[\W_]+[^\W_]+")
 _APART = re.compile(r"\b\w(?:[.*_-]\w)+\b")
 
 
@@ -114,12 +119,25 @@ class Matcher:
 
 
 def around(folded: str, start: int) -> list[str]:
-    """The word at start with its neighbours: phrases that could excuse it."""
-    end = start
+    """The word at start with the word before it, and with the word after it: phrases that could excuse it."""
+    end, a = start, start
     while end < len(folded) and folded[end].isalnum():
         end += 1
-    before, after = re.search(r"(\w+)\W+$", folded[max(0, start - 40) : start]), re.match(r"\W+\w+", folded[end : end + 40])
-    return ([folded[start - len(before[0]) : end]] if before else []) + ([folded[start:end] + after[0]] if after else [])
+    while a and not folded[a - 1].isalnum():
+        a -= 1
+    first = a
+    while first and folded[first - 1].isalnum():
+        first -= 1
+    after = _NEXT.match(folded, end)
+    return ([folded[first:end]] if first < a else []) + ([folded[start : after.end()]] if after else [])
+
+
+def surprise(k: int, n: int, share: float) -> float:
+    """A bound from below of -log of the chance that k or more of n are toxic when a `share` of all is (Chernoff)."""
+    q = k / n
+    if q <= share:
+        return 0.0
+    return n * (q * math.log(q / share) + ((1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0))
 
 
 @lru_cache(maxsize=4)
@@ -226,14 +244,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
         return run
 
     def counts(y: int, only: frozenset | None, least: int) -> dict[str, int]:
+        # As many as the bounded sample holds in `least` texts or more.
         got = rows.where(F.col("y") == y).select("text").mapInArrow(counted(only), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return {r.w: r.n for r in got.orderBy(F.desc("n"), "w").limit(MAX_CANDIDATES).collect()}
+        return {r.w: r.n for r in got.collect()}
 
     least = max(3, math.ceil(LEAST_SHARE * toxic))
     in_toxic = counts(1, None, least)
     in_clean = counts(0, frozenset(in_toxic), 1)
     rate = {w: (k / toxic) / (k / toxic + in_clean.get(w, 0) / max(clean, 1)) for w, k in in_toxic.items()}
-    sure = frozenset(w for w, r in rate.items() if r >= PRECISION)
+    share, enough = toxic / (toxic + max(clean, 1)), math.log(max(len(in_toxic), 1) / CHANCE)
+    sure = frozenset(w for w, r in rate.items() if r >= PRECISION and surprise(in_toxic[w], in_toxic[w] + in_clean.get(w, 0), share) >= enough)
 
     def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in sliced(batches, 0):
@@ -250,10 +270,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
 
     # A lexicon word has many contexts. Their share of its texts falls as these grow, so it is not looked at.
     varied = rows.where("y = 1").select("text").mapInArrow(holding, "w string, before string").groupBy("w").agg(F.countDistinct("before").alias("n"))
-    contexts = {r.w: r.n for r in varied.where(F.col("n") >= least).limit(MAX_CANDIDATES).collect()}
+    contexts = {r.w: r.n for r in varied.where(F.col("n") >= least).collect()}
     entries: list[str] = []
     for w in sorted(contexts, key=lambda w: (-in_toxic[w] * rate[w] ** 4, -len(w), w)):
-        if len(entries) < MAX_ENTRIES and not any(w.startswith(e) or e.startswith(w) for e in entries):
+        if not any(w.startswith(e) or e.startswith(w) for e in entries):
             entries.append(w)
     # Shares from smoothed counts; an entry that clean texts lack weighs the most.
     weights = {w: math.log((in_toxic[w] + 0.5) / (toxic + 1)) - math.log((in_clean.get(w, 0) + 0.5) / (clean + 1)) for w in entries}
@@ -267,7 +287,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], names=["p", "y"])
 
     met = rows.select("text", "y").mapInArrow(phrases, "p string, y int").groupBy("p").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    exceptions = sorted(r.p for r in met.where("good >= 5 and good > 10 * bad").orderBy(F.desc("good"), "p").limit(MAX_EXCEPTIONS).collect())
+    exceptions = sorted(r.p for r in met.where("good >= 5 and good > 10 * bad").collect())
     masks = tuple(exceptions)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Decontamination, line templates, toxicity, language and mixing."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -252,4 +254,41 @@ def test_mixing(spark, docs, odd_rows):
 
 @pytest.mark.parametrize("text", ["", "ß", "a" * 50])
 def test_beginnings(text):
-    assert all(4 <= len(b) <= 12 for b in toxicity.beginnings(toxicity.fold(text)))
+    assert all(4 <= len(b) <= toxicity.LONGEST for b in toxicity.beginnings(toxicity.fold(text)))
+
+
+def test_surprise_bounds_the_binomial_tail():
+    for share in (0.1, 0.33):
+        for n in (3, 10, 40):
+            for k in range(1, n + 1):
+                tail = sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k, n + 1))
+                assert math.exp(-toxicity.surprise(k, n, share)) >= tail - 1e-12
+
+
+def test_chance_words_are_no_entries(spark, docs):
+    """Of texts whose labels are drawn by lot, no beginning becomes an entry, though many are in toxic texts alone."""
+    rnd = random.Random(8)
+    rows = [(k, prose(rnd, 60)) for k in range(400)]
+    labels = [(k, int(rnd.random() < 0.15)) for k, _ in rows]
+    weights, exceptions, _ = toxicity.learn(docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not weights and not exceptions
+
+
+def test_lexicon_against_brute_force(spark, docs):
+    """Scores equal those of a plain search of every entry at every word."""
+    rnd = random.Random(9)
+    weights, exceptions = {"zorg": 2.0, "zorgle": 3.5, "blim": 1.5}, ["the zorgle", "blim cup"]
+    pieces = ["zorg", "zorgle", "zorglemore", "the zorgle", "blim", "blim cup", "bl1m", "z-o-r-g", "unblim", "a", "plain"]
+    rows = [(k, " ".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30)))) for k in range(200)] + [(900, None), (901, "")]
+    want = {}
+    for k, text in rows:
+        folded = toxicity.fold(text or "")
+        masked = [(m.start(), m.end()) for e in exceptions for m in re.finditer(f"(?={re.escape(e)})", folded) for m in [re.compile(re.escape(e)).match(folded, m.start())]]
+        total = 0.0
+        for m in re.finditer(r"[^\W_]+", folded):
+            own = [e for e in weights if m[0].startswith(e)]
+            if own and not any(a <= m.start() and m.start() + len(max(own, key=len)) <= b for a, b in masked):
+                total += weights[max(own, key=len)]
+        want[k] = total
+    got = {r.doc_id: r for r in toxicity.score(docs(rows), weights, exceptions, [-1.0, 0.5, 0.25]).collect()}
+    assert {k: round(r.weight, 9) for k, r in got.items()} == {k: round(v, 9) for k, v in want.items()}
