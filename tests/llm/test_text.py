@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,31 +104,56 @@ def test_passage_matrix_is_factorised(spark, docs):
 
 def brute_lines(texts):
     """The rule of line_templates, plainly."""
-    lines = {}
+    m = line_templates
+    lines, exact, members = {}, {}, {}
     for t in set(texts) - {None}:
         for p, line in enumerate(t.split("\n")):
-            tokens = [line_templates.FIELD if any(c in "0123456789" for c in w) else w for w in line.split(" ") if w]
-            if len(tokens) >= line_templates.MIN_TOKENS:
-                lines[t, p] = tuple(tokens)
-    leaves, exact, general, fits = {}, {}, {}, {}
+            if tokens := tuple(m.FIELD if any(c in "0123456789" for c in w) else w for w in line.split(" ") if w):
+                lines[t, p] = tokens
+                exact.setdefault(tokens, set()).add(t)
+    nodes = {}
     for k, w in lines.items():
-        leaves.setdefault((len(w), w[:3]), []).append(k)
-        exact.setdefault(w, set()).add(k[0])
-    for leaf, ks in leaves.items():
-        template = []
-        for p in range(leaf[0]):
-            own = [lines[k][p] for k in ks]
-            top = max(set(own), key=own.count)
-            template.append(top if own.count(top) * 2 > len(own) else line_templates.FIELD)
-        for k in ks:
-            fits[k] = sum(a == b != line_templates.FIELD for a, b in zip(lines[k], template, strict=True)) >= line_templates.SIMILAR * leaf[0] - 1e-9
-            if fits[k]:
-                general.setdefault(leaf, set()).add(k[0])
-    enough = line_templates.MIN_DOCS
-    gone = {k for k, w in lines.items() if len(exact[w]) >= enough or fits[k] and len(general[len(w), w[:3]]) >= enough}
+        nodes.setdefault((len(w), w[: m.LEADING]), []).append(k)
+    for _ in range(m.SPLITS + 1):
+        after = {}
+        for node, ks in nodes.items():
+            n, rest = len(lines[ks[0]]), []
+            counts = [Counter(lines[k][p] for k in ks) for p in range(n)]
+            template = [next((t for t, c in own.items() if c * 2 > len(ks)), m.FIELD) for own in counts]
+            for k in ks:
+                if sum(a == b != m.FIELD for a, b in zip(lines[k], template, strict=True)) >= m.SIMILAR * n - 1e-9:
+                    members.setdefault(node, []).append(k)
+                else:
+                    rest.append(k)
+            counts = [Counter(lines[k][p] for k in rest) for p in range(n)]
+            for k in rest:
+                some = [(counts[p][t], -p, t) for p, t in enumerate(lines[k]) if t != m.FIELD and 1 < counts[p][t] < len(rest)]
+                if some:
+                    after.setdefault((node, max(some)[1:]), []).append(k)
+        nodes = after
+    gone = {k for k, w in lines.items() if len(exact[w]) >= m.MIN_DOCS}
+    for ks in members.values():
+        if len({t for t, _ in ks}) >= m.MIN_DOCS:
+            gone.update(ks)
     return {t: "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in gone) for t in set(texts) - {None}}
 
 
+def test_line_templates_that_share_a_leaf(spark, docs):
+    """Several templates of one leaf, short lines, and many dropped lines of one long text."""
+    rnd = random.Random(12)
+    rows = []
+    for k in range(120):
+        lines = [f"Click here to view the profile of {prose(rnd, 1)}", f"Click here to leave a note for {prose(rnd, 1)}", f"Click here to {prose(rnd, 5)}", "Read more", "Share", prose(rnd, 12)]
+        rnd.shuffle(lines)
+        rows.append((k, "\n".join(lines)))
+    rows.append((900, "\n".join(f"Share\nown line {prose(rnd, 9)}" for _ in range(3000))))
+    want = brute_lines([t for _, t in rows])
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(docs(rows)).collect()}
+    assert {k: r.kept_text for k, r in got.items()} == {k: want[t] for k, t in rows}
+    assert got[900].n_dropped == 3000 and got[900].kept_text.count("\n") == 2999
+    assert not any(w in got[k].kept_text for k in range(120) for w in ("profile", "leave a note", "Read more", "Share"))
+
+
 def test_line_templates(spark, docs, odd_rows):
     rnd = random.Random(3)
     rows = []
