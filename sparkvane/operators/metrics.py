@@ -37,10 +37,11 @@ def confusion(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred")
 
 
 def evaluate(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred", score: str = "score", digits: int = 6) -> DataFrame:
-    """keys, the 2 x 2 counts, accuracy, precision, recall, f1, fpr and auc (null if one class is missing)."""
-    base = confusion(df, keys, y, pred)
-    named = base.select(*keys, "tn", "fp", "fn", "tp", *(F.round(c, digits).alias(n) for n, c in rates().items()))
-    return named.join(auc(df, keys, y, score, digits), keys)
+    """keys, the 2 x 2 counts, accuracy, precision, recall, f1, fpr and auc (null if one class is missing). The rows are read once."""
+    per = counted(df, keys, y, score, *cells(F.col(y), F.col(pred)))
+    counts = per.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")))
+    named = counts.select(*keys, "tn", "fp", "fn", "tp", *(F.round(c, digits).alias(n) for n, c in rates().items()))
+    return named.join(below(per, keys).groupBy(*keys).agg(_area(digits).alias("auc")), keys, "left")
 
 
 def class_report(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
@@ -57,30 +58,41 @@ def class_report(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred
     return per.unionByName(both)
 
 
-def cumulative(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """keys, score, pos, neg (rows with that score), pos_below, neg_below (rows with a lower one), all_pos, all_neg. NaN and null scores are left out."""
+def counted(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", *more: Column) -> DataFrame:
+    """keys, _bin, score, pos and neg (rows with that score) and what else is to be counted; _bin and score are null for NaN and null scores."""
     s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
     # Rising with the score and fine at every magnitude, so that bins need no look at the data first.
     at = F.floor(F.signum(s) * F.log1p(F.abs(s) * 1000) * STEPS).cast("int")
-    base = df.select(*keys, F.col(y).alias("_y"), s.alias("score"), at.alias("_bin")).where("_bin is not null")
-    counts = [F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")]
-    past = (Window.unboundedPreceding, -1)
-    sums = base.groupBy(*keys, "_bin").agg(*counts)
+    return df.groupBy(*keys, at.alias("_bin"), s.alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"), *more)
+
+
+def below(per: DataFrame, keys: list[str]) -> DataFrame:
+    """cumulative() of what counted() gives; the rows behind it are not read again."""
+    per = per.where("_bin is not null").select(*keys, "_bin", "score", "pos", "neg")
+    past, none = (Window.unboundedPreceding, -1), F.lit(0)
+    sums = per.groupBy(*keys, "_bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*past)
-    none = F.lit(0)
     sums = sums.select(*keys, "_bin", F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"), F.coalesce(F.sum("pos").over(before), none).alias("_pb"), F.coalesce(F.sum("neg").over(before), none).alias("_nb"))
     inside = Window.partitionBy(*keys, "_bin").orderBy("score").rowsBetween(*past)
-    per = base.groupBy(*keys, "_bin", "score").agg(*counts)
     per = per.withColumns({"_pi": F.coalesce(F.sum("pos").over(inside), none), "_ni": F.coalesce(F.sum("neg").over(inside), none)})
     out = per.join(sums, [*keys, "_bin"])
     return out.select(*keys, "score", "pos", "neg", (F.col("_pi") + F.col("_pb")).alias("pos_below"), (F.col("_ni") + F.col("_nb")).alias("neg_below"), "all_pos", "all_neg")
 
 
-def auc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
-    """keys and auc: the chance that a positive outscores a negative, ties half; null if one class is missing."""
-    c = cumulative(df, keys, y, score)
+def cumulative(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
+    """keys, score, pos, neg (rows with that score), pos_below, neg_below (rows with a lower one), all_pos, all_neg. NaN and null scores are left out."""
+    return below(counted(df, keys, y, score), keys)
+
+
+def _area(digits: int) -> Column:
+    """Over the rows of cumulative(): the chance that a positive outscores a negative, ties half; null if one class is missing."""
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
-    return c.groupBy(*keys).agg(F.round(area / F.nullif(F.max("all_pos") * F.max("all_neg"), F.lit(0)), digits).alias("auc"))
+    return F.round(area / F.nullif(F.max("all_pos") * F.max("all_neg"), F.lit(0)), digits)
+
+
+def auc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
+    """keys and auc; null if one class is missing."""
+    return cumulative(df, keys, y, score).groupBy(*keys).agg(_area(digits).alias("auc"))
 
 
 def roc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -90,9 +102,8 @@ def roc(df: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> D
     return c.select(*keys, F.col("score").alias("threshold"), fp.alias("fp"), tp.alias("tp"), F.try_divide(fp, F.col("all_neg")).alias("fpr"), F.try_divide(tp, F.col("all_pos")).alias("tpr"))
 
 
-def partial_auc(df: DataFrame, keys: list[str], max_fpr: float = 0.02, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
-    """keys and the standardised area under the curve up to max_fpr (0.5: chance, 1: perfect); null if one class is missing."""
-    c = cumulative(df, keys, y, score)
+def _partial_area(max_fpr: float, digits: int) -> Column:
+    """Over the rows of cumulative(): the standardised area under the curve up to max_fpr."""
     n, p, m = F.nullif(F.col("all_neg").cast("double"), F.lit(0.0)), F.nullif(F.col("all_pos").cast("double"), F.lit(0.0)), F.lit(max_fpr)
     x1, y1 = (F.col("all_neg") - F.col("neg_below")) / n, (F.col("all_pos") - F.col("pos_below")) / p
     x0, y0 = (F.col("all_neg") - F.col("neg_below") - F.col("neg")) / n, (F.col("all_pos") - F.col("pos_below") - F.col("pos")) / p
@@ -100,23 +111,30 @@ def partial_auc(df: DataFrame, keys: list[str], max_fpr: float = 0.02, y: str =
     piece = F.when(x0 >= m, 0.0).when(x1 <= m, (x1 - x0) * (y0 + y1) / 2).otherwise((m - x0) * (y0 + cut) / 2)
     least, most = 0.5 * max_fpr * max_fpr, max_fpr
     area = F.when((F.max("all_pos") > 0) & (F.max("all_neg") > 0), F.sum(piece))
-    return c.groupBy(*keys).agg(F.round(0.5 * (1 + (area - least) / (most - least)), digits).alias("pauc"))
+    return F.round(0.5 * (1 + (area - least) / (most - least)), digits)
 
 
-def thresholds(df: DataFrame, keys: list[str], target_fpr: float, y: str = "y", score: str = "score") -> DataFrame:
-    """The least score at which at most floor(target x negatives) negatives alarm, with its metadata, for each of keys.
+def partial_auc(df: DataFrame, keys: list[str], max_fpr: float = 0.02, y: str = "y", score: str = "score", digits: int = 6) -> DataFrame:
+    """keys and the standardised area under the curve up to max_fpr (0.5: chance, 1: perfect); null if one class is missing."""
+    return cumulative(df, keys, y, score).groupBy(*keys).agg(_partial_area(max_fpr, digits).alias("pauc"))
+
+
+def thresholds(df: DataFrame, keys: list[str], *targets: float, y: str = "y", score: str = "score") -> DataFrame:
+    """For each of keys and targets the least score at which at most floor(target x negatives) negatives alarm, with its metadata.
 
-    threshold is null where the budget is under one negative, or ties leave no such score.
+    threshold is null where the budget is under one negative, or ties leave no such score. All targets
+    are met from one reading of the rows.
     """
     c = cumulative(df.where(F.col(y) == 0), keys, y, score)
-    c = c.withColumn("k", F.floor(F.lit(float(target_fpr)) * F.col("all_neg"))).withColumn("ge", F.col("all_neg") - F.col("neg_below"))
+    c = c.select("*", F.explode(F.array(*(F.lit(float(t)) for t in targets))).alias("target_fpr"))
+    c = c.withColumn("k", F.floor(F.col("target_fpr") * F.col("all_neg"))).withColumn("ge", F.col("all_neg") - F.col("neg_below"))
     nominal = (F.col("neg_below") <= F.col("all_neg") - F.col("k")) & (F.col("all_neg") - F.col("k") < F.col("neg_below") + F.col("neg"))
     ok = (F.col("ge") <= F.col("k")) & (F.col("k") >= 1)
     best = F.min(F.when(ok, F.struct("score", "ge", "neg_below")))
-    out = c.groupBy(*keys).agg(F.max("all_neg").alias("negatives"), F.max("k").alias("budget"), best.alias("_b"), F.max(F.when(nominal, F.col("score"))).alias("nominal_threshold"))
+    out = c.groupBy(*keys, "target_fpr").agg(F.max("all_neg").alias("negatives"), F.max("k").alias("budget"), best.alias("_b"), F.max(F.when(nominal, F.col("score"))).alias("nominal_threshold"))
     return out.select(
         *keys,
-        F.lit(float(target_fpr)).alias("target_fpr"),
+        "target_fpr",
         "negatives",
         "budget",
         F.col("_b.score").alias("threshold"),
@@ -139,7 +157,7 @@ def derive_threshold(df: DataFrame, target_fpr: float, y: str = "y", score: str
         raise ValueError(f"{bad.labels} labels are not 0 or 1, {bad.scores} scores are not finite")
     if not bad.negatives:
         raise ValueError("no negatives")
-    got = thresholds(df.withColumn("_all", F.lit(1)), ["_all"], target_fpr, y, score).first()
+    got = thresholds(df.withColumn("_all", F.lit(1)), ["_all"], target_fpr, y=y, score=score).first()
     if got.budget < 1:
         raise ValueError(f"{got.negatives} negatives are too few for {target_fpr}")
     if got.threshold is None:
@@ -148,13 +166,15 @@ def derive_threshold(df: DataFrame, target_fpr: float, y: str = "y", score: str
 
 
 def operational(calibration: DataFrame, test: DataFrame, keys: list[str], targets: tuple[float, ...] = (0.01, 0.02), y: str = "y", score: str = "score", digits: int = 4) -> DataFrame:
-    """Metrics on test at the thresholds that calibration fixes, for each target."""
-    out = None
-    for t in targets:
-        frozen = thresholds(calibration, keys, t, y, score).select(*keys, "target_fpr", "threshold")
-        judged = test.join(frozen, keys).withColumn("_pred", predict(F.col(score), F.col("threshold")))
-        got = judged.groupBy(*keys, "target_fpr", "threshold").agg(*cells(F.col(y), F.col("_pred")))
-        got = got.select(*keys, "target_fpr", "threshold", "tn", "fp", "fn", "tp", *(F.round(c, digits).alias(n) for n, c in rates().items()))
-        out = got if out is None else out.unionByName(got)
-    curves = auc(test, keys, y, score, digits).join(partial_auc(test, keys, 0.02, y, score, digits), keys)
-    return out.join(curves, keys)
+    """Metrics on test at the thresholds that calibration fixes, for each target; test rows without a score are left out.
+
+    Both tables are read once: counts at a threshold are sums over the test's distinct scores. All counts
+    are 0 where there is no threshold.
+    """
+    frozen = thresholds(calibration, keys, *targets, y=y, score=score).select(*keys, "target_fpr", "threshold")
+    curve = cumulative(test, keys, y, score).join(frozen, keys)
+    known, alarm = F.col("threshold").isNotNull(), F.col("score") >= F.col("threshold")
+    made = {"tn": (~alarm, "neg"), "fp": (alarm, "neg"), "fn": (~alarm, "pos"), "tp": (alarm, "pos")}
+    counts = [F.coalesce(F.sum(F.when(known & hit, F.col(c))), F.lit(0)).alias(n) for n, (hit, c) in made.items()]
+    got = curve.groupBy(*keys, "target_fpr", "threshold").agg(*counts, _area(digits).alias("auc"), _partial_area(0.02, digits).alias("pauc"))
+    return got.select(*keys, "target_fpr", "threshold", "tn", "fp", "fn", "tp", *(F.round(c, digits).alias(n) for n, c in rates().items()), "auc", "pauc")

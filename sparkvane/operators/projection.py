@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 STOP_AFTER, STOP_AHEAD = 120.0, 180.0
+# From which largest completed size on which sizes of training, validation and test sample are advised, and their ceilings.
+RECOMMENDED = ((200, (200, 50, 100)), (100, (100, 50, 100)), (0, (50, 25, 50)))
+CEILINGS = (200, 50, 100)
+# The published dry run, in rows and seconds.
+DRY_RUN = {"n_train": 500, "n_test": 20000, "test_embed": 127.9301, "train_kernel": 0.0084, "test_kernel": 0.1681, "fit": 0.0063, "predict": 0.0753}
 
 
 def matrix_memory(n: Column, m: Column) -> dict[str, Column]:
@@ -60,13 +65,29 @@ def full_scale(runs: DataFrame, train: int, test: int) -> DataFrame:
     return out.select("series", "kernel", F.round(F.col("per_entry") * entries / 86400, 6).alias("days"), F.round(entries * 8 / 1073741824.0, 6).alias("gib"))
 
 
-def recommend(days: Column, gib: Column) -> Column:
-    return F.when(gib > 64, "approximate: it does not fit in memory").when(days > 7, "approximate: it takes over a week").when(days > 1, "sample or run overnight").otherwise("compute it whole")
-
-
-def dry_run(sizes: DataFrame, embed: float, kernel: float, fit: float, n0: int, m0: int) -> DataFrame:
-    """sizes (n, m) with projected seconds: embedding with n + m, the test kernel with n m, the training kernel and fit with n^2."""
-    n, m = F.col("n").cast("double"), F.col("m").cast("double")
-    cols = {"embed_s": embed * (n + m) / (n0 + m0), "test_kernel_s": kernel * (n / n0) * (m / m0), "train_kernel_s": kernel * (n / n0) * (n / m0), "fit_s": fit * F.pow(n / n0, F.lit(2.0))}
-    out = sizes.withColumns({k: F.round(v, 6) for k, v in cols.items()})
-    return out.withColumn("total_s", F.round(sum((F.col(k) for k in list(cols)[1:]), F.col("embed_s")), 6))
+def recommend(runs: DataFrame) -> DataFrame:
+    """runs (series, n, seconds), completed ones, to the sample sizes that the largest of each series allows, and whether they keep to the ceilings."""
+    last = runs.groupBy("series").agg(F.max_by("seconds", "n").alias("seconds"), F.max("n").alias("largest"))
+    step = F.when((F.col("largest") >= RECOMMENDED[0][0]) & (F.col("seconds") <= STOP_AFTER), 0).when(F.col("largest") >= RECOMMENDED[1][0], 1).otherwise(2)
+    sizes = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("n_train", "n_validation", "n_test"), own, strict=True))) for _, own in RECOMMENDED))
+    out = last.select("series", "largest", "seconds", F.get(sizes, step).alias("_s")).select("series", "largest", "seconds", "_s.*")
+    return out.withColumn("within_ceilings", (F.col("n_train") <= CEILINGS[0]) & (F.col("n_validation") <= CEILINGS[1]) & (F.col("n_test") <= CEILINGS[2]))
+
+
+def dry_run(sizes: DataFrame, measured: dict[str, float]) -> DataFrame:
+    """sizes (n_train) with projected seconds and memory, from one measured run.
+
+    measured holds n_train, n_test and the seconds test_embed, train_kernel, test_kernel, fit and predict
+    of that run: embedding grows with the training rows at the rate of the test rows, the test kernel with
+    the training rows, the training kernel and the fit with their square; prediction stays.
+    """
+    n, grow = F.col("n_train").cast("double"), F.col("n_train").cast("double") / F.lit(float(measured["n_train"]))
+    parts = {
+        "embed_s": (n * F.lit(measured["test_embed"] / measured["n_test"]), 3),
+        "train_kernel_s": (F.lit(measured["train_kernel"]) * F.pow(grow, F.lit(2.0)), 4),
+        "test_kernel_s": (F.lit(measured["test_kernel"]) * grow, 3),
+        "fit_s": (F.lit(measured["fit"]) * F.pow(grow, F.lit(2.0)), 3),
+        "predict_s": (F.lit(measured["predict"]), 3),
+    }
+    total = sum((c for c, _ in list(parts.values())[1:]), parts["embed_s"][0])
+    return sizes.select("*", *(F.round(c, d).alias(k) for k, (c, d) in parts.items()), F.round(total, 2).alias("total_s"), F.round(n * measured["n_test"] * 8 / 1048576.0, 2).alias("test_matrix_mb"))

@@ -711,7 +711,7 @@ def _(s, d):
 
 @query("E10_both_thresholds", f"WITH {sql.LONG} SELECT * FROM ({sql.thresholds('long', 'model', 0.01)}) UNION ALL SELECT * FROM ({sql.thresholds('long', 'model', 0.02)})")
 def _(s, d):
-    return metrics.thresholds(long_scored(s, d), ["model"], 0.01).unionByName(metrics.thresholds(long_scored(s, d), ["model"], 0.02))
+    return metrics.thresholds(long_scored(s, d), ["model"], 0.01, 0.02)
 
 
 # --- calibration -------------------------------------------------------------------------------------------------
@@ -826,10 +826,25 @@ def _(s, d):
     return policy.summary(policy.decide(scored(s, d), [f"{m}_pred" for m in MODELS]))
 
 
-@query("V3_simulated", "WITH v AS (SELECT (l_quantity > 100)::INT + (l_extendedprice > 1000000)::INT + (l_extendedprice > 300)::INT AS votes FROM lineitem) SELECT votes, (votes >= 2)::INT AS final, round(0.1 + 0.8 * votes / 3.0::DOUBLE, 6) AS probability, true AS simulated, count(*) AS n FROM v GROUP BY ALL")
+# The rules as published, told in plain comparisons.
+_SIMULATED = """WITH f AS (SELECT l_quantity * 4 AS sttl, l_extendedprice * 25 AS sload, l_suppkey % 600 AS smean, l_extendedprice AS sbytes FROM lineitem),
+n AS (SELECT *, (sttl > 100)::INT + (sload > 1000000)::INT + (smean > 300)::INT AS signals FROM f),
+m AS (SELECT *, (signals >= 1)::INT AS svm_pred, (signals >= 2)::INT AS rf_pred, (signals >= 2)::INT AS qsvc_pred,
+  CASE WHEN signals >= 2 THEN least(0.97::DOUBLE, 0.62::DOUBLE + signals * 0.1::DOUBLE) WHEN signals = 1 THEN 0.61::DOUBLE ELSE greatest(0.04::DOUBLE, 0.88::DOUBLE - sbytes * 3e-6::DOUBLE) END AS svm_p,
+  CASE WHEN signals >= 2 THEN least(0.98::DOUBLE, 0.68::DOUBLE + signals * 0.08::DOUBLE) WHEN signals = 1 THEN 0.44::DOUBLE ELSE greatest(0.03::DOUBLE, 0.91::DOUBLE - sbytes * 3e-6::DOUBLE) END AS rf_p,
+  CASE WHEN signals >= 2 THEN least(0.94::DOUBLE, 0.58::DOUBLE + signals * 0.1::DOUBLE) WHEN signals = 1 THEN 0.39::DOUBLE ELSE greatest(0.06::DOUBLE, 0.85::DOUBLE - sbytes * 3e-6::DOUBLE) END AS qsvc_p FROM n),
+v AS (SELECT *, svm_pred + rf_pred + qsvc_pred AS votes FROM m)
+SELECT signals, votes, (votes >= 2)::INT AS final, CASE votes WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS threat, votes IN (1, 2) AS review, count(*) AS n,
+  round(min(svm_p), 4) AS svm_low, round(max(svm_p), 4) AS svm_high, round(min(rf_p), 4) AS rf_low, round(max(rf_p), 4) AS rf_high, round(min(qsvc_p), 4) AS qsvc_low, round(max(qsvc_p), 4) AS qsvc_high
+FROM v GROUP BY ALL"""
+
+
+@query("V3_simulated", _SIMULATED)
 def _(s, d):
-    li = table(s, d, "lineitem")
-    return policy.simulated_votes(li, {"sttl": "l_quantity", "sload": "l_extendedprice", "smean": "l_extendedprice"}).groupBy("votes", "final", "probability", "simulated").agg(F.count("*").alias("n"))
+    f = table(s, d, "lineitem").select((F.col("l_quantity") * 4).alias("sttl"), (F.col("l_extendedprice") * 25).alias("sload"), (F.col("l_suppkey") % 600).alias("smean"), F.col("l_extendedprice").alias("sbytes"))
+    got = policy.simulated_votes(f, {c: c for c in f.columns})
+    ends = [F.round(f_(f"{m}_probability"), 4).alias(f"{m}_{n}") for m in MODELS for n, f_ in (("low", F.min), ("high", F.max))]
+    return got.groupBy("signals", "votes", "final", "threat", "review").agg(F.count("*").alias("n"), *ends)
 
 
 @query("V4_user_threshold", f"WITH {sql.SCORED} SELECT (rf_score >= 0.6::DOUBLE)::INT AS alarm, y, count(*) AS n FROM scored GROUP BY ALL")
@@ -924,9 +939,15 @@ def _sizes(s, d):
     return table(s, d, "part").groupBy(F.col("p_size").alias("n")).agg(F.count("*").alias("m"))
 
 
-@query("X10_dry_run", f"WITH {_SIZES}, c AS (SELECT n, m, 127.9301::DOUBLE * (n + m) / 20500 AS e, 0.1681::DOUBLE * (n / 500.0::DOUBLE) * (m / 20000.0::DOUBLE) AS k, 0.1681::DOUBLE * (n / 500.0::DOUBLE) * (n / 20000.0::DOUBLE) AS tk, 0.0063::DOUBLE * pow(n / 500.0::DOUBLE, 2) AS f FROM s) SELECT n, m, round(e, 6) AS embed_s, round(k, 6) AS test_kernel_s, round(tk, 6) AS train_kernel_s, round(f, 6) AS fit_s, round(round(e, 6) + round(k, 6) + round(tk, 6) + round(f, 6), 6) AS total_s FROM c")
+_DRY = """WITH s AS (SELECT DISTINCT p_size * 80 AS n_train FROM part),
+c AS (SELECT n_train, n_train * (127.9301::DOUBLE / 20000) AS e, 0.0084::DOUBLE * pow(n_train / 500.0::DOUBLE, 2) AS tk, 0.1681::DOUBLE * (n_train / 500.0::DOUBLE) AS k, 0.0063::DOUBLE * pow(n_train / 500.0::DOUBLE, 2) AS f, 0.0753::DOUBLE AS p FROM s)
+SELECT n_train, round(e, 3) AS embed_s, round(tk, 4) AS train_kernel_s, round(k, 3) AS test_kernel_s, round(f, 3) AS fit_s, round(p, 3) AS predict_s, round(e + tk + k + f + p, 2) AS total_s, round(20000::DOUBLE * n_train * 8 / 1048576, 2) AS test_matrix_mb FROM c"""
+
+
+@query("X10_dry_run", _DRY)
 def _(s, d):
-    return projection.dry_run(_sizes(s, d), 127.9301, 0.1681, 0.0063, 500, 20000)
+    sizes = table(s, d, "part").select((F.col("p_size") * 80).alias("n_train")).distinct()
+    return projection.dry_run(sizes, projection.DRY_RUN)
 
 
 @query("X11_matrix_memory", f"WITH {_SIZES}, b AS (SELECT n, m, n::BIGINT * m AS entries FROM s) SELECT n, m, entries, entries * 8 AS bytes, round(entries * 8 / 1024.0::DOUBLE, 4) AS kb, round(entries * 8 / 1048576.0::DOUBLE, 4) AS mb, round(entries * 8 / 1073741824.0::DOUBLE, 6) AS gb FROM b")
@@ -955,14 +976,19 @@ def _(s, d):
 _FULL = f"WITH {_RUNS}, last AS (SELECT series, arg_max(seconds, n) AS sec, max(n) AS n FROM r GROUP BY series), k AS (SELECT series, kernel, rows, columns, sec / (n::DOUBLE * n) * (rows::DOUBLE * columns) / 86400 AS days, rows::DOUBLE * columns * 8 / 1073741824.0::DOUBLE AS gib FROM last, (VALUES ('train', 82332::BIGINT, 82332::BIGINT), ('test', 82332::BIGINT, 175341::BIGINT)) v(kernel, rows, columns))"
 
 
+# Rows of the published training and test parts.
 @query("X14_full_scale", f"{_FULL} SELECT series, kernel, round(days, 6) AS days, round(gib, 6) AS gib FROM k")
 def _(s, d):
     return projection.full_scale(_runs(s, d), 82332, 175341)
 
 
-@query("X15_recommend", f"{_FULL} SELECT series, kernel, CASE WHEN round(gib, 6) > 64 THEN 'approximate: it does not fit in memory' WHEN round(days, 6) > 7 THEN 'approximate: it takes over a week' WHEN round(days, 6) > 1 THEN 'sample or run overnight' ELSE 'compute it whole' END AS advice FROM k")
+# Three series whose largest sizes are 350, 200 and 50.
+_COMPLETED = f"WITH {_RUNS}, done AS (SELECT * FROM r WHERE n <= 350 - 150 * series), last AS (SELECT series, max(n) AS largest, arg_max(seconds, n) AS seconds FROM done GROUP BY series)"
+
+
+@query("X15_recommend", f"{_COMPLETED}, a AS (SELECT *, CASE WHEN largest >= 200 AND seconds <= 120 THEN [200, 50, 100] WHEN largest >= 100 THEN [100, 50, 100] ELSE [50, 25, 50] END AS s FROM last) SELECT series, largest, round(seconds, 4) AS seconds, s[1] AS n_train, s[2] AS n_validation, s[3] AS n_test, s[1] <= 200 AND s[2] <= 50 AND s[3] <= 100 AS within_ceilings FROM a")
 def _(s, d):
-    return projection.full_scale(_runs(s, d), 82332, 175341).select("series", "kernel", projection.recommend(F.col("days"), F.col("gib")).alias("advice"))
+    return projection.recommend(_runs(s, d).where("n <= 350 - 150 * series")).withColumn("seconds", F.round("seconds", 4))
 
 
 @query("X17_state_memory", f"WITH {_SIZES} SELECT n, 2 * n::DOUBLE * pow(2.0, 4) * 16 + 8 * n::DOUBLE * n + 10485760 AS bytes_4, 2 * n::DOUBLE * pow(2.0, 10) * 16 + 8 * n::DOUBLE * n + 10485760 AS bytes_10 FROM s")

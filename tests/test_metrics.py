@@ -1,10 +1,13 @@
 """Thresholds, metrics, calibration and paired statistics on hand-made tables."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.operators import agreement, calibrate, inference, metrics, policy, summaries
+from sparkvane.operators import agreement, calibrate, inference, metrics, policy, projection, summaries
 
 
 def negatives(spark, scores):
@@ -14,10 +17,13 @@ def negatives(spark, scores):
 @pytest.mark.parametrize(
     ("scores", "target", "want"),
     [
-        (range(1, 101), 0.02, {"threshold": 99.0, "budget": 2, "false_positives": 2, "achieved_fpr": 0.02, "rank": 99, "tie_adjusted": False}),
-        ([1, 2, 3, 4, 5, 6, 7, 8, 8, 9], 0.20, {"threshold": 9.0, "tie_adjusted": True, "false_positives": 1, "rank": 10, "nominal_rank": 9}),
-        (range(50), 0.02, {"rank": 50}),
-        (range(100), 0.01, {"rank": 100}),
+        # 250 different scores, 3 percent: seven alarms from 244 on.
+        (range(1, 251), 0.03, {"threshold": 244.0, "budget": 7, "false_positives": 7, "achieved_fpr": 0.028, "rank": 244, "tie_adjusted": False}),
+        # Three of eight may alarm; the three sixes would make it five, so the sevens begin.
+        ([3, 3, 5, 6, 6, 6, 7, 8], 0.4, {"threshold": 7.0, "tie_adjusted": True, "false_positives": 2, "rank": 7, "nominal_rank": 6, "nominal_threshold": 6.0}),
+        # The smallest tables with a budget of one.
+        (range(20), 0.05, {"rank": 20, "budget": 1}),
+        (range(-40, 0), 0.025, {"threshold": -1.0}),
     ],
 )
 def test_threshold(spark, scores, target, want):
@@ -25,14 +31,39 @@ def test_threshold(spark, scores, target, want):
     assert {k: got[k] for k in want} == want
 
 
-def test_stricter_target_is_higher(spark):
-    s = np.linspace(0.005, 1.0, 200)
-    df = negatives(spark, s)
-    one, two = (metrics.derive_threshold(df, t)["threshold"] for t in (0.01, 0.02))
-    assert (one, two) == (s[198], s[196])
-
-
-@pytest.mark.parametrize(("scores", "target"), [([1, 2, 3, 4, 5, 6, 7, 9, 9, 9], 0.2), ([1.0] * 10, 0.1), (range(49), 0.02), (range(99), 0.01), (range(10), 0.0), (range(10), 1.0), ([float("nan")] * 60, 0.02), ([], 0.1)])
+def test_thresholds_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    targets = (0.004, 0.01, 0.03, 0.2)
+    tables = {k: rng.integers(0, n, 700) / n for k, n in (("fine", 10_000), ("coarse", 40), ("two", 2))}
+    df = spark.createDataFrame([(k, 0, float(v)) for k, s in tables.items() for v in s] + [("fine", 1, 5.0)], "model string, y int, score double")
+    got = {(r.model, r.target_fpr): r for r in metrics.thresholds(df, ["model"], *targets).collect()}
+    for k, s in tables.items():
+        for t in targets:
+            ok = [v for v in sorted(set(s)) if (s >= v).sum() <= math.floor(t * len(s))]
+            want = ok[0] if ok and math.floor(t * len(s)) else None
+            assert got[k, t].threshold == want and got[k, t].negatives == 700
+            assert got[k, t].false_positives == (None if want is None else (s >= want).sum())
+
+
+def test_operational_against_brute_force(spark):
+    """Counts from distinct scores equal those of the rows; a row without a score counts nowhere."""
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 900)
+    s = np.round(np.clip(0.3 * y + rng.random(900) * 0.7, 0, 1), 2)
+    half = np.arange(900) % 2 == 0
+    frame = lambda m: spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y[m], s[m], strict=True)], "model string, y int, score double")
+    odd = spark.createDataFrame([("m", 1, float("nan")), ("m", 0, None)], "model string, y int, score double")
+    got = {r.target_fpr: r for r in metrics.operational(frame(half), frame(~half).unionByName(odd), ["model"], (0.05, 0.1, 0.0001)).collect()}
+    for t in (0.05, 0.1):
+        neg = s[half & (y == 0)]
+        cut = min(v for v in set(neg) if (neg >= v).sum() <= math.floor(t * len(neg)))
+        p, q = s[~half] >= cut, y[~half] == 1
+        assert (got[t].threshold, got[t].tn, got[t].fp, got[t].fn, got[t].tp) == (cut, (~p & ~q).sum(), (p & ~q).sum(), (~p & q).sum(), (p & q).sum())
+        assert got[t].auc == metrics.auc(frame(~half), ["model"], digits=4).first().auc
+    assert (got[0.0001].threshold, got[0.0001].tn, got[0.0001].tp) == (None, 0, 0)
+
+
+@pytest.mark.parametrize(("scores", "target"), [([2, 4, 6, 8, 8, 8], 0.34), ([0.5] * 30, 0.1), (range(19), 0.05), (range(39), 0.025), (range(30), 0.0), (range(30), 1.0), ([float("inf")] * 60, 0.02), ([], 0.3)])
 def test_threshold_refuses(spark, scores, target):
     with pytest.raises(ValueError):
         metrics.derive_threshold(negatives(spark, scores), target)
@@ -80,11 +111,11 @@ def test_auc_and_partial_auc_against_brute_force(spark):
     assert metrics.partial_auc(perfect, ["model"]).first().pauc == 1.0
 
 
-def test_operational_counts(spark):
-    rows = [(0, 0.2)] * 45 + [(0, 0.8)] * 5 + [(1, 0.2)] * 10 + [(1, 0.8)] * 40
+def test_counts_at_a_threshold(spark):
+    rows = [(0, 0.1)] * 27 + [(0, 0.6)] * 3 + [(1, 0.3)] * 8 + [(1, 0.5)] * 12
     df = spark.createDataFrame([("m", *r) for r in rows], "model string, y int, score double").withColumn("pred", metrics.predict(F.col("score"), 0.5))
     r = metrics.evaluate(df, ["model"], digits=4).first()
-    assert (r.tn, r.fp, r.fn, r.tp, r.recall, r.fpr, r.precision, r.f1) == (45, 5, 10, 40, 0.8, 0.1, 0.8889, 0.8421)
+    assert (r.tn, r.fp, r.fn, r.tp, r.recall, r.fpr, r.precision, r.f1) == (27, 3, 8, 12, 0.6, 0.1, 0.8, 0.6857)
 
 
 def test_ece(spark):
@@ -106,21 +137,22 @@ def test_platt_is_monotonic_and_finite(spark):
     assert p == sorted(p) and 0 < p[0] < p[-1] < 1
 
 
-TEN = [(1, 1, 1, 1, 1), (2, 0, 0, 0, 0), (3, 1, 1, 1, 1), (4, 1, 0, 0, 0), (5, 1, 0, 1, 1), (6, 1, 1, 0, 1), (7, 1, 1, 1, 0), (8, 1, 0, 0, 1), (9, 1, 0, 1, 0), (10, 1, 1, 0, 0)]
-
-
-def ten(spark):
-    return spark.createDataFrame([(str(i), y, q, s, r) for i, y, q, s, r in TEN], "row_id string, y int, qsvc_pred int, svm_pred int, rf_pred int")
+#: y and the predictions of svm, rf and qsvc.
+DOZEN = [(0, 0, 0, 0), (0, 0, 0, 0), (0, 1, 0, 0), (0, 1, 1, 0), (0, 1, 1, 1), (1, 1, 1, 1), (1, 1, 1, 1), (1, 1, 1, 1), (1, 0, 1, 1), (1, 1, 0, 0), (1, 0, 0, 0), (1, 1, 1, 0)]
 
 
 def test_error_cells(spark):
-    cells = {(r.svm_wrong, r.rf_wrong, r.qsvc_wrong): r.n for r in agreement.error_cells(ten(spark)).collect()}
-    assert len(cells) == 8 and sum(cells.values()) == 10 and cells[0, 0, 0] == 3
-    o = agreement.error_overlaps(ten(spark)).first()
-    assert (o.svm_errors, o.rf_errors, o.qsvc_errors, o.all_right, o.all_wrong, o.exactly_one_right) == (4, 4, 4, 3, 1, 3)
-    u = agreement.unanimity(ten(spark)).first()
-    assert (u.unanimous, u.unanimous_right, u.unanimous_wrong) == (4, 3, 1)
-    assert agreement.majority_worth(ten(spark)).first().majority == 0.6
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(DOZEN)], "row_id string, y int, svm_pred int, rf_pred int, qsvc_pred int")
+    cells = {(r.svm_wrong, r.rf_wrong, r.qsvc_wrong): r.n for r in agreement.error_cells(df).collect() if r.n}
+    wrong = [tuple(int(p != y) for p in rest) for y, *rest in DOZEN]
+    assert cells == Counter(wrong)
+    o = agreement.error_overlaps(df).first()
+    assert (o.svm_errors, o.rf_errors, o.qsvc_errors) == tuple(map(sum, zip(*wrong, strict=True)))
+    assert (o.all_right, o.all_wrong, o.exactly_one_right) == tuple(sum(sum(w) == k for w in wrong) for k in (0, 3, 2))
+    u = agreement.unanimity(df).first()
+    same = [(y, p[0]) for y, *p in DOZEN if len(set(p)) == 1]
+    assert (u.unanimous, u.unanimous_right, u.unanimous_wrong) == (len(same), sum(y == p for y, p in same), sum(y != p for y, p in same))
+    assert agreement.majority_worth(df).first().majority == round(sum(int(sum(p) >= 2) == y for y, *p in DOZEN) / 12, 6)
 
 
 def test_mcnemar_and_holm(spark):
@@ -129,9 +161,11 @@ def test_mcnemar_and_holm(spark):
     r = inference.mcnemar(df).where("model_a = 'svm' and model_b = 'rf'").first()
     assert {r.b, r.c} == {2, 4} and r.statistic == round(1 / 6, 6)
     assert inference.mcnemar(df).where("model_b = 'qsvc' and model_a = 'svm'").first().statistic == 0
-    assert inference.holm_adjust([0.01, 0.04, 0.03]) == [0.03, 0.06, 0.06]
-    h = inference.holm(spark.createDataFrame([(1, "a", 0.01), (1, "b", 0.04), (1, "c", 0.03)], "f int, name string, p double"), ["f"])
-    assert {r.name: r.p_holm for r in h.collect()} == {"a": 0.03, "b": 0.06, "c": 0.06}
+    # Times 4, 3, 2, 1 in rising order, never falling, at most 1.
+    p, want = {"a": 0.2, "b": 0.002, "c": 0.03, "d": 0.6}, {"a": 0.4, "b": 0.008, "c": 0.09, "d": 0.6}
+    assert inference.holm_adjust(list(p.values())) == list(want.values())
+    h = inference.holm(spark.createDataFrame([(1, k, v) for k, v in p.items()], "f int, name string, p double"), ["f"])
+    assert {r.name: r.p_holm for r in h.collect()} == want
     assert abs(inference.chi2_tail(3.841459) - 0.05) < 1e-6
 
 
@@ -185,3 +219,28 @@ def test_bootstrap_is_paired(spark):
     draws = [rng.integers(0, 400, 400) for _ in range(400)]
     assert abs(got["auc"] / np.std([area(y[k], a[k]) - area(y[k], b[k]) for k in draws]) - 1) < 0.2
     assert abs(got["accuracy"] / np.std([((a[k] >= 0.5) == y[k]).mean() - ((b[k] >= 0.5) == y[k]).mean() for k in draws]) - 1) < 0.2
+
+
+def test_simulated_votes(spark):
+    """Own flows, worked out by hand from the published limits and probabilities."""
+    rows = [(0, 50.0, 0.0, 10.0, 20_000.0), (1, 101.0, 0.0, 300.0, 5.0), (2, 200.0, 2e6, 10.0, 5.0), (3, 200.0, 1_000_001.0, 301.0, 1e9), (4, 100.0, 1e6, 300.0, 1e6)]
+    got = {r.k: r for r in policy.simulated_votes(spark.createDataFrame(rows, "k int, a double, b double, c double, d double"), {"sttl": "a", "sload": "b", "smean": "c", "sbytes": "d"}).collect()}
+    votes = lambda r: (r.signals, r.svm_pred, r.rf_pred, r.qsvc_pred, r.votes, r.threat, r.review, r.simulated)
+    assert votes(got[0]) == (0, 0, 0, 0, 0, "LOW", False, True)
+    assert votes(got[1]) == (1, 1, 0, 0, 1, "MEDIUM", True, True)
+    assert votes(got[2]) == (2, 1, 1, 1, 3, "HIGH", False, True)
+    assert votes(got[3]) == (3, 1, 1, 1, 3, "HIGH", False, True)
+    p = lambda k: (got[k].svm_probability, got[k].rf_probability, got[k].qsvc_probability)
+    assert p(0) == (0.82, 0.85, 0.79) and p(1) == (0.61, 0.44, 0.39) and p(2) == (0.82, 0.84, 0.78) and p(3) == (0.92, 0.92, 0.88) and p(4) == (0.04, 0.03, 0.06)
+
+
+def test_recommended_sizes(spark):
+    runs = [("fast", 50, 3.0), ("fast", 220, 119.0), ("slow", 100, 40.0), ("slow", 250, 121.0), ("middle", 120, 500.0), ("small", 99, 1.0)]
+    got = {r.series: (r.largest, r.n_train, r.n_validation, r.n_test, r.within_ceilings) for r in projection.recommend(spark.createDataFrame(runs, "series string, n int, seconds double")).collect()}
+    assert got == {"fast": (220, 200, 50, 100, True), "slow": (250, 100, 50, 100, True), "middle": (120, 100, 50, 100, True), "small": (99, 50, 25, 50, True)}
+
+
+def test_dry_run(spark):
+    measured = {"n_train": 200, "n_test": 1000, "test_embed": 50.0, "train_kernel": 0.5, "test_kernel": 2.0, "fit": 0.1, "predict": 0.25}
+    r = projection.dry_run(spark.createDataFrame([(400,)], "n_train int"), measured).first()
+    assert (r.embed_s, r.train_kernel_s, r.test_kernel_s, r.fit_s, r.predict_s, r.total_s, r.test_matrix_mb) == (20.0, 2.0, 4.0, 0.4, 0.25, 26.65, 3.05)
