@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,9 +72,28 @@ def verdict(lower: str = "lower", upper: str = "upper", better: str = "better",
     return F.when((lo >= -rope) & (hi <= rope), "EQUIVALENT").when(lo > rope, "SUPERIOR").when(hi < -rope, "INFERIOR").when((lo < 0) & (hi > 0), "SPANS_ZERO").otherwise("BORDERLINE")
 
 
+def score_bin(score: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """One of AUC_BINS bins of equal width over [lo, hi]; the end bins take what lies beyond."""
+    at = F.floor((score - F.lit(lo)) * F.lit(AUC_BINS / (hi - lo))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(AUC_BINS - 1), at))
+
+
+def score_range(df: DataFrame, models: tuple[str, ...]) -> dict[str, tuple[float, float]]:
+    """The bins' range of each model's scores: [0, 1] for probabilities, else the middle 99.8 percent of its margins."""
+    aggs = [f.alias(f"{m}_{n}") for m in models for n, f in (("lo", F.min(f"{m}_score")), ("hi", F.max(f"{m}_score")), ("q", F.percentile_approx(f"{m}_score", [0.001, 0.999], 10_000)))]
+    got, out = df.agg(*aggs).first(), {}
+    for m in models:
+        lo, hi = got[f"{m}_lo"], got[f"{m}_hi"]
+        inside = lo is None or (lo >= 0 and hi <= 1)
+        low, high = (0.0, 1.0) if inside else map(float, got[f"{m}_q"])
+        out[m] = (low, high) if high > low else (low - 0.5, low + 0.5)
+    return out
+
+
 def gathered(df: DataFrame, a: str, b: str) -> np.ndarray:
     """Label, both predictions, both score bins and the number of rows of each cell that has any: at most 8 x AUC_BINS x AUC_BINS columns, whatever the number of rows."""
-    at = lambda m: F.greatest(F.lit(0), F.least(F.lit(AUC_BINS - 1), F.floor(F.col(f"{m}_score") * AUC_BINS).cast("int")))
+    ends = score_range(df, (a, b))
+    at = lambda m: score_bin(F.col(f"{m}_score"), *ends[m])
     cells = df.select(F.col("y").cast("int").alias("y"), *(F.col(f"{m}_pred").cast("int").alias(f"p{k}") for k, m in enumerate((a, b))), *(at(m).alias(f"s{k}") for k, m in enumerate((a, b))))
     got = cells.groupBy(*cells.columns).agg(F.count("*").alias("n")).toArrow()
     out = np.array([got.column(c).to_numpy() for c in got.column_names], np.int64)
@@ -87,7 +106,8 @@ def resampled(df: DataFrame, a: str, b: str, resamples: int = RESAMPLES, seed: i
 
     Rows only matter by their cell (label, both predictions, both scores' bins), so a draw of n rows is
     one multinomial draw over the cells, from which all metrics of both models are taken: the work is
-    bounded by the cells. The AUC takes scores in AUC_BINS bins, ties half; the other metrics are exact.
+    bounded by the cells. The AUC takes scores in AUC_BINS bins (of probabilities or margins), ties half;
+    the other metrics are exact.
     """
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast(gathered(df, a, b))
@@ -125,23 +145,55 @@ def bootstrap(df: DataFrame, resamples: int = RESAMPLES, seed: int = 42) -> Data
     for a, b in PAIRS:
         got = interval(resampled(df, a, b, resamples, seed), ["metric"], "difference").select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
         out = got if out is None else out.unionByName(got)
+    return judged(out)
+
+
+def judged(intervals: DataFrame) -> DataFrame:
+    """intervals (metric, lower, upper) with their verdict."""
     better = F.lit(1)
     for name, up in HIGHER_IS_BETTER.items():
         better = F.when(F.col("metric") == name, 1 if up else -1).otherwise(better)
-    return out.withColumn("better", better).withColumn("verdict", verdict()).drop("better")
+    return intervals.withColumn("better", better).withColumn("verdict", verdict()).drop("better")
 
 
-def poisson_counts(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
-    """(resample, model, n, right): rows weigh by a Poisson draw from a hash, the same on every engine; the accuracy's bootstrap in plain SQL."""
+def poisson_weight(seed: str, resample: Column, row_id: Column) -> Column:
+    """A Poisson draw of mean 1 from a hash of the row, the same on every engine; at most 7, beyond which lies a chance of 1e-6."""
     from ..functions.columns import uniform
 
-    rows = df.select("row_id", *((F.col(f"{m}_pred") == F.col("y")).cast("int").alias(m) for m in MODELS), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    u = uniform(seed, F.col("resample"), F.col("row_id"))
-    steps, p, total = [], math.exp(-1.0), 0.0
+    u, p, total, w = uniform(seed, resample, row_id), math.exp(-1.0), 0.0, None
     for k in range(1, 8):
         total += p
-        steps.append(total)
         p /= k
-    w = sum(((u >= F.lit(s)).cast("int") for s in steps[1:]), (u >= F.lit(steps[0])).cast("int"))
+        step = (u >= F.lit(total)).cast("int")
+        w = step if w is None else w + step
+    return w
+
+
+def poisson_counts(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
+    """(resample, model, n, right): the accuracy's bootstrap with Poisson weights."""
+    rows = df.select("row_id", *((F.col(f"{m}_pred") == F.col("y")).cast("int").alias(m) for m in MODELS), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    w = poisson_weight(seed, F.col("resample"), F.col("row_id"))
     sums = rows.withColumn("w", w).groupBy("resample").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(m)).alias(m) for m in MODELS))
     return sums.select("resample", F.col("n"), F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("right")) for m in MODELS))))
+
+
+def poisson_bootstrap(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
+    """bootstrap() with Poisson weights, common to all models, in DataFrame operations alone; scores lie in [0, 1].
+
+    Rows are summed by resample, model and score bin before anything is shuffled, so what follows holds
+    at most resamples x models x AUC_BINS rows.
+    """
+    rows = df.select("row_id", "y", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"), *(F.col(f"{m}_{k}") for m in MODELS for k in ("pred", "score")))
+    rows = rows.withColumn("w", poisson_weight(seed, F.col("resample"), F.col("row_id"))).where("w > 0")
+    each = F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"{m}_pred").alias("pred"), score_bin(F.col(f"{m}_score")).alias("bin")) for m in MODELS)))
+    w, y, pred = F.col("w"), F.col("y"), F.col("pred")
+    bins = rows.select("resample", "y", "w", each).groupBy("resample", "model", "bin").agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"), F.sum(w * y * pred).alias("tp"), F.sum(w * (1 - y) * pred).alias("fp"))
+    past = Window.partitionBy("resample", "model").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("below", F.coalesce(F.sum("neg").over(past), F.lit(0)))
+    sums = bins.groupBy("resample", "model").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp")), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"))
+    pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
+    made = {"accuracy": (tp + neg - fp) / (pos + neg), "f1": 2 * tp / F.greatest(tp + pos + fp, F.lit(1)), "fpr": fp / F.greatest(neg, F.lit(1)), "auc": F.col("area") / F.greatest(pos * neg, F.lit(1))}
+    long = sums.select("resample", "model", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in made.items()))))
+    wide = long.groupBy("resample", "metric").pivot("model", list(MODELS)).agg(F.first("v"))
+    pairs = F.array(*(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(a) - F.col(b)).alias("difference")) for a, b in PAIRS))
+    return judged(interval(wide.select("metric", F.inline(pairs)), ["model_a", "model_b", "metric"], "difference"))

@@ -145,38 +145,39 @@ def prune(mi: dict[str, float], rho: dict[tuple[str, str], float], limit: float
 
 
 def mrmr(mi: dict[str, float], rho: dict[tuple[str, str], float], k: int, quotient: bool = False) -> list[str]:
-    """k names: the most informative, then again and again the best of information less (or over) mean redundancy."""
+    """k names: the most informative, then again and again the best of information less (or over) mean redundancy, the more informative one on ties."""
     order = sorted(mi, key=lambda c: (mi[c], c), reverse=True)
-    picked = order[:1]
-    while len(picked) < min(k, len(order)):
-        best, top = None, -np.inf
-        for c in (c for c in order if c not in picked):
-            redundancy = float(np.mean([rho.get((c, p), 0.0) for p in picked]))
-            value = mi[c] / (redundancy + 1e-5) if quotient else mi[c] - redundancy
-            if value > top:
-                best, top = c, value
-        picked.append(best)
+    gain, near = np.array([mi[c] for c in order]), np.array([[rho.get((c, d), 0.0) for d in order] for c in order])
+    free, redundancy, picked = np.ones(len(order), bool), np.zeros(len(order)), []
+    for n in range(min(k, len(order))):
+        mean = redundancy / max(n, 1)
+        worth = gain if not n else gain / (mean + 1e-5) if quotient else gain - mean
+        best = int(np.argmax(np.where(free, worth, -np.inf)))
+        free[best] = False
+        redundancy += near[best]
+        picked.append(order[best])
     return picked
 
 
-def select_features(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, exclude: tuple[str, ...] = (), seed: int = 42, quotient: bool = False) -> dict:
-    """Exclude, filter by spread, measure information, prune, pick. What comes to the driver is one row a column or pair."""
+def select_features(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, exclude: tuple[str, ...] = (), seed: int = 42, quotient: bool = False, binned: bool = False) -> dict:
+    """Exclude, filter by spread, measure information (by neighbours or in bins), prune, pick. What comes to the driver is one row a column or pair."""
     columns = [c for c in sorted(pool) if c not in exclude]
     kept = [r.name for r in spread(df, columns).where("kept").collect()]
     if not kept:
         return {"selected": [], "survivors": [], "dropped": [], "mi": {}}
-    mi = {r.name: r.mi for r in neighbour_information(df, kept, y, row_id, seed).collect()}
+    measured = binned_information(df, kept, y) if binned else neighbour_information(df, kept, y, row_id, seed)
+    mi = {r.name: r.mi for r in measured.collect()}
     rho = rho_table(spearman(df, kept).collect()) if len(kept) > 1 else {}
     survivors, dropped = prune(mi, rho)
     return {"selected": mrmr({c: mi[c] for c in survivors}, rho, k, quotient), "survivors": survivors, "dropped": dropped, "mi": mi}
 
 
-def stability(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, n_folds: int = 5, seed: int = 42) -> list[dict]:
+def stability(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, n_folds: int = 5, seed: int = 42, binned: bool = False) -> list[dict]:
     """How many folds pick each feature, most first, then by name."""
     dealt = split.folds(df, n_folds, row_id, y, seed)
     picks: dict[str, int] = {}
     for f in range(n_folds):
-        for c in select_features(dealt.where(F.col("fold") != f).drop("fold"), pool, y, row_id, k, seed=seed + f)["selected"]:
+        for c in select_features(dealt.where(F.col("fold") != f).drop("fold"), pool, y, row_id, k, seed=seed + f, binned=binned)["selected"]:
             picks[c] = picks.get(c, 0) + 1
     return [{"name": c, "folds": n, "frequency": round(n / n_folds, 4)} for c, n in sorted(picks.items(), key=lambda x: (-x[1], x[0]))]
 

@@ -146,12 +146,6 @@ def _(s, d):
     return split.remainder(f, split.sample(f, 1000, "row_id", "label", 42), "row_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("J6_kernel_entries")
-def _(s, d):
-    e = kernel.embed(_angles(s, d), ANGLES)
-    return kernel.kernel_rows(e, split.landmarks(e, 16, "vec_id", 7), "vec_id")
-
-
 @query("J7_model_pairs", f"WITH {sql.LONG} SELECT a.model AS model_a, b.model AS model_b, count(*) AS n, count_if(a.pred = b.pred)::BIGINT AS agree FROM long a JOIN long b ON a.row_id = b.row_id AND a.model < b.model GROUP BY 1, 2")
 def _(s, d):
     return agreement.long_pairs(long_scored(s, d))
@@ -371,10 +365,14 @@ def _(s, d):
     return split.sample(flows(s, d), 1000, "row_id", "label", 42).select("row_id", "label")
 
 
-def _partitions_sql() -> str:
+BOUNDED = {"train": 100, "validation": 50, "test": 100}
+
+
+def _partitions_sql(sizes: dict[str, int] | None = None) -> str:
     """Consecutive quotas of what each split leaves."""
-    parts, names = [sql.FLOWS, f"r AS {sql.ranked('flows', 42)}", "left0 AS (SELECT label, count(*) AS c, 0::BIGINT AS start FROM flows GROUP BY label)"], list(SIZES)
-    for i, (name, n) in enumerate(SIZES.items()):
+    sizes = sizes or SIZES
+    parts, names = [sql.FLOWS, f"r AS {sql.ranked('flows', 42)}", "left0 AS (SELECT label, count(*) AS c, 0::BIGINT AS start FROM flows GROUP BY label)"], list(sizes)
+    for i, (name, n) in enumerate(sizes.items()):
         parts.append(f"x{i} AS (SELECT *, {n}.0::DOUBLE * c / sum(c) OVER () AS x, floor({n}.0::DOUBLE * c / sum(c) OVER ())::BIGINT AS f FROM left{i})")
         parts.append(f"q{i} AS (SELECT label, c, start, (f + (row_number() OVER (ORDER BY x - f DESC, label) <= {n} - sum(f) OVER ())::BIGINT)::BIGINT AS q FROM x{i})")
         parts.append(f"left{i + 1} AS (SELECT label, c - q AS c, start + q AS start FROM q{i})")
@@ -392,9 +390,9 @@ def _(s, d):
     return split.overlaps(split.partitions(flows(s, d), SIZES, "row_id", "label", 42), "row_id")
 
 
-@query("S4_bounded")
+@query("S4_bounded", _partitions_sql(BOUNDED))
 def _(s, d):
-    return split.bounded_partitions(flows(s, d), 100, 50, 100, "row_id", "label", 42).groupBy("split", "label").agg(F.count("*").alias("n"))
+    return split.bounded_partitions(flows(s, d), *BOUNDED.values(), "row_id", "label", 42).select("row_id", "label", "split")
 
 
 @query("S5_two_samples", f"WITH {sql.FLOWS}, a AS (SELECT * FROM flows WHERE is_open = 1), b AS (SELECT * FROM flows WHERE is_open = 0) SELECT 'train' AS part, row_id FROM {sql.ranked('a', 42)} JOIN {sql.quota('a', 300)} USING (label) WHERE place < q UNION ALL SELECT 'test', row_id FROM {sql.ranked('b', 42)} JOIN {sql.quota('b', 200)} USING (label) WHERE place < q")
@@ -467,12 +465,20 @@ def _(s, d):
     return prepare.Scaler(f, ["quantity", "discount"], skewed=float("inf")).transform(f).select("row_id", F.round("quantity", 6).alias("quantity"), F.round("discount", 6).alias("discount"))
 
 
-@query("F1_prepare")
+def _prepared_sql() -> str:
+    """Standard scores fitted on the training part, of logarithms for skewed columns that are never negative, and the training part's values of status."""
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}, avg(ln(1 + {c})) AS lm_{c}, stddev_pop(ln(1 + {c})) AS ls_{c}, skewness({c}) > 1.5 AND min({c}) >= 0 AS h_{c}" for c in POOL)
+    scaled = ", ".join(f"round(CASE WHEN h_{c} THEN (ln(1 + {c}) - lm_{c}) / CASE WHEN ls_{c} = 0 THEN 1 ELSE ls_{c} END ELSE ({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END END, 6) AS {c}" for c in POOL)
+    hot = ", ".join(f"(status = '{v}')::INT::DOUBLE AS \"status={v}\"" for v in ("F", "O"))
+    return f"""WITH {sql.FLOWS}, sizes AS (SELECT label, count(*) AS size FROM flows GROUP BY label), dealt AS (SELECT r.*, place < ceil(0.2::DOUBLE * size) AS held FROM {sql.ranked('flows', 42)} r JOIN sizes USING (label)),
+m AS (SELECT {stats} FROM dealt WHERE NOT held) SELECT row_id, label, {scaled}, {hot} FROM dealt, m WHERE held"""
+
+
+@query("F1_prepare", _prepared_sql())
 def _(s, d):
-    f = flows(s, d)
-    dealt = split.fraction_split(f, 0.2, "row_id", "label", 42)
+    dealt = split.fraction_split(flows(s, d), 0.2, "row_id", "label", 42)
     _, test = prepare.prepare(dealt.where("split = 'train'"), dealt.where("split = 'validation'"), POOL, ["status"], ("row_id", "label"))
-    return test
+    return test.withColumns({c: F.round(c, 6) for c in POOL})
 
 
 @query("F3_angles", f"WITH {sql.FLOWS}, r AS (SELECT min(price) AS lo, max(price) AS hi, min(tax) AS tl, max(tax) AS th FROM flows) SELECT row_id, round(least(greatest((price - lo) / (hi - lo) * {math.pi!r}::DOUBLE, 0), {math.pi!r}::DOUBLE), 6) AS price, round(least(greatest((tax - tl) / (th - tl) * {math.pi!r}::DOUBLE, 0), {math.pi!r}::DOUBLE), 6) AS tax FROM flows, r")
@@ -481,12 +487,47 @@ def _(s, d):
     return prepare.AngleScaler(f, ["price", "tax"]).transform(f).select("row_id", F.round("price", 6).alias("price"), F.round("tax", 6).alias("tax"))
 
 
+def _information_sql(source: str = "flows", prefix: str = "") -> str:
+    """CTEs long, ends, n, t and b (name, mi) over a source, all with a prefix."""
+    p, melt = prefix, " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS x, label AS y FROM {source}" for c in POOL)
+    return f"""{p}long AS ({melt}), {p}ends AS (SELECT name, min(x) AS lo, max(x) AS hi FROM {p}long GROUP BY name),
+{p}n AS (SELECT name, CASE WHEN hi > lo THEN least(15, floor((x - lo) / (hi - lo) * 16)) ELSE 0 END AS bin, y, count(*)::DOUBLE AS n FROM {p}long JOIN {p}ends USING (name) GROUP BY ALL),
+{p}t AS (SELECT name, n / sum(n) OVER (PARTITION BY name) * ln(n * sum(n) OVER (PARTITION BY name) / (sum(n) OVER (PARTITION BY name, bin) * sum(n) OVER (PARTITION BY name, y))) AS term FROM {p}n),
+{p}b AS MATERIALIZED (SELECT name, round(greatest(0.0, sum(term)), 6) AS mi FROM {p}t GROUP BY name)"""
+
+
 def _binned_sql() -> str:
-    melt = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS x, label AS y FROM flows" for c in POOL)
-    return f"""WITH {sql.FLOWS}, long AS ({melt}), ends AS (SELECT name, min(x) AS lo, max(x) AS hi FROM long GROUP BY name),
-n AS (SELECT name, CASE WHEN hi > lo THEN least(15, floor((x - lo) / (hi - lo) * 16)) ELSE 0 END AS bin, y, count(*)::DOUBLE AS n FROM long JOIN ends USING (name) GROUP BY ALL),
-t AS (SELECT name, n / sum(n) OVER (PARTITION BY name) * ln(n * sum(n) OVER (PARTITION BY name) / (sum(n) OVER (PARTITION BY name, bin) * sum(n) OVER (PARTITION BY name, y))) AS term FROM n)
-SELECT name, round(greatest(0.0, sum(term)), 6) AS mi FROM t GROUP BY name"""
+    return f"WITH {sql.FLOWS}, {_information_sql()} SELECT name, mi FROM b"
+
+
+def _order_sql(prefix: str = "", source: str = "flows") -> str:
+    """CTEs r, rho (a, b, rho, both ways) and ord (name, mi, pos) after those of _information_sql."""
+    p, ranks = prefix, ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in POOL)
+    one = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS rho FROM {p}r" for a in sorted(POOL) for b in sorted(POOL) if a < b)
+    return f"""{p}r AS MATERIALIZED (SELECT {ranks} FROM {source}), {p}one AS MATERIALIZED ({one}),
+{p}rho AS (SELECT a, b, abs(coalesce(CASE WHEN isnan(rho) THEN 0 ELSE rho END, 0)) AS rho FROM {p}one UNION ALL SELECT b, a, abs(coalesce(CASE WHEN isnan(rho) THEN 0 ELSE rho END, 0)) FROM {p}one),
+{p}ord AS MATERIALIZED (SELECT name, mi, row_number() OVER (ORDER BY mi DESC, name DESC) AS pos FROM {p}b)"""
+
+
+def _pruned_sql(prefix: str = "", limit: float = select.STRICT) -> str:
+    """CTEs k0 to k5: the names kept so far, in order."""
+    p, parts = prefix, [f"{prefix}k0 AS (SELECT []::VARCHAR[] AS kept)"]
+    for i in range(1, len(POOL) + 1):
+        follows = f"(SELECT count(*) FROM {p}rho x WHERE x.a = o.name AND list_contains(k.kept, x.b) AND x.rho > {limit}) > 0"
+        parts.append(f"{p}k{i} AS MATERIALIZED (SELECT CASE WHEN o.name IS NULL OR {follows} THEN k.kept ELSE list_append(k.kept, o.name) END AS kept FROM {p}k{i - 1} k LEFT JOIN {p}ord o ON o.pos = {i})")
+    return ", ".join(parts)
+
+
+def _picked_sql(k: int, quotient: bool = False, prefix: str = "", among: str | None = None) -> str:
+    """CTEs p1 to pk: the names picked so far, in order."""
+    p, parts = prefix, []
+    pool = f"{p}ord" if among is None else f"(SELECT o.* FROM {p}ord o, {among} WHERE list_contains(kept, o.name))"
+    worth = "o.mi / (avg(x.rho) + 1e-5)" if quotient else "o.mi - avg(x.rho)"
+    parts.append(f"{p}p1 AS MATERIALIZED (SELECT [name] AS picked FROM {pool} ORDER BY pos LIMIT 1)")
+    for i in range(2, k + 1):
+        step = f"SELECT q.picked, o.name FROM {p}p{i - 1} q, {pool} o, {p}rho x WHERE NOT list_contains(q.picked, o.name) AND x.a = o.name AND list_contains(q.picked, x.b) GROUP BY q.picked, o.name, o.mi, o.pos ORDER BY {worth} DESC, o.pos LIMIT 1"
+        parts.append(f"{p}s{i} AS MATERIALIZED ({step}), {p}p{i} AS MATERIALIZED (SELECT list_append(picked, name) AS picked FROM {p}s{i} UNION ALL SELECT picked FROM {p}p{i - 1} WHERE NOT EXISTS (SELECT 1 FROM {p}s{i}))")
+    return ", ".join(parts)
 
 
 @query("F6_binned_information", _binned_sql())
@@ -505,7 +546,10 @@ def _(s, d):
     return select.spread(flows(s, d), POOL).where("kept").select("name")
 
 
-@query("F8_pruning")
+_SELECTION = f"WITH {sql.FLOWS}, {_information_sql()}, {_order_sql()}"
+
+
+@query("F8_pruning", f"{_SELECTION}, {_pruned_sql()} SELECT (u.place - 1)::INT AS place, kept[u.place] AS name, mi FROM k{len(POOL)}, (SELECT unnest(range(1, len(kept) + 1)) AS place FROM k{len(POOL)}) u JOIN ord ON ord.name = kept[u.place]")
 def _(s, d):
     f = flows(s, d)
     mi = {r.name: r.mi for r in select.binned_information(f, POOL, "label").collect()}
@@ -513,7 +557,7 @@ def _(s, d):
     return s.createDataFrame([(k, n, mi[n]) for k, n in enumerate(kept)], "place int, name string, mi double")
 
 
-@query("F9_mrmr")
+@query("F9_mrmr", f"{_SELECTION}, {_picked_sql(4)}, {_picked_sql(4, True).replace('p1', 'v1').replace('p2', 'v2').replace('p3', 'v3').replace('p4', 'v4').replace('s2', 'w2').replace('s3', 'w3').replace('s4', 'w4')} SELECT 'difference' AS rule, unnest(range(len(picked)))::INT AS place, unnest(picked) AS name FROM p4 UNION ALL SELECT 'quotient', unnest(range(len(picked)))::INT, unnest(picked) FROM v4")
 def _(s, d):
     f = flows(s, d)
     mi = {r.name: r.mi for r in select.binned_information(f, POOL, "label").collect()}
@@ -527,6 +571,27 @@ def _(s, d):
     return s.createDataFrame([(r["name"], r["folds"], r["frequency"]) for r in rows], "name string, folds int, frequency double")
 
 
+@query("F10_selection_binned", f"{_SELECTION}, {_pruned_sql()}, {_picked_sql(4, among=f'k{len(POOL)}')} SELECT place, p.name, mi FROM (SELECT unnest(range(len(picked)))::INT AS place, unnest(picked) AS name FROM p4) p JOIN ord USING (name)")
+def _(s, d):
+    got = select.select_features(flows(s, d), POOL, "label", "row_id", 4, binned=True)
+    return s.createDataFrame([(k, n, float(got["mi"][n])) for k, n in enumerate(got["selected"])], "place int, name string, mi double")
+
+
+def _stability_sql(k: int, folds: int = 5) -> str:
+    parts, picks = [], []
+    for f in range(folds):
+        p = f"f{f}_"
+        parts += [f"{p}rows AS (SELECT * FROM dealt WHERE fold <> {f})", _information_sql(f"{p}rows", p), _order_sql(p, f"{p}rows"), _pruned_sql(p), _picked_sql(k, prefix=p, among=f"{p}k{len(POOL)}")]
+        picks.append(f"SELECT unnest(picked) AS name FROM {p}p{k}")
+    return f"WITH {sql.FLOWS}, dealt AS MATERIALIZED (SELECT *, place % {folds} AS fold FROM {sql.ranked('flows', 42)}), {', '.join(parts)} SELECT name, count(*)::INT AS folds, round(count(*) / {folds}.0::DOUBLE, 4) AS frequency FROM ({' UNION ALL '.join(picks)}) GROUP BY name"
+
+
+@query("F11_stability_binned", _stability_sql(3))
+def _(s, d):
+    rows = select.stability(flows(s, d), POOL, "label", "row_id", 3, binned=True)
+    return s.createDataFrame([(r["name"], r["folds"], r["frequency"]) for r in rows], "name string, folds int, frequency double")
+
+
 @query("F6_neighbour_information")
 def _(s, d):
     return select.by_information(select.neighbour_information(flows(s, d), POOL, "label", "row_id"))
@@ -587,6 +652,13 @@ def _(s, d):
     return kernel.kernel_rows(e, split.landmarks(e, 16, "vec_id", 7), "vec_id").withColumn("k", F.round("k", 5))
 
 
+@query("J6_kernel_entries", f"WITH {_states_sql()}, {_MARKS.replace('LIMIT 16', 'LIMIT 64')}, k AS (SELECT p.vec_id AS i, mark AS j, {_DOTS} FROM psi p JOIN marks q ON true WHERE p.vec_id IN (SELECT mark FROM marks)) SELECT i, j, round(least(greatest(a * a + b * b, 0), 1), 5) AS k FROM k")
+def _(s, d):
+    # All pairs of a sample, whose size is the feature.
+    marks = split.landmarks(kernel.embed(_angles(s, d), ANGLES), 64, "vec_id", 7)
+    return kernel.kernel_rows(marks, marks, "vec_id").select(F.col("vec_id").alias("i"), F.col("mark").alias("j"), F.round("k", 5).alias("k"))
+
+
 @query("K7_explicit_map", f"WITH {_states_sql()}, {_MARKS}, k AS (SELECT vec_id, mark, {_DOTS} FROM psi, marks) SELECT vec_id, round(sum(a * a + b * b), 4) AS k_sum FROM k GROUP BY vec_id")
 def _(s, d):
     from pyspark.ml.functions import vector_to_array
@@ -737,7 +809,23 @@ def _(s, d):
     return r.withColumns({c: F.round(c, 6) for c in ("mean_predicted", "fraction_positive")})
 
 
-@query("G4_audit")
+def _platt_sql(source: str, steps: int = 14) -> str:
+    """CTEs c0 to c14 (slope, intercept): Newton's steps of the penalised logistic curve over a source (x, t)."""
+    parts = ["c0 AS (SELECT 0.0::DOUBLE AS slope, 0.0::DOUBLE AS intercept)"]
+    for k in range(1, steps + 1):
+        rows = f"SELECT slope, intercept, x, t, 1 / (1 + exp(-(slope * x + intercept))) AS p FROM {source}, c{k - 1}"
+        sums = f"SELECT any_value(slope) AS s, any_value(intercept) AS i, sum((p - t) * x) + any_value(slope) AS g0, sum(p - t) AS g1, sum(p * (1 - p) * x * x) + 1 AS a, sum(p * (1 - p) * x) AS b, sum(p * (1 - p)) + 1e-12 AS d FROM ({rows})"
+        parts.append(f"c{k} AS MATERIALIZED (SELECT s - (d * g0 - b * g1) / (a * d - b * b) AS slope, i - (a * g1 - b * g0) / (a * d - b * b) AS intercept FROM ({sums}))")
+    return ", ".join(parts)
+
+
+_AUDIT = f"""WITH {sql.SCORED}, halves AS (SELECT y, rf_score AS score, {sql.uniform("'half'", 'row_id')} < 0.5 AS in_cal FROM scored), fitted AS (SELECT score AS x, y::DOUBLE AS t FROM halves WHERE in_cal), {_platt_sql('fitted')},
+long AS (SELECT CASE WHEN in_cal THEN 'validation' ELSE 'test' END AS part, 'raw' AS kind, y, score FROM halves UNION ALL SELECT CASE WHEN in_cal THEN 'validation' ELSE 'test' END, 'calibrated', y, 1 / (1 + exp(-(slope * score + intercept))) FROM halves, c14),
+g AS (SELECT part, kind, {_BIN} AS bin, count(*) AS n, avg(score) AS mp, avg(y) AS fp, sum((score - y) * (score - y)) AS sq FROM long GROUP BY 1, 2, 3)
+SELECT part, kind, round(sum(sq) / sum(n), 6) AS brier, round(sum(abs(mp - fp) * n) / sum(n), 6) AS ece FROM g GROUP BY part, kind"""
+
+
+@query("G4_audit", _AUDIT)
 def _(s, d):
     halves = scored(s, d).select("row_id", "y", F.col("rf_score").alias("score")).withColumn("in_cal", uniform("half", F.col("row_id")) < 0.5)
     return calibrate.audit(halves.where("in_cal"), halves.where("not in_cal"))
@@ -763,10 +851,46 @@ def _(s, d):
     return inference.bootstrap(scored(s, d))
 
 
-@query("H4_paired_report")
+def _weights_sql() -> str:
+    """Cumulative Poisson probabilities, each step one more."""
+    total, p, steps = 0.0, math.exp(-1.0), []
+    for k in range(1, 8):
+        total += p
+        steps.append(total)
+        p /= k
+    u = sql.uniform("'boot'", "resample", "row_id")
+    return " + ".join(f"({u} >= {x!r}::DOUBLE)::INT" for x in steps)
+
+
+def _paired_sql(resamples: int) -> str:
+    each = " UNION ALL ".join(f"SELECT resample, '{m}' AS model, y, w, {m}_pred AS pred, greatest(0, least(511, floor({m}_score * 512)::INT)) AS bin FROM rw" for m in MODELS)
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, x.metric, x.v - z.v AS difference FROM tall x JOIN tall z ON x.resample = z.resample AND x.metric = z.metric AND x.model = '{a}' AND z.model = '{b}'" for a, b in agreement.PAIRS)
+    tall = " UNION ALL ".join(f"SELECT resample, model, '{k}' AS metric, {v} AS v FROM sums" for k, v in (("accuracy", "(tp + neg - fp) / (pos + neg)::DOUBLE"), ("f1", "2 * tp / greatest(tp + pos + fp, 1)::DOUBLE"), ("fpr", "fp / greatest(neg, 1)::DOUBLE"), ("auc", "area / greatest(pos * neg, 1)::DOUBLE")))
+    return f"""WITH {sql.SCORED}, rw AS MATERIALIZED (SELECT resample, y, {', '.join(f'{m}_pred, {m}_score' for m in MODELS)}, {_weights_sql()} AS w FROM scored, (SELECT unnest(range({resamples}))::INT AS resample)),
+bins AS (SELECT resample, model, bin, sum(w * y)::BIGINT AS pos, sum(w * (1 - y))::BIGINT AS neg, sum(w * y * pred)::BIGINT AS tp, sum(w * (1 - y) * pred)::BIGINT AS fp FROM ({each}) GROUP BY ALL),
+below AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY resample, model ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lower_neg FROM bins),
+sums AS MATERIALIZED (SELECT resample, model, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(pos * (lower_neg + neg / 2.0::DOUBLE)) AS area FROM below GROUP BY ALL), tall AS MATERIALIZED ({tall}),
+i AS (SELECT model_a, model_b, metric, avg(difference) AS mean, stddev_pop(difference) AS se, quantile_cont(difference, 0.025) AS lo, quantile_cont(difference, 0.975) AS hi FROM ({pairs}) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN metric = 'fpr' THEN -hi ELSE lo END AS low, CASE WHEN metric = 'fpr' THEN -lo ELSE hi END AS high FROM i)
+SELECT model_a, model_b, metric, round(mean, 6) AS mean, round(se, 6) AS se, round(lo, 6) AS lower, round(hi, 6) AS upper,
+  CASE WHEN low >= -0.01 AND high <= 0.01 THEN 'EQUIVALENT' WHEN low > 0.01 THEN 'SUPERIOR' WHEN high < -0.01 THEN 'INFERIOR' WHEN low < 0 AND high > 0 THEN 'SPANS_ZERO' ELSE 'BORDERLINE' END AS verdict FROM o"""
+
+
+@query("H3_poisson_bootstrap", _paired_sql(20))
+def _(s, d):
+    got = inference.poisson_bootstrap(scored(s, d), 20)
+    return got.select("model_a", "model_b", "metric", *(F.round(c, 6).alias(c) for c in ("mean", "se", "lower", "upper")), "verdict")
+
+
+# The complementary error function: its series up to 3, a continued fraction beyond.
+_TAIL = """CASE WHEN x < 3 THEN 1 - 2 / sqrt(pi()) * list_sum([pow(-1.0::DOUBLE, k) * pow(x, 2 * k + 1) / (gamma(k + 1.0::DOUBLE) * (2 * k + 1)) FOR k IN range(0, 60)])
+  ELSE exp(-x * x) / sqrt(pi()) / list_reduce(list_concat([x], [60.0::DOUBLE - k FOR k IN range(0, 60)]), lambda a, k: x + (k / 2) / a) END"""
+
+
+@query("H4_paired_report", f"{_PAIRS}, t AS (SELECT model_a, model_b, b + c AS differ, round(CASE WHEN b + c = 0 THEN 0.0 ELSE pow(abs(b - c) - 1.0, 2) / (b + c)::DOUBLE END, 6) AS statistic FROM p), e AS (SELECT *, sqrt(statistic / 2) AS x FROM t), q AS (SELECT model_a, model_b, statistic, CASE WHEN differ = 0 THEN 1.0::DOUBLE ELSE {_TAIL} END AS p FROM e), s AS (SELECT *, least(1.0, (4 - row_number() OVER (ORDER BY p, model_a DESC, model_b DESC)) * p) AS step FROM q) SELECT model_a, model_b, statistic, round(p, 8) AS p, round(max(step) OVER (ORDER BY p, model_a DESC, model_b DESC ROWS UNBOUNDED PRECEDING), 8) AS p_holm FROM s")
 def _(s, d):
     rows = inference.mcnemar_tests(scored(s, d))
-    return s.createDataFrame([(r["model_a"], r["model_b"], float(r["statistic"]), float(r["p"]), float(r["p_holm"])) for r in rows], "model_a string, model_b string, statistic double, p double, p_holm double")
+    return s.createDataFrame([(r["model_a"], r["model_b"], float(r["statistic"]), round(float(r["p"]), 8), float(r["p_holm"])) for r in rows], "model_a string, model_b string, statistic double, p double, p_holm double")
 
 
 # --- agreement and policy ----------------------------------------------------------------------------------------
@@ -909,11 +1033,11 @@ def _(s, d):
     return models.checked_scores(models.forest(p["train"], POOL).transform(p["test"])).select("row_id", "y", "score", "pred")
 
 
-@query("M12_platt")
+@query("M12_platt", f"WITH {sql.SCORED}, fitted AS (SELECT rf_score AS x, y::DOUBLE AS t FROM scored), {_platt_sql('fitted')} SELECT round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM c14")
 def _(s, d):
     base = scored(s, d).select("y", F.col("rf_score").alias("score"))
     curve = calibrate.Platt(base)
-    return s.createDataFrame([(curve.slope, curve.intercept)], "slope double, intercept double")
+    return s.createDataFrame([(round(curve.slope, 5), round(curve.intercept, 5))], "slope double, intercept double")
 
 
 @query("M13_engine")
