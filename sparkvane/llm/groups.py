@@ -49,6 +49,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
         yield held
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """The columns of many rows at once; rows that agree in their first `keys` (integer) columns stay together."""
+    held: list | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) if pa.types.is_primitive(c.type) else c.to_pylist() for c in batch.columns]
+        if held is not None:
+            cols = [h + c if isinstance(c, list) else np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        last = np.ones(len(cols[0]), bool)
+        for c in cols[:keys]:
+            last &= c == c[-1]
+        e = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if e:
+            yield [c[:e] for c in cols]
+        held = [c[e:] for c in cols]
+    if held is not None:
+        yield held
+
+
 class Forest:
     """Union-find over 0..n-1; the root of a set is its smallest member."""
 
@@ -75,13 +95,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [forest.root(x) for x in range(n)]
 
 
+def splittable(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to the rows of right, of which each key has one, so that adaptive execution may deal a hot key's left rows to many tasks.
+
+    It splits only joins whose sides were both shuffled for the join itself; by a second key, a right
+    side that was aggregated by the first one is shuffled again.
+    """
+    hashed = F.xxhash64(key).alias("_h")
+    return left.select("*", hashed).join(right.select("*", hashed), [key, "_h"], how).drop("_h")
+
+
 def _hooked(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a > b)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    large = splittable(both.where("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low, "a")
+    small = splittable(large, low, "a")
     return small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 

@@ -1,8 +1,10 @@
 """Near-duplicate vectors by Euclidean p-stable hashing, then exact cosines.
 
-Unit vectors are projected on Gaussian directions, shifted and quantised; PROJECTIONS cells together
-are a bucket of one table, and TABLES tables find a pair at the threshold with the probability
-`recall_at`. Vectors that share a bucket (and, if asked, a label) are compared exactly; a pair that
+Unit vectors are projected on Gaussian directions, shifted and quantised; some cells together
+are a bucket of one table, and the tables find a pair at the threshold with the probability
+`recall_at`. The projections grow with the logarithm of the number of vectors, so that a vector meets
+about STRANGERS unrelated ones in a table, and the tables follow from RECALL (`plan_for`): the work
+grows as n to the power 1.24. Vectors that share a bucket (and, if asked, a label) are compared exactly; a pair that
 meets in several tables counts in the first only. Equal vectors are compared as one with a count.
 Large buckets are dealt in chunks, so a bucket of any size is compared whole and in bounded memory.
 
@@ -21,18 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .groups import chunked, components, roots, runs
+from .groups import chunked, components, roots, whole_runs
 from .shared import cut, mix64, read
 
-THRESHOLD, PROJECTIONS, TABLES, WIDTH, SEED, CHUNK = 0.93, 12, 72, 1.5, 20240, 2000
+THRESHOLD, RECALL, STRANGERS, WIDTH, SEED, CHUNK, SMALL = 0.93, 0.994, 1.0, 1.5, 20240, 2000, 32
 
 
-def recall_at(cosine: float, projections: int = PROJECTIONS, tables: int = TABLES, width: float = WIDTH) -> float:
-    """The probability that two unit vectors of this cosine share a bucket of some table."""
+def cell_shared(cosine: float, width: float = WIDTH) -> float:
+    """The probability that two unit vectors of this cosine share a cell of one projection."""
     c = math.sqrt(max(0.0, 2 - 2 * cosine)) or 1e-9
     r = width / c
-    p = math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
-    return 1 - (1 - p**projections) ** tables
+    return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
+
+
+def recall_at(cosine: float, projections: int, tables: int, width: float = WIDTH) -> float:
+    """The probability that two unit vectors of this cosine share a bucket of some table."""
+    return 1 - (1 - cell_shared(cosine, width) ** projections) ** tables
+
+
+def plan_for(n: int, threshold: float = THRESHOLD, width: float = WIDTH, recall: float = RECALL, strangers: float = STRANGERS) -> tuple[int, int]:
+    """The projections and tables for n vectors."""
+    projections = max(4, math.ceil(math.log(max(n, 2) / strangers) / -math.log(cell_shared(0.0, width))))
+    return projections, math.ceil(math.log(1 - recall) / math.log1p(-(cell_shared(threshold, width) ** projections)))
 
 
 class Hasher:
@@ -48,13 +60,14 @@ class Hasher:
         return mix64((cells * self.mult).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, same_label: bool = True, projections: int = PROJECTIONS, tables: int = TABLES, width: float = WIDTH, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, same_label: bool = True, width: float = WIDTH, seed: int = SEED, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding[, label])."""
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     label = F.col("label") if same_label else F.lit(0)
     rows = vectors.select("vec_id", label.alias("label"), F.col("embedding").cast("array<double>").alias("v"), "embedding").where(good & F.col("label").isNotNull())
     # Equal vectors under one label are one class, named by its smallest vec_id; the vector itself is the key.
     kept = cut(rows.groupBy("label", F.transform("v", lambda x: x + 0.0).alias("v")).agg(F.countDistinct("vec_id").alias("n"), F.min("vec_id").alias("cls")), "vectors")
+    projections, tables = plan_for(kept.count(), threshold, width, recall)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
@@ -66,8 +79,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, same_label: b
                 x = np.stack([vs[k] for k in at])
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cls = np.repeat(batch.column(0).to_numpy()[at], tables)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(h(x).ravel()), pa.array(np.full(len(cls), dim, np.int32))], names=["cls", "t", "bucket", "dim"])
+                ids, step = batch.column(0).to_numpy()[at], max(1, 2_000_000 // (tables * projections))
+                for s in range(0, len(x), step):
+                    cls = np.repeat(ids[s : s + step], tables)
+                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(cls) // tables)), pa.array(h(x[s : s + step]).ravel()), pa.array(np.full(len(cls), dim, np.int32))], names=["cls", "t", "bucket", "dim"])
 
     placed = kept.select("cls", "v", "label").mapInArrow(buckets, "cls long, t int, bucket long, dim int").join(kept.select("cls", "label"), "cls")
     placed = cut(placed.select("cls", "t", F.xxhash64("label", "dim", "t", "bucket").alias("bucket")), "buckets")
@@ -77,41 +92,59 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, same_label: b
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, Hasher] = {}
-        out: list[tuple] = []
-        for t, _, i, j, chunk, cls, n, lab, v in runs(batches, 4):
-            order = np.argsort(cls, kind="stable")
-            cls, n, lab, chunk = cls[order], n[order], lab[order], chunk[order]
-            dims = np.array([len(v[k]) for k in order])
-            links, pairs = np.zeros(len(cls), np.int64), []
-            for dim in np.unique(dims):
+
+        def linked(x: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray, cls: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> list[tuple]:
+            """Link counts and roots of the pairs a, b (of a bucket each, by number) that meet in no table before t."""
+            hasher = hashers.setdefault(x.shape[1], Hasher(x.shape[1], projections, tables, width, seed))
+            step = max(1, 2_000_000 // (tables * projections))
+            used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            keys = np.concatenate([hasher(x[used[s : s + step]]) for s in range(0, len(used), step)])
+            left, right, fresh = at[: len(a)], at[len(a) :], np.ones(len(a), bool)
+            for s in range(0, len(a), step):
+                fresh[s : s + step] = ~((keys[left[s : s + step]] == keys[right[s : s + step]]) & (np.arange(tables) < t[s : s + step, None])).any(axis=1)
+            a, b = a[fresh], b[fresh]
+            links = np.bincount(a, n[b], len(cls)) + np.bincount(b, n[a], len(cls))
+            own = np.unique(np.concatenate([a, b]))
+            top = roots(len(own), np.searchsorted(own, a), np.searchsorted(own, b))
+            # The root of a tree within one bucket; buckets may share vectors but not rows.
+            return [(int(cls[k]), int(links[k]), int(cls[own[r]])) for k, r in zip(own.tolist(), top, strict=True)]
+
+        for t, bucket, i, j, chunk, cls, n, lab, v in whole_runs(batches, 4):
+            dims = np.array([len(x) for x in v])
+            group = np.cumsum(np.concatenate([[True], (t[1:] != t[:-1]) | (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])) - 1
+            out: list[tuple] = []
+            for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
-                x = np.stack([v[order[k]] for k in own]).astype(float)
+                x = np.stack([v[k] for k in own]).astype(float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for s in range(0, len(own), 512):
-                    a, b = np.nonzero(x[s : s + 512] @ x.T >= threshold)
-                    a += s
-                    ok = (a < b) & (lab[own[a]] == lab[own[b]])
-                    if i[0] != j[0]:
-                        ok &= chunk[own[a]] != chunk[own[b]]
-                    a, b = a[ok], b[ok]
-                    if len(a) and t[0]:
-                        h = hashers.setdefault(int(dim), Hasher(int(dim), projections, tables, width, seed))
-                        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-                        keys = h(x[used])[:, : t[0]]
-                        fresh = ~(keys[at[: len(a)]] == keys[at[len(a) :]]).any(axis=1)
-                        a, b = a[fresh], b[fresh]
-                    if len(a):
-                        np.add.at(links, own[a], n[own[b]])
-                        np.add.at(links, own[b], n[own[a]])
-                        pairs.append((own[a], own[b]))
-            if pairs:
-                top = roots(len(cls), *(np.concatenate(p) for p in zip(*pairs, strict=True)))
-                out += [(int(cls[k]), int(links[k]), int(cls[r])) for k, r in enumerate(top) if links[k]]
-            if len(out) > 50_000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
+                g, c, m, w, q, k, across = group[own], cls[own], n[own], lab[own], chunk[own], t[own], (i != j)[own]
+                order = np.lexsort((c, g))
+                x, g, c, m, w, q, k, across = x[order], g[order], c[order], m[order], w[order], q[order], k[order], across[order]
+                starts = np.flatnonzero(np.diff(g, prepend=-1))
+                sizes = np.diff(np.append(starts, len(g)))
+                pairs = []
+                # Small buckets side by side: every row with the one after it, the one after that, and so on.
+                few = np.repeat(sizes <= SMALL, sizes)
+                for off in range(1, min(SMALL, int(sizes.max()))):
+                    a = np.flatnonzero((g[:-off] == g[off:]) & few[:-off] & (w[:-off] == w[off:])) if off < len(g) else np.zeros(0, int)
+                    a = a[~across[a] | (q[a] != q[a + off])]
+                    a = a[np.einsum("ij,ij->i", x[a], x[a + off]) >= threshold]
+                    pairs.append((a, a + off))
+                if pairs and (a := np.concatenate([p[0] for p in pairs])).size:
+                    out += linked(x, a, np.concatenate([p[1] for p in pairs]), k[a], c, m, g)
+                for s0, size in zip(starts.tolist(), sizes.tolist(), strict=True):
+                    if size <= SMALL:
+                        continue
+                    y = x[s0 : s0 + size]
+                    for s in range(0, size, 512):
+                        a, b = np.nonzero(y[s : s + 512] @ y.T >= threshold)
+                        a, b = a + s + s0, b + s0
+                        ok = (a < b) & (w[a] == w[b]) & (~across[a] | (q[a] != q[b]))
+                        a, b = a[ok], b[ok]
+                        for e in range(0, len(a), 200_000):
+                            out += linked(x, a[e : e + 200_000], b[e : e + 200_000], k[a[e : e + 200_000]], c, m, g)
+            yield _batch(out)
 
     met = met.repartition(*(F.col(c) for c in ("t", "bucket", "i", "j"))).sortWithinPartitions("t", "bucket", "i", "j")
     found = cut(met.mapInArrow(compare, "cls long, n long, root long"), "links")
