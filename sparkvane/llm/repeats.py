@@ -11,7 +11,10 @@ in a document form one run, and only runs filed under the same string are compar
 * minimisers with more than HOT different runs (a passage in very many contexts) would not fit one
   task; their windows are counted by two 64-bit hashes instead, with partial sums before the shuffle.
 
-Null texts are empty; texts shorter than 400 bytes lose nothing. Documents of equal text get equal
+Runs are told equal by a 64-bit hash of their bytes beside that of their minimiser, and texts by md5,
+so results are exact up to collisions of these.
+
+Null texts are empty; texts shorter than 400 bytes lose nothing and take no part. Documents of equal text get equal
 results, so rows that repeat a doc_id, and a null doc_id, need no rule. Other columns are ignored.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .groups import runs
+from .groups import runs, splittable
 from .shared import cut, mix64, read, sliced, small_batches
 
 LENGTH, GRAM, HOT, SORT_BYTES, STRIDE = 400, 32, 2000, 400_000, 1 << 22
@@ -153,6 +156,7 @@ def stretches(flags: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0)).tolist()
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _FOUND = "key long, seg long, a int, b int"
 
 
@@ -208,25 +212,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, window stretches) to the digest of what is left."""
+    """(doc_id, text, window stretches) to the removed spans and the bytes that are left."""
     for part, texts in sliced(batches, 1):
-        out = []
-        for doc, text, found in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist(), strict=True):
+        all_spans, kept = [], []
+        for text, found in zip(texts, part.column(2).to_pylist(), strict=True):
             data = text.encode() if text else b""
             spans, end = [], -1
             for a, b in sorted((f["a"], f["b"]) for f in found or ()):
                 if a <= end:
-                    spans[-1][1] = end = max(end, b + LENGTH - 1)
+                    spans[-1]["end"] = end = max(end, b + LENGTH - 1)
                 else:
                     end = b + LENGTH - 1
-                    spans.append([a, end])
-            edges = [0, *(x for s in spans for x in s), len(data)]
-            sha = hashlib.sha256()
-            for a, b in zip(edges[::2], edges[1::2], strict=True):
-                sha.update(data[a:b])
-            out.append((doc, len(data), sum(b - a for a, b in spans), len(spans), sha.hexdigest()))
-        cols = list(zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    spans.append({"start": a, "end": end})
+            edges = [0, *(x for s in spans for x in s.values()), len(data)]
+            all_spans.append(spans)
+            kept.append(b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(all_spans, _SPANS), pa.array(kept, pa.binary())], names=["doc_id", "spans", "kept"])
 
 
 def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -256,11 +257,21 @@ def repeated_windows(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for every row of docs (doc_id, text)."""
+    """doc_id, spans (the maximal removed stretches of bytes) and kept (the other bytes) for every row of docs (doc_id, text)."""
     found = repeated_windows(docs, hot)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tkey"))
-    return texts.join(found, "tkey", "left").select("doc_id", "text", "found").mapInArrow(_drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    long = F.coalesce(F.octet_length("text") >= LENGTH, F.lit(False))
+    short = texts.where(~long).select("doc_id", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"))
+    keyed = texts.where(long).withColumn("tkey", F.unhex(F.md5(F.col("text").cast("binary"))))
+    joined = splittable(keyed, found, "tkey", "left").select("doc_id", "text", "found")
+    return joined.mapInArrow(_drop, "doc_id long, spans array<struct<start:bigint,end:bigint>>, kept binary").unionByName(short)
+
+
+def digest(dropped: DataFrame) -> DataFrame:
+    """What drop_repeats() gives, in numbers: the bytes of a text, of them removed and kept, the spans and a hash of what is left."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
+    return dropped.select("doc_id", (removed + F.length("kept")).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.length("kept").cast("long").alias("n_kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(read(spark, sf_dir, "documents"))
+    return digest(drop_repeats(read(spark, sf_dir, "documents")))

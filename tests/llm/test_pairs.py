@@ -44,7 +44,9 @@ def test_vectors(spark):
     for r in got:
         want = (n[r.vec_id], comp[r.vec_id], comp[r.vec_id] == r.vec_id) if r.vec_id is not None else (0, None, None)
         assert (r.n_links, r.component_id, r.kept) == want
-    assert vectors.recall_at(0.93) > 0.99
+    for n in (1, 100, 10_000, 10**6, 10**9):
+        projections, tables = vectors.plan_for(n)
+        assert vectors.recall_at(0.93, projections, tables) > 0.99 and n * vectors.cell_shared(0.0) ** projections <= 1
 
 
 def test_vectors_in_chunks(spark, monkeypatch):
@@ -61,7 +63,7 @@ def test_vectors_in_chunks(spark, monkeypatch):
 def test_empty_tables(spark, docs):
     assert vectors.near_vectors(vector_table(spark, [])).count() == 0
     assert jaccard.jaccard_join(docs([])).count() == 0
-    assert repeats.drop_repeats(docs([])).count() == 0
+    assert repeats.digest(repeats.drop_repeats(docs([]))).count() == 0
 
 
 def shingles(text):
@@ -149,7 +151,7 @@ def test_repeats(spark, docs, odd_rows, hot):
     rows += [(50, periodic), (51, text(100) + periodic[:1000]), (52, "x" * 1500), (53, shared), (53, shared), (54, text(2000)), (55, shared[:399]), (56, shared[:400]), (57, shared * 3)]
     rows += [(i if i is None else i + 100, t if t is None or len(t) < 5000 else t[:3000]) for i, t in odd_rows]
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
-    got = [tuple(r) for r in repeats.drop_repeats(docs(rows), hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    got = [tuple(r) for r in repeats.digest(repeats.drop_repeats(docs(rows), hot)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got, key=key) == sorted(brute_repeats(rows), key=key)
 
 
