@@ -10,15 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import calibrate, kernel, metrics, split
+from . import calibrate, kernel, metrics, split, svm
 from .prepare import AngleScaler, Scaler
 
 # Hyper-parameter grids.
@@ -32,6 +31,8 @@ KERNEL_GRID = [{"c": c} for c in (0.1, 1.0, 10.0)]
 
 def margin_or_probability(df: DataFrame) -> Column:
     """The score of class 1: its probability if the model has one, else its margin; ValueError for hard labels only."""
+    if "margin" in df.columns:
+        return F.col("margin")
     if "probability" in df.columns:
         return vector_to_array(F.col("probability"))[1]
     if "rawPrediction" in df.columns:
@@ -47,17 +48,16 @@ def checked_scores(df: DataFrame) -> DataFrame:
     return df
 
 
-def random_features(columns: list[str], gamma: float, size: int = 256, seed: int = 42) -> Callable[[DataFrame], DataFrame]:
+def random_features(width: int, gamma: float, size: int = 256, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
     """Random Fourier features of the Gaussian kernel exp(-gamma |x - x'|^2)."""
     rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, math.sqrt(2 * gamma), (len(columns), size)), rng.uniform(0, 2 * math.pi, size)
+    w, b = rng.normal(0, math.sqrt(2 * gamma), (width, size)), rng.uniform(0, 2 * math.pi, size)
+    return lambda x: np.cos(x @ w + b) * math.sqrt(2 / size)
 
-    @F.pandas_udf("array<double>")
-    def made(*cols: pd.Series) -> pd.Series:
-        x = np.stack([c.to_numpy(float) for c in cols], axis=1)
-        return pd.Series(list(np.cos(x @ w + b) * math.sqrt(2 / size)))
 
-    return lambda df: df.withColumn("features", array_to_vector(made(*(F.col(c) for c in columns))))
+def state_features(reps: int = 2) -> Callable[[np.ndarray], np.ndarray]:
+    """The explicit map of the fidelity kernel."""
+    return lambda x: kernel.explicit_map(kernel.states(x, reps))
 
 
 @dataclass
@@ -73,18 +73,23 @@ class Fitted:
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.model.transform(self.before(df))
         made = {"score": margin_or_probability(out), "pred": F.col("prediction").cast("int")}
-        return out.withColumns(made).drop("features", "rawPrediction", "probability", "prediction")
+        return out.withColumns(made).drop("features", "rawPrediction", "probability", "prediction", "margin")
 
 
 def _assembled(columns: list[str]) -> Callable[[DataFrame], DataFrame]:
     return VectorAssembler(inputCols=columns, outputCol="features").transform
 
 
+def _packed(train: DataFrame) -> tuple[DataFrame, int, int]:
+    """train in few partitions, its rows and these partitions: a fit is many small jobs over the same rows."""
+    n = train.count()
+    parts = max(1, math.ceil(n / ROWS_A_PARTITION))
+    return train.coalesce(parts), n, parts
+
+
 def _fit(name: str, before: Callable, estimator, train: DataFrame, params: dict) -> Fitted:
     began = time.perf_counter()
-    # A fit is many small jobs over the same rows: few rows, few partitions.
-    ready = before(train.coalesce(max(1, math.ceil(train.count() / ROWS_A_PARTITION))))
-    model = estimator.fit(ready)
+    model = estimator.fit(before(_packed(train)[0]))
     return Fitted(name, before, model, params, time.perf_counter() - began)
 
 
@@ -98,33 +103,50 @@ def boosting(train: DataFrame, columns: list[str], y: str = "y", rounds: int = 2
     return _fit("hgb", _assembled(columns), est, train, {"rounds": rounds, "rate": rate, "depth": depth})
 
 
-def rbf_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, gamma: str | float = "scale", size: int = 256, seed: int = 42) -> Fitted:
-    """A Gaussian-kernel SVM by random features; the scaler is fitted on train, so gamma `scale` and `auto` are both 1 / columns."""
+def machines(name: str, scale: Callable[[DataFrame], DataFrame], features: Callable, train: DataFrame, columns: list[str], y: str, grid: list[dict]) -> list[Fitted]:
+    """A machine for each cell of a grid that differs in c alone: every pass maps the rows once for all of them."""
+    began = time.perf_counter()
+    few, _, parts = _packed(scale(train))
+    got = svm.fit(few, columns, y, features, [float(p["c"]) for p in grid], parts)
+    took = time.perf_counter() - began
+    return [Fitted(name, scale, svm.Machine(columns, features, w, b), p, took) for p, (w, b) in zip(grid, got, strict=True)]
+
+
+def rbf_svms(train: DataFrame, columns: list[str], y: str, grid: list[dict], size: int = 256, seed: int = 42) -> list[Fitted]:
+    """Gaussian-kernel SVMs by random features; the scaler is fitted on train, so gamma `scale` and `auto` are both 1 / columns."""
     scaler = Scaler(train, columns, skewed=float("inf"))
-    g = gamma if isinstance(gamma, float) else 1 / len(columns)
-    lift = random_features(columns, g, size, seed)
-    n = max(train.count(), 1)
-    est = LinearSVC(labelCol=y, regParam=1 / (c * n), standardization=False, maxIter=100)
-    return _fit("svm", lambda df: lift(scaler.transform(df)), est, train, {"c": c, "gamma": gamma})
+    width = lambda p: p["gamma"] if isinstance(p.get("gamma"), float) else 1 / len(columns)
+    out: dict[int, Fitted] = {}
+    for g in sorted({width(p) for p in grid}):
+        own = [k for k, p in enumerate(grid) if width(p) == g]
+        out |= dict(zip(own, machines("svm", scaler.transform, random_features(len(columns), g, size, seed), train, columns, y, [grid[k] for k in own]), strict=True))
+    return [out[k] for k in range(len(grid))]
+
+
+def kernel_svms(train: DataFrame, columns: list[str], y: str, grid: list[dict], reps: int = 2) -> list[Fitted]:
+    """Fidelity-kernel SVMs as linear ones on the explicit map: linear in rows, no matrix of all pairs."""
+    return machines("qsvc", AngleScaler(train, columns).transform, state_features(reps), train, columns, y, grid)
+
+
+def rbf_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, gamma: str | float = "scale", size: int = 256, seed: int = 42) -> Fitted:
+    return rbf_svms(train, columns, y, [{"c": c, "gamma": gamma}], size, seed)[0]
 
 
 def kernel_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, reps: int = 2) -> Fitted:
-    """The fidelity-kernel SVM as a linear one on the explicit map: linear in rows, no matrix of all pairs."""
-    angles = AngleScaler(train, columns)
-    n = max(train.count(), 1)
-    est = LinearSVC(labelCol=y, regParam=1 / (c * n), standardization=False, maxIter=100)
-    return _fit("qsvc", lambda df: kernel.mapped(angles.transform(df), columns, reps), est, train, {"c": c})
+    return kernel_svms(train, columns, y, [{"c": c}], reps)[0]
 
 
 FITTERS: dict[str, Callable[..., Fitted]] = {"rf": forest, "hgb": boosting, "svm": rbf_svm, "qsvc": kernel_svm}
+#: Fitters of a whole grid at once.
+GRID_FITTERS: dict[str, Callable[..., list[Fitted]]] = {"svm": rbf_svms, "qsvc": kernel_svms}
 GRIDS = {"rf": FOREST_GRID, "hgb": BOOSTING_GRID, "svm": SVM_GRID, "qsvc": KERNEL_GRID}
 
 
 def tune(name: str, train: DataFrame, held: DataFrame, columns: list[str], y: str = "y", grid: list[dict] | None = None) -> tuple[dict, list[dict]]:
     """The grid cell of the highest F1 on held, the first on ties, and all cells in grid order."""
-    cells = []
-    for pos, params in enumerate(grid or GRIDS[name]):
-        fitted = FITTERS[name](train, columns, y, **params)
+    cells, grid = [], grid or GRIDS[name]
+    made = GRID_FITTERS[name](train, columns, y, grid) if name in GRID_FITTERS else (FITTERS[name](train, columns, y, **p) for p in grid)
+    for pos, (params, fitted) in enumerate(zip(grid, made, strict=True)):
         row = metrics.confusion(fitted.transform(held).withColumn("_m", F.lit(name)), ["_m"], y).first()
         tp, fp, fn = row.tp, row.fp, row.fn
         cells.append({"grid_pos": pos, "params": params, "f1": 2 * tp / max(2 * tp + fp + fn, 1)})
@@ -140,18 +162,17 @@ def cross_validate(name: str, df: DataFrame, columns: list[str], row_id: str, y:
     """Mean AUC of each grid cell over k stratified folds; above at_most rows, a stratified sample of that size."""
     if at_most is not None and df.count() > at_most:
         df = split.sample(df, at_most, row_id, y, seed)
-    dealt = split.folds(df, k, row_id, y, seed)
-    dealt.persist()
-    out = []
-    for pos, params in enumerate(grid or GRIDS[name]):
-        scores = []
-        for f in range(k):
+    from .jobs import held, in_threads
+
+    cells = list(enumerate(grid or GRIDS[name]))
+    with held(split.folds(df, k, row_id, y, seed)) as dealt:
+
+        def scored(params: dict, f: int) -> list[float]:
             fitted = FITTERS[name](dealt.where(F.col("fold") != f), columns, y, **params)
-            judged = fitted.transform(dealt.where(F.col("fold") == f)).withColumn("_m", F.lit(name))
-            scores.append(metrics.auc(judged, ["_m"], y).first().auc)
-        out.append({"grid_pos": pos, "params": json.dumps(params, sort_keys=True), "auc": float(np.mean([s or 0.0 for s in scores]))})
-    dealt.unpersist()
-    return out
+            return [metrics.auc(fitted.transform(dealt.where(F.col("fold") == f)).withColumn("_m", F.lit(name)), ["_m"], y).first().auc or 0.0]
+
+        got = in_threads(lambda p=p, f=f: scored(p, f) for _, p in cells for f in range(k))
+    return [{"grid_pos": pos, "params": json.dumps(params, sort_keys=True), "auc": float(np.mean(got[pos * k : pos * k + k]))} for pos, params in cells]
 
 
 def evaluate_once(fitted: Fitted, test: DataFrame, y: str = "y") -> dict:
@@ -212,15 +233,19 @@ def forest_stages(columns: list[str], y: str = "y", trees: int = 20, seed: int =
 
 def experiment(df: DataFrame, sets: dict[str, list[str]], names: list[str], sizes: dict[str, int], row_id: str, y: str, seeds: list[int]) -> DataFrame:
     """(seed, feature_set, model, status, metrics) of every combination; a failing run is a row of its own."""
+    from .jobs import held, in_threads
+
     spark, rows = df.sparkSession, []
+
+    def one(seed: int, set_name: str, name: str, train: DataFrame, test: DataFrame) -> list[tuple]:
+        try:
+            got = evaluate_once(FITTERS[name](train, sets[set_name], y), test, y)
+            return [(seed, set_name, name, "ok", got["n"], got["accuracy"], got["f1"], got["fpr"], got["auc"])]
+        except Exception as e:  # noqa: BLE001 - a failed run is part of the result
+            return [(seed, set_name, name, f"failed: {type(e).__name__}", 0, None, None, None, None)]
+
     for seed in seeds:
-        dealt = split.partitions(df, sizes, row_id, y, seed).persist()
-        train, test = dealt.where("split = 'train'"), dealt.where("split = 'test'")
-        for (set_name, columns), name in itertools.product(sets.items(), names):
-            try:
-                got = evaluate_once(FITTERS[name](train, columns, y), test, y)
-                rows.append((seed, set_name, name, "ok", got["n"], got["accuracy"], got["f1"], got["fpr"], got["auc"]))
-            except Exception as e:  # noqa: BLE001 - a failed run is part of the result
-                rows.append((seed, set_name, name, f"failed: {type(e).__name__}", 0, None, None, None, None))
-        dealt.unpersist()
+        with held(split.partitions(df, sizes, row_id, y, seed)) as dealt:
+            train, test = dealt.where("split = 'train'"), dealt.where("split = 'test'")
+            rows += in_threads(lambda s=s, m=m: one(seed, s, m, train, test) for s, m in itertools.product(sets, names))
     return spark.createDataFrame(rows, "seed int, feature_set string, model string, status string, n long, accuracy double, f1 double, fpr double, auc double")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if, uniform
-from ..operators import agreement, calibrate, inference, kernel, metrics, models, policy, prepare, profile, projection, select, split, summaries
+from ..operators import agreement, calibrate, inference, jobs, kernel, metrics, models, policy, prepare, profile, projection, select, split, summaries
 from ..sources import tables
 from ..sources.tables import MODELS, by_model, flows, scored, table
 from . import sql
@@ -985,16 +985,22 @@ def _(s, d):
 
 # --- models (values are of the library; rows are checked) --------------------------------------------------------
 
-def _model_split(s, d):
-    # A few thousand rows, whatever the table's size, that each fit reads many times.
-    dealt = split.partitions(flows(s, d), SIZES, "row_id", "label", 42).withColumnRenamed("label", "y").persist()
-    return {name: dealt.where(F.col("split") == name).select("row_id", "y", *POOL) for name in SIZES}
+def _labelled(s, d):
+    return flows(s, d).withColumnRenamed("label", "y").select("row_id", "y", *POOL)
+
+
+def _whole_split(s, d):
+    """All flows, four fifths to fit on and a fifth to judge on."""
+    dealt = split.fraction_split(_labelled(s, d), 0.2, "row_id", "y", 42)
+    return dealt.where("split = 'train'"), dealt.where("split = 'validation'")
 
 
 def _model_query(name: str, columns: list[str]):
     def run(s, d):
-        parts = _model_split(s, d)
-        got = models.evaluate_once(models.FITTERS[name](parts["train"], columns), parts["test"])
+        train, test = _whole_split(s, d)
+        with jobs.held(train.select("row_id", "y", *columns)) as own:
+            fitted = models.FITTERS[name](own, columns)
+        got = models.evaluate_once(fitted, test)
         return s.createDataFrame([(name, got["n"], got["accuracy"], got["f1"], got["fpr"], got["auc"])], "model string, n long, accuracy double, f1 double, fpr double, auc double")
 
     return run
@@ -1008,29 +1014,45 @@ QUERIES["M4_kernel_svm"] = _model_query("qsvc", NUMERIC)
 
 @query("M5_cross_validate")
 def _(s, d):
-    p = _model_split(s, d)["train"]
-    rows = models.cross_validate("rf", p, NUMERIC, "row_id", grid=models.FOREST_GRID[:2])
+    # Above 5,000 rows the protocol's own subsample (S9).
+    rows = models.cross_validate("rf", _whole_split(s, d)[0], NUMERIC, "row_id")
     return s.createDataFrame([(r["grid_pos"], r["params"], r["auc"]) for r in rows], "grid_pos int, params string, auc double")
 
 
+def _protocol(s, d):
+    """The protocol's partitions, whose sizes are its own; scaled down alike for a table with fewer rows."""
+    f = _labelled(s, d)
+    return split.partitions(f, jobs.protocol_sizes(f.count()), "row_id", "y", 42)
+
+
 @query("M6_tune")
 def _(s, d):
-    p = _model_split(s, d)
-    _, cells = models.tune("qsvc", p["train"], p["tune"], NUMERIC)
-    return s.createDataFrame([(c["grid_pos"], float(c["params"]["c"]), float(c["f1"])) for c in cells], "grid_pos int, c double, f1 double")
+    with jobs.held(_protocol(s, d)) as p:
+        _, cells = models.tune("svm", p.where("split = 'train'"), p.where("split = 'tune'"), NUMERIC)
+    return s.createDataFrame([(c["grid_pos"], float(c["params"]["c"]), str(c["params"]["gamma"]), float(c["f1"])) for c in cells], "grid_pos int, c double, gamma string, f1 double")
 
 
 @query("M7_tune_and_refit")
 def _(s, d):
-    p = _model_split(s, d)
-    got = models.evaluate_once(models.tune_and_refit("rf", p["train"], p["tune"], POOL, grid=models.FOREST_GRID[:2]), p["test"])
+    with jobs.held(_protocol(s, d)) as p:
+        fitted = models.tune_and_refit("rf", p.where("split = 'train'"), p.where("split = 'tune'"), POOL)
+        got = models.evaluate_once(fitted, p.where("split = 'test'"))
     return s.createDataFrame([(got["n"], got["accuracy"], got["f1"], got["auc"])], "n long, accuracy double, f1 double, auc double")
 
 
+@query("M10_kernel_c")
+def _(s, d):
+    with jobs.held(_protocol(s, d)) as p:
+        cells, best = jobs.tune_kernel_c(p.where("split = 'train'"), p.where("split = 'tune'"), NUMERIC)
+    return s.createDataFrame([(float(c["c"]), float(c["f1"]), c is best) for c in cells], "c double, f1 double, best boolean")
+
+
 @query("M11_scores")
 def _(s, d):
-    p = _model_split(s, d)
-    return models.checked_scores(models.forest(p["train"], POOL).transform(p["test"])).select("row_id", "y", "score", "pred")
+    train, test = _whole_split(s, d)
+    with jobs.held(train) as own:
+        fitted = models.forest(own, POOL)
+    return models.checked_scores(fitted.transform(test)).select("row_id", "y", "score", "pred")
 
 
 @query("M12_platt", f"WITH {sql.SCORED}, fitted AS (SELECT rf_score AS x, y::DOUBLE AS t FROM scored), {_platt_sql('fitted')} SELECT round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM c14")
@@ -1042,16 +1064,108 @@ def _(s, d):
 
 @query("M13_engine")
 def _(s, d):
-    parts = split.bounded_partitions(flows(s, d), 100, 50, 100, "row_id", "label", 42).withColumnRenamed("label", "y").persist()
-    part = {n: parts.where(F.col("split") == n).select("row_id", "y", *NUMERIC) for n in ("train", "validation", "test")}
-    done = models.Engine(part["train"], part["validation"], NUMERIC).transform(part["test"])
+    parts = split.bounded_partitions(flows(s, d), *BOUNDED.values(), "row_id", "label", 42).withColumnRenamed("label", "y")
+    with jobs.held(parts) as own:
+        part = {n: own.where(F.col("split") == n).select("row_id", "y", *NUMERIC) for n in BOUNDED}
+        engine = models.Engine(part["train"], part["validation"], NUMERIC)
+    done = engine.transform(parts.where("split = 'test'").select("row_id", "y", *NUMERIC))
     return done.select("row_id", "y", *(f"{m}_{k}" for m in MODELS for k in ("score", "pred", "probability")), "votes", "final", "threat", "review", "tally")
 
 
+SETS = {"numeric": NUMERIC, "no_tax": NUMERIC[:3], "pool": POOL}
+
+
+@query("X2_full_data")
+def _(s, d):
+    """Two models by two feature spaces on all rows."""
+    train, test = _whole_split(s, d)
+    rows = []
+    with jobs.held(train) as own, jobs.held(test) as judge:
+        for set_name in ("numeric", "pool"):
+            for m in ("rf", "svm"):
+                got = models.evaluate_once(models.FITTERS[m](own, SETS[set_name]), judge)
+                rows.append((set_name, m, got["n"], got["accuracy"], got["f1"], got["fpr"], got["auc"]))
+    return s.createDataFrame(rows, "feature_set string, model string, n long, accuracy double, f1 double, fpr double, auc double")
+
+
 @query("X3_experiment")
 def _(s, d):
-    f = flows(s, d).withColumnRenamed("label", "y")
-    return models.experiment(f, {"numeric": NUMERIC, "no_tax": NUMERIC[:3]}, ["rf", "svm"], {"train": 400, "test": 400}, "row_id", "y", [42, 43])
+    f = _labelled(s, d)
+    sizes = jobs.protocol_sizes(f.count())
+    return models.experiment(f, {k: SETS[k] for k in ("numeric", "no_tax")}, ["rf", "svm", "qsvc"], {k: sizes[k] for k in ("train", "test")}, "row_id", "y", list(jobs.SEEDS))
+
+
+@query("X4_restricted_kernel")
+def _(s, d):
+    return jobs.restricted_kernel(_labelled(s, d), NUMERIC, "row_id")
+
+
+@query("X5_learning_curves")
+def _(s, d):
+    f = _labelled(s, d)
+    sizes = jobs.protocol_sizes(f.count())
+    curve = tuple(max(20, n * sizes["train"] // jobs.PROTOCOL["train"]) for n in jobs.CURVE)
+    return jobs.learning_curves(f, NUMERIC, ["rf", "svm"], "row_id", sizes=curve, test=sizes["test"])
+
+
+@query("X7_operational_benchmark")
+def _(s, d):
+    f = _labelled(s, d)
+    return jobs.benchmark(f, {"numeric": NUMERIC}, ["rf", "svm", "qsvc"], "row_id", sizes=jobs.protocol_sizes(f.count()))
+
+
+@query("X8_feature_spaces")
+def _(s, d):
+    # One cell of each grid, as three spaces by three models by five seeds are to be compared and not tuned here.
+    f = _labelled(s, d)
+    return jobs.benchmark(f, SETS, ["rf", "hgb", "svm"], "row_id", sizes=jobs.protocol_sizes(f.count()), grids={m: g[:1] for m, g in models.GRIDS.items()})
+
+
+@query("X9_kernel_scaling")
+def _(s, d):
+    return jobs.kernel_scaling(split.landmarks(_angles(s, d), 200, "vec_id", 7).orderBy("vec_id"), ANGLES)
+
+
+@query("X16_timed_kernels")
+def _(s, d):
+    return jobs.timed_kernels(_angles(s, d), ANGLES, "vec_id").drop("seconds", "projected")
+
+
+@query("X18_versions")
+def _(s, d):
+    return jobs.versions(s)
+
+
+@query("F12_two_pools", f"{_SELECTION}, {_pruned_sql()}, {_picked_sql(4, among=f'k{len(POOL)}')}, z_b AS MATERIALIZED (SELECT * FROM b WHERE name <> 'discount'), {_order_sql('z_')}, {_pruned_sql('z_')}, {_picked_sql(4, prefix='z_', among=f'z_k{len(POOL)}')} SELECT 'all_features' AS run, unnest(range(len(picked)))::INT AS place, unnest(picked) AS name FROM p4 UNION ALL SELECT 'excluded', unnest(range(len(picked)))::INT, unnest(picked) FROM z_p4")
+def _(s, d):
+    got = jobs.two_pools(flows(s, d), POOL, ("discount",), "label", "row_id", binned=True)
+    return s.createDataFrame([(run, k, n) for run, r in got.items() for k, n in enumerate(r["selected"])], "run string, place int, name string")
+
+
+_LONGER = {"pairs": ("n", "agree", "disagree", "both_right", "both_wrong", "only_a_right", "only_b_right", "agreement", "a_right_if_differ", "b_right_if_differ")}
+
+
+def _disagreement_sql() -> str:
+    def tall(section: str, subject: str, source: str, columns: tuple[str, ...]) -> str:
+        return " UNION ALL ".join(f"SELECT '{section}' AS section, {subject} AS subject, '{c}' AS measure, \"{c}\"::DOUBLE AS value FROM ({source})" for c in columns)
+
+    overlaps = (*(f"{m}_errors" for m in MODELS), *(f"{a}_{b}_errors" for a, b in agreement.PAIRS), "all_right", "exactly_one_right", "all_wrong")
+    parts = [
+        tall("pairs", "model_a || '-' || model_b", ORACLE_SQL["D1_pairs"], _LONGER["pairs"]),
+        tall("unanimity", "'all'", ORACLE_SQL["D2_unanimity"], ("n", "unanimous", "unanimous_right", "unanimous_wrong", "all_0", "all_1")),
+        tall("on disagreement", "model", ORACLE_SQL["D3_on_disagreement"], ("n", "right", "place", "accuracy")),
+        tall("error cells", "concat(svm_wrong, rf_wrong, qsvc_wrong)", ORACLE_SQL["D4_error_cells"], ("svm_wrong", "rf_wrong", "qsvc_wrong", "n")),
+        tall("error overlaps", "'all'", ORACLE_SQL["D4_error_overlaps"], overlaps),
+        tall("majority", "'vote'", ORACLE_SQL["D5_majority_worth"], ("n", "majority", "svm", "rf", "qsvc", "majority_minus_best")),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("X20_disagreement", _disagreement_sql())
+def _(s, d):
+    with jobs.held(scored(s, d)) as own:
+        got = jobs.disagreement(own).collect()  # some eighty figures
+    return s.createDataFrame(got, "section string, subject string, measure string, value double")
 
 
 # --- cost models -------------------------------------------------------------------------------------------------

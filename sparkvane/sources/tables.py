@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -57,6 +58,27 @@ def report_or(path: str | Path, fallback: dict) -> tuple[dict, bool]:
         return fallback, False
 
 
+@lru_cache(maxsize=64)
+def loaded_report(path: str) -> dict:
+    """A JSON report, read once a process."""
+    return json.loads(Path(path).read_text())
+
+
+def stored_selection(path: str, run: str = "all_features", size: int | None = 4) -> list[str]:
+    """The features that a stored selection report holds for a run; FileNotFoundError without it, ValueError unless there are `size`."""
+    if not Path(path).exists():
+        raise FileNotFoundError(path)
+    got = list(loaded_report(str(path))["runs"][run]["selected_features"])
+    if size is not None and len(got) != size:
+        raise ValueError(f"{len(got)} features stored, not {size}: {', '.join(got)}")
+    return got
+
+
+def stored_sets(path: str, primary: str = "all_features", ablation: str = "TTL_excluded") -> tuple[list[str], list[str]]:
+    """The primary and the ablation features of a stored selection report."""
+    return stored_selection(path, primary, None), stored_selection(path, ablation, None)
+
+
 def write_report(report: dict, path: str | Path) -> None:
     """A small report as indented JSON; folders are made."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
