@@ -59,7 +59,7 @@ def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     word = pd.util.hash_array(np.asarray(names, dtype=object), categorize=False)[codes]
     ends = np.cumsum(sizes)
     rolled = np.zeros(len(word), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(word))):
         part = mix64(word + np.uint64(k + 1))
         rolled[: len(word) - k] += part[k:] * np.uint64(2 * k + 1)
     out = []
@@ -247,9 +247,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of every class of near duplicates the document with the smallest doc_id stays."""
-    gone = jaccard_join(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """Stage: of every class of near duplicates the document with the smallest doc_id stays.
+
+    Documents without an id stand behind all others, by a hash of their text, so they go as well if
+    another of their class is there; of those with the same text one is left.
+    """
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    both = docs.where("doc_id is not null").unionByName(nameless)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+    gone = jaccard_join(both.select(key.alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return both.join(gone, key == gone["gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,13 @@ def test_empty_tables(spark, docs):
     assert repeats.digest(repeats.drop_repeats(docs([]))).count() == 0
 
 
+def test_shingles_of_few_words():
+    """A slice of texts may hold fewer words than a shingle."""
+    one, two, none, again = jaccard.shingle_sets(["word", "two words", None, "word"])
+    assert len(one) == len(two) == 1 and len(none) == 0 and one[0] == again[0] != two[0]
+    assert jaccard.shingle_sets(["word"])[0] == one[0] and jaccard.shingle_sets(["two words", ""])[0] == two[0]
+
+
 def shingles(text):
     w = jaccard.WORD.findall((text or "").lower())
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
