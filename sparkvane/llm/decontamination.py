@@ -261,7 +261,7 @@ class Searcher:
         self.patterns = {id(i): (Pattern(i.ids), Pattern(i.ids[-i.answer :])) for i in items}
 
     def __call__(self, texts: list[np.ndarray]) -> list[tuple[int, int, float, float, float]]:
-        """Text number, item_id, cosine, share of the item and share of its answer, for each item that a text holds."""
+        """Text number, item_id, nearness (the latent dot product by the window's length in words, at most 1), share of the item and share of its answer, for each item that a text holds."""
         if not texts:
             return []
         gap = 5 * max(c[0] for c in self.classes)
@@ -309,17 +309,21 @@ def _fives(x: np.ndarray) -> np.ndarray:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = SHARE, answer_share: float = ANSWER_SHARE, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, cosine, share and answer_share, a row for each document (doc_id, text) and item (item_id, text) that it holds."""
+    """doc_id, item_id, nearness, share and answer_share, a row for each document (doc_id, text) and item (item_id, text) that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), *(T.StructField(k, T.DoubleType()) for k in ("cosine", "share", "answer_share"))])
-    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), *(T.StructField(k, T.DoubleType()) for k in ("nearness", "share", "answer_share"))])
+    rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
     number: dict[str, int] = {}
-    for r in rows:
+    kept = []
+    # Row by row, so that a table beyond the bound is refused before it fills the driver.
+    for r in rows.toLocalIterator():
         for w in words(r.text):
             number.setdefault(w, len(number))
-    if len(number) > MAX_VOCABULARY:
-        raise ValueError(f"the benchmark has more than {MAX_VOCABULARY} words; split it")
+        if len(number) > MAX_VOCABULARY:
+            raise ValueError(f"the benchmark has more than {MAX_VOCABULARY} words; split it")
+        kept.append(r)
+    rows = kept
     items = [Item(r.item_id, r.text, number) for r in rows if len(words(r.text)) >= LEAST_WORDS]
     if not items:
         return spark.createDataFrame([], schema)
@@ -350,9 +354,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share:
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that hold no item of the benchmark."""
-    found = leaks(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """Stage: the documents that hold no item of the benchmark. Texts are judged, not ids, so null and repeated ids make no difference."""
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
+    found = leaks(docs.select(key.alias("doc_id"), "text"), read(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.unhex(F.md5(docs["text"].cast("binary"))) == gone["gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
