@@ -2,7 +2,8 @@
 
 Documents fall into cells of source, language and topic. A cell's tokens are raked: its weight is
 multiplied, for one dimension after the other, by target share over present share of its value, until
-all three marginals meet their targets. Documents are then sampled with probability
+all three marginals are within GAP of their targets; targets that no weights can meet end after
+MOST_ROUNDS. Documents are then sampled with probability
 min(1, scale x weight of the cell), the scale set so that the expected tokens are the wanted fraction.
 
 Targets are shares by value of a dimension, or by default every value's own share of the tokens to the
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 from .shared import cut, read
 
 DIMENSIONS = ("source", "lang", "topic")
-SMOOTHING, FRACTION, ROUNDS, SCALINGS, SEED = 0.7, 0.5, 8, 12, "mix"
+SMOOTHING, FRACTION, GAP, CUT_ROUNDS, MOST_ROUNDS, SCALINGS, SEED = 0.7, 0.5, 1e-12, 4, 60, 12, "mix"
 
 
 def topic(text: Column) -> Column:
@@ -43,17 +44,25 @@ def placed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_source": F.coalesce("source", F.lit("none")), "_lang": F.coalesce("lang", F.lit("und")), "_topic": topic(text), "_tokens": F.greatest(F.lit(1), F.ceil(F.length(text) / 4)).cast("long"), "_draw": draw})
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, gap: float = GAP, most: int = MOST_ROUNDS) -> DataFrame:
     """cells (_source, _lang, _topic, tokens, and the targets t_source, t_lang, t_topic) with their weight."""
     out = cells.withColumn("weight", F.lit(1.0))
     total = F.sum(F.col("tokens")).over(Window.partitionBy())
     out = out.withColumn("all_tokens", total.cast("double"))
-    for k in range(rounds):
-        for d in DIMENSIONS:
-            have = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(f"_{d}"))
-            out = out.withColumn("have", have).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"t_{d}") * F.col("all_tokens") / F.col("have")).otherwise(0.0)).drop("have")
-        if k % 4 == 3:
-            out = cut(out, "cells")
+    for _ in range(0, most, CUT_ROUNDS):
+        for _ in range(CUT_ROUNDS):
+            for d in DIMENSIONS:
+                have = F.sum(F.col("weight") * F.col("tokens")).over(Window.partitionBy(f"_{d}"))
+                out = out.withColumn("have", have).withColumn("weight", F.when(F.col("have") > 0, F.col("weight") * F.col(f"t_{d}") * F.col("all_tokens") / F.col("have")).otherwise(0.0)).drop("have")
+        out = cut(out, "cells")
+        # The last dimension's marginal is met by construction; the others tell how far it is.
+        off = None
+        for d in DIMENSIONS[:-1]:
+            own = out.groupBy(f"_{d}").agg(F.sum(F.col("weight") * F.col("tokens")).alias("have"), (F.max(f"t_{d}") * F.max("all_tokens")).alias("want"))
+            own = own.select(F.abs(F.try_divide(F.col("have"), F.col("want")) - 1).alias("off"))
+            off = own if off is None else off.unionByName(own)
+        if (off.agg(F.max("off")).first()[0] or 0.0) <= gap:
+            break
     return out
 
 
@@ -104,8 +113,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, fra
 
 
 def keep_sampled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: the documents that the sample holds, with all their columns (but for names that `placed` adds)."""
-    return _drawn(docs, None, FRACTION).where("_draw < _probability").select(docs.columns)
+    """Stage: the documents that the sample holds, with all their columns, whatever their names."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "lang", "source")
+    return _drawn(packed, None, FRACTION).where("_draw < _probability").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +135,7 @@ def _sql() -> str:
         parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, l / sum(l) OVER () AS t_{d} FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {SMOOTHING}) AS l FROM cells GROUP BY {d}))")
     parts.append("w0 AS MATERIALIZED (SELECT cells.*, t_source, t_lang, t_topic, 1.0::DOUBLE AS weight, (sum(tokens) OVER ())::DOUBLE AS total FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
     n = 0
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         for d in DIMENSIONS:
             have = f"SELECT *, sum(weight * tokens) OVER (PARTITION BY {d}) AS have FROM w{n}"
             n += 1
