@@ -4,11 +4,11 @@ A block is a run of ids coded on its own: its model starts empty, and its checks
 The ids are cut into lanes of equal length. At each step all lanes code one id with the one model of
 the block, and the model then learns from all of them, so encoder and decoder see the same past.
 
-For each id the model has three predictions: the id that last followed the two ids before it
-(order 2), the id that last followed the id before it (order 1) and adaptive counts (order 0).
-Their weights are mixed by adaptive counts of how often each was right, by the confidence of both
-guesses. The id is coded as "order 2 was right", "order 1 was right" or "neither" and its order-0
-interval.
+For each id the model mixes three distributions over all ids: adaptive counts (order 0), the id that
+last followed the id before it (order 1) and the id that last followed the two ids before it (order 2).
+The mixing weights are adaptive counts of how often each was right, by the confidence of both guesses,
+in MIX parts. The id is coded by its interval in the mixture: at each place the parts of order 0 below
+it, and the guesses below it with their whole weight.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SVRC1\0"
+MAGIC = b"SVRC2\0"
 #: Model settings that the file format fixes.
-HASH_BITS, LEVELS, REFRESH, GAIN, LIMIT = 18, 8, 8, 24, 1 << 22
+HASH_BITS, LEVELS, REFRESH, GAIN, LIMIT, MIX = 18, 8, 8, 24, 1 << 21, 512
 _U = np.uint64
 _W16, _TOP, _BOT, _LOW = _U(16), _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
 
@@ -50,9 +50,14 @@ class _Model:
         self.c2, self.c1 = self.sure2[self.slot], self.sure1[self.last]
         self.ctx = (self.c2.astype(np.int64) * LEVELS + self.c1) * 2 + (g1 == g2)
         n = self.seen[self.ctx]
-        edge1 = n[:, 0]
-        edge2 = edge1 + n[:, 1]
-        return g2, g1, edge1, edge2, edge2 + n[:, 2]
+        share = (n[:, 1:] * (MIX - 3)) // n.sum(axis=1)[:, None] + 1
+        return g2, g1, share[:, 1], share[:, 0], MIX - share.sum(axis=1)
+
+    def interval(self, x: np.ndarray, g2: np.ndarray, g1: np.ndarray, q2: np.ndarray, q1: np.ndarray, q0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of ids in the mixture, of MIX times all counts."""
+        all_, low = self.cum[-1], self.cum[x]
+        start = q0 * low + all_ * (q1 * (g1 < x) + q2 * (g2 < x))
+        return start, q0 * (self.cum[x + 1] - low) + all_ * (q1 * (g1 == x) + q2 * (g2 == x))
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, g2: np.ndarray, g1: np.ndarray) -> None:
         np.add.at(self.seen, (self.ctx, kind), 2)
@@ -82,36 +87,23 @@ def encode(ids: np.ndarray, lanes: int, vocab: int) -> bytes:
     low, rng = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     out, used = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
 
-    def put(start: np.ndarray, freq: np.ndarray, total: np.ndarray, at: np.ndarray | None) -> None:
-        nonlocal low, rng
-        lo, r = (low, rng) if at is None else (low[at], rng[at])
-        r = r // total.astype(_U)
-        lo = lo + r * start.astype(_U)
-        r = r * freq.astype(_U)
-        if at is None:
-            low, rng = lo, r
-        else:
-            low[at], rng[at] = lo, r
+    for t in range(steps):
+        x = grid[t]
+        g2, g1, *weights = model.predict()
+        start, width = model.interval(x, g2, g1, *weights)
+        r = rng // _U(int(model.cum[-1]) * MIX)
+        low, rng = low + r * start.astype(_U), r * width.astype(_U)
         while True:
             settled = (low ^ (low + rng)) < _TOP
             m = np.flatnonzero(settled | (rng < _BOT))
             if not len(m):
-                return
+                break
             lo, r = low[m], rng[m]
             r = np.where(settled[m], r, (~lo + _U(1)) & _LOW)
             out[m, used[m]] = (lo >> _U(48)).astype(np.uint16)
             used[m] += 1
             low[m], rng[m] = lo << _W16, r << _W16
-
-    for t in range(steps):
-        x = grid[t]
-        g2, g1, e1, e2, total = model.predict()
-        kind = np.where(x == g2, 2, np.where(x == g1, 1, 0))
-        put(np.where(kind == 0, 0, np.where(kind == 1, e1, e2)), np.where(kind == 0, e1, np.where(kind == 1, e2 - e1, total - e2)), total, None)
-        if len(at := np.flatnonzero(kind == 0)):
-            s = model.cum[x[at]]
-            put(s, model.cum[x[at] + 1] - s, np.full(len(at), model.cum[-1]), at)
-        model.learn(x, kind, g2, g1)
+        model.learn(x, np.where(x == g2, 2, np.where(x == g1, 1, 0)), g2, g1)
     for _ in range(4):
         out[np.arange(lanes), used] = (low >> _U(48)).astype(np.uint16)
         used += 1
@@ -146,39 +138,34 @@ def decode(block: bytes) -> np.ndarray:
     grid = np.zeros((steps, lanes), np.int64)
     end = len(data) - 1
 
-    def take(start: np.ndarray, freq: np.ndarray, r: np.ndarray, at: np.ndarray | None) -> None:
-        nonlocal low, rng
-        if at is None:
-            low, rng = low + r * start.astype(_U), r * freq.astype(_U)
-        else:
-            low[at], rng[at] = low[at] + r * start.astype(_U), r * freq.astype(_U)
+    for t in range(steps):
+        g2, g1, q2, q1, q0 = model.predict()
+        all_ = int(model.cum[-1])
+        r = rng // _U(all_ * MIX)
+        v = np.minimum((code - low) // r, _U(all_ * MIX - 1)).astype(np.int64)
+        # Within the interval of a guess, or else beyond some guesses, whose weight is then taken off.
+        start1, width1 = model.interval(g1, g2, g1, q2, q1, q0)
+        start2, width2 = model.interval(g2, g2, g1, q2, q1, q0)
+        end1, end2 = start1 + width1, start2 + width2
+        in1, in2 = (v >= start1) & (v < end1), (v >= start2) & (v < end2)
+        x, start, width = np.where(in2, g2, g1).astype(np.int64), np.where(in2, start2, start1), np.where(in2, width2, width1)
+        free = np.flatnonzero(~(in1 | in2))
+        left = (v - all_ * (q1 * (v >= end1) + q2 * (v >= end2)))[free] // q0[free]
+        x[free] = np.searchsorted(model.cum, left, side="right") - 1
+        start[free], width[free] = model.interval(x[free], g2[free], g1[free], q2[free], q1[free], q0[free])
+        low, rng = low + r * start.astype(_U), r * width.astype(_U)
         while True:
             settled = (low ^ (low + rng)) < _TOP
             m = np.flatnonzero(settled | (rng < _BOT))
             if not len(m):
-                return
+                break
             lo, r = low[m], rng[m]
             r = np.where(settled[m], r, (~lo + _U(1)) & _LOW)
             code[m] = (code[m] << _W16) | data[np.minimum(pos[m], end)]
             pos[m] += 1
             low[m], rng[m] = lo << _W16, r << _W16
-
-    for t in range(steps):
-        g2, g1, e1, e2, total = model.predict()
-        r = rng // total.astype(_U)
-        v = np.minimum((code - low) // r, total.astype(_U) - _U(1)).astype(np.int64)
-        kind = (v >= e1).astype(np.int64) + (v >= e2)
-        take(np.where(kind == 0, 0, np.where(kind == 1, e1, e2)), np.where(kind == 0, e1, np.where(kind == 1, e2 - e1, total - e2)), r, None)
-        x = np.where(kind == 2, g2, g1).astype(np.int64)
-        if len(at := np.flatnonzero(kind == 0)):
-            r = rng[at] // _U(model.cum[-1])
-            v = np.minimum((code[at] - low[at]) // r, _U(model.cum[-1] - 1)).astype(np.int64)
-            got = np.searchsorted(model.cum, v, side="right") - 1
-            x[at] = got
-            s = model.cum[got]
-            take(s, model.cum[got + 1] - s, r, at)
         grid[t] = x
-        model.learn(x, kind, g2, g1)
+        model.learn(x, np.where(x == g2, 2, np.where(x == g1, 1, 0)), g2, g1)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype(np.uint32)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("the block's checksum is wrong")

@@ -6,7 +6,8 @@ document ids and lengths, and the ids as a block of the range coder in `range_co
 checksum. Blocks are coded independently; a block holds whole documents.
 
 Null and empty texts are documents of the end id alone. Rows that repeat a doc_id are all kept, side
-by side; rows whose doc_id is null come first. Other columns are ignored, whatever their names.
+by side, in the order of a hash of their text, so every run places them alike; rows whose doc_id is
+null come first. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -156,7 +157,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bloc
 
     spark = docs.sparkSession
     small_batches(spark)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_for(spark), "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one doc_id, or of none, may be many: a hash of their text deals them to several ranges.
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_for(spark), *order[:2]).sortWithinPartitions(*order)
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
 
