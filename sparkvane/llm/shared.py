@@ -18,8 +18,10 @@ WORD = re.compile(r"[^\W_]+")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in a session of one process, if need be, one made for it."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkvane-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -30,10 +32,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, so that lost executors cost a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The tables that cut() wrote and clear() has not deleted yet.
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; for callers whose results are written and no longer read from them."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(key: Column) -> Column:
     """True for the fifth of the rows that no model of this package learns from; false for a null key."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
