@@ -10,15 +10,15 @@ import importlib.metadata
 import json
 import platform
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import held
 from . import agreement, kernel, metrics, models, projection, select, split
 
 # The protocol's rows of each part, its seeds and the sizes of its learning curve.
@@ -37,16 +37,6 @@ def protocol_sizes(rows: int, sizes: dict[str, int] | None = None) -> dict[str,
     return {k: int(n * share) for k, n in sizes.items()}
 
 
-@contextmanager
-def held(df: DataFrame) -> Iterator[DataFrame]:
-    """df, kept in memory for as long as it is read again and again."""
-    df.persist()
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 def in_threads(work: Iterable[Callable[[], list]], threads: int = THREADS) -> list:
     """The rows of all pieces of work, in order."""
     with ThreadPoolExecutor(threads) as pool:

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import held
 from . import calibrate, kernel, metrics, split, svm
 from .prepare import AngleScaler, Scaler
 
@@ -162,7 +163,7 @@ def cross_validate(name: str, df: DataFrame, columns: list[str], row_id: str, y:
     """Mean AUC of each grid cell over k stratified folds; above at_most rows, a stratified sample of that size."""
     if at_most is not None and df.count() > at_most:
         df = split.sample(df, at_most, row_id, y, seed)
-    from .jobs import held, in_threads
+    from .jobs import in_threads
 
     cells = list(enumerate(grid or GRIDS[name]))
     with held(split.folds(df, k, row_id, y, seed)) as dealt:
@@ -233,7 +234,7 @@ def forest_stages(columns: list[str], y: str = "y", trees: int = 20, seed: int =
 
 def experiment(df: DataFrame, sets: dict[str, list[str]], names: list[str], sizes: dict[str, int], row_id: str, y: str, seeds: list[int]) -> DataFrame:
     """(seed, feature_set, model, status, metrics) of every combination; a failing run is a row of its own."""
-    from .jobs import held, in_threads
+    from .jobs import in_threads
 
     spark, rows = df.sparkSession, []
 

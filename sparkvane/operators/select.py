@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.frames import held
 from . import split
 
-LEAST_VARIANCE, STRICT, NEIGHBOURS, MI_CHUNK = 1e-5, 0.9, 3, 20_000
+LEAST_VARIANCE, STRICT, NEIGHBOURS, MI_CHUNK, MAX_BROADCAST = 1e-5, 0.9, 3, 20_000, 100_000
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,30 +99,42 @@ def by_information(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("mi"), F.desc("name"))
 
 
-def average_ranks(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
-    """row_id, name, rank: average ranks from counts by distinct value, so no window holds all rows."""
-    long = melt(df, columns, row_id)
+def value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, x, rank): the average rank of each distinct value of each column, so no window holds all rows."""
     from .metrics import cumulative
 
-    counts = cumulative(long.withColumn("y", F.lit(0)), ["name"], "y", "x")
-    ranks = counts.select("name", F.col("score").alias("x"), (F.col("neg_below") + (F.col("neg") + 1) / 2.0).alias("rank"))
-    return long.join(ranks, ["name", "x"]).select(row_id, "name", "rank")
+    counts = cumulative(melt(df, columns, F.lit(0).alias("y")), ["name"], "y", "x")
+    return counts.select("name", F.col("score").alias("x"), (F.col("neg_below") + (F.col("neg") + 1) / 2.0).alias("rank"))
+
+
+def average_ranks(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """row_id, name, rank."""
+    return melt(df, columns, row_id).join(value_ranks(df, columns), ["name", "x"]).select(row_id, "name", "rank")
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) of each two columns, a < b; null for a constant column. Rows are told apart by place, so no column need be unique."""
-    row_id = "_row"
-    ranks = average_ranks(df.select(*columns, F.monotonically_increasing_id().alias(row_id)), columns, row_id).groupBy(row_id).pivot("name", columns).agg(F.first("rank"))
+    """(a, b, rho) of each two columns, a < b; null for a constant column.
+
+    A column's ranks, one row a distinct value, are joined to the rows by value; those of up to
+    MAX_BROADCAST values are sent to all tasks, others are shuffled.
+    """
     pairs = [(a, b) for a in sorted(columns) for b in sorted(columns) if a < b]
-    n = F.count("*").cast("double")
-    aggs = []
-    for a, b in pairs:
-        x, y = F.col(a) - F.lit(0.0), F.col(b) - F.lit(0.0)
-        cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-        var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
-        aggs.append(F.when(var > 0, cov / F.sqrt(var)).alias(f"{a}|{b}"))
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}|{b}"), 6).alias("rho")) for a, b in pairs))
-    return ranks.agg(*aggs).select(F.inline(rows))
+    spark, n = df.sparkSession, F.count("*").cast("double")
+    with held(value_ranks(df, columns)) as found:
+        sizes = {r.name: r.n for r in found.groupBy("name").agg(F.count("*").alias("n")).collect()}
+        ranks = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+        for c in columns:
+            own = found.where(F.col("name") == c).select(F.col("x").alias(c), F.col("rank").alias(f"r_{c}"))
+            ranks = ranks.join(F.broadcast(own) if sizes.get(c, 0) <= MAX_BROADCAST else own, c, "left")
+        aggs = []
+        for a, b in pairs:
+            x, y = F.col(f"r_{a}"), F.col(f"r_{b}")
+            cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+            var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
+            aggs.append(F.when(var > 0, cov / F.sqrt(var)).alias(f"{a}|{b}"))
+        rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}|{b}"), 6).alias("rho")) for a, b in pairs))
+        got = ranks.agg(*aggs).select(F.inline(rows)).collect()  # a row a pair
+    return spark.createDataFrame(got, "a string, b string, rho double")
 
 
 def rho_table(rows: list) -> dict[tuple[str, str], float]:
@@ -174,11 +187,11 @@ def select_features(df: DataFrame, pool: list[str], y: str, row_id: str, k: int
 
 def stability(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, n_folds: int = 5, seed: int = 42, binned: bool = False) -> list[dict]:
     """How many folds pick each feature, most first, then by name."""
-    dealt = split.folds(df, n_folds, row_id, y, seed)
     picks: dict[str, int] = {}
-    for f in range(n_folds):
-        for c in select_features(dealt.where(F.col("fold") != f).drop("fold"), pool, y, row_id, k, seed=seed + f, binned=binned)["selected"]:
-            picks[c] = picks.get(c, 0) + 1
+    with held(split.folds(df, n_folds, row_id, y, seed).select(row_id, y, "fold", *pool)) as dealt:
+        for f in range(n_folds):
+            for c in select_features(dealt.where(F.col("fold") != f), pool, y, row_id, k, seed=seed + f, binned=binned)["selected"]:
+                picks[c] = picks.get(c, 0) + 1
     return [{"name": c, "folds": n, "frequency": round(n / n_folds, 4)} for c, n in sorted(picks.items(), key=lambda x: (-x[1], x[0]))]
 
 
