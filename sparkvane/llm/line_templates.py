@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .groups import splittable
 from .shared import cut, read
 
 LEADING, MIN_DOCS, SIMILAR, SPLITS, FIELD = 3, 5, 0.6, 2, "<*>"
@@ -81,14 +82,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float =
     hashed = lines_of(given.select(F.xxhash64("text").alias("tkey"), "text"))
     leaves = hashed.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("tkey").alias("a"), F.max("tkey").alias("b")).where((F.col("lines") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
     # Copies of a text are one: their lines are the same rows.
-    near = lines.join(leaves, "leaf").groupBy("leaf", "tkey", "pos").agg(F.first("line").alias("line"))
+    near = splittable(lines, leaves, "leaf").groupBy("leaf", "tkey", "pos").agg(F.first("line").alias("line"))
     near = near.select("leaf", "tkey", "pos", _fields(F.array_remove(F.split("line", " ", -1), "")).alias("tokens"))
     near = cut(near.withColumn("shape", F.xxhash64("leaf", F.array_join("tokens", " "))), "lines")
 
     often = lambda filed: filed.select("group", "tkey").distinct().groupBy("group").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("group")
     seen = near.select("tkey", "pos", "shape").withColumn("group", F.col("shape"))
     filed = cut(near.select("tkey", "pos", "shape").join(groups_of(near, similar), "shape").withColumnRenamed("node", "group"), "filed")
-    gone = seen.join(often(seen), "group").select("tkey", "pos").unionByName(filed.join(often(filed), "group").select("tkey", "pos"))
+    gone = splittable(seen, often(seen), "group").select("tkey", "pos").unionByName(splittable(filed, often(filed), "group").select("tkey", "pos"))
     return gone.groupBy("tkey").agg(F.collect_set("pos").alias("dropped"))
 
 
