@@ -39,8 +39,9 @@ def protocol_sizes(rows: int, sizes: dict[str, int] | None = None) -> dict[str,
 
 def in_threads(work: Iterable[Callable[[], list]], threads: int = THREADS) -> list:
     """The rows of all pieces of work, in order."""
+    carried = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(threads) as pool:
-        done = [pool.submit(inheritable_thread_target(w)) for w in work]
+        done = [pool.submit(carried(w)) for w in work]
         return [row for d in done for row in d.result()]
 
 
