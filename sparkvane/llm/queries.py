@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, language, line_templates, mixing, pages, repeats, token_files, toxicity, vectors
+from . import collocations, decontamination, filter_audit, jaccard, language, line_templates, mixing, pages, repeats, shards, token_files, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.query,
@@ -19,9 +19,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.query,
     "op9_pages": pages.query,
     "op10_token_files": token_files.query,
+    "op11_collocations": collocations.query,
+    "op12_shards": shards.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_templates": line_templates.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_shards": shards.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
