@@ -1,7 +1,7 @@
 """The experiments: sweeps over seeds, sizes, feature sets and models, with one long result table each.
 
-A sweep's fits are small (their sizes are the protocol's own) and independent, so THREADS of them are
-submitted at once and Spark shares its executors among them. A run that fails is a row with its error.
+All runs of a sweep are fitted in one job and judged in one (see sweeps). A run that fails is a row with
+what it said; a sweep whose runs all fail is an error.
 """
 
 from __future__ import annotations
@@ -10,24 +10,21 @@ import importlib.metadata
 import json
 import platform
 import time
-from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import held
-from . import agreement, kernel, metrics, models, projection, select, split
+from . import agreement, kernel, metrics, models, projection, select, split, sweeps
 
-# The protocol's rows of each part, its seeds and the sizes of its learning curve.
+# The protocol's rows of each part, its seeds, the sizes of its learning curve and of tuning.
 PROTOCOL = {"train": 4000, "tune": 1000, "cal": 2000, "test": 20_000}
 SEEDS = (42, 43, 44, 45, 46)
 CURVE = (100, 500, 1000, 2000, 4000)
-THREADS = 8
+TUNING = {"train": 500, "tune": 1000}
 
-_ROW = "seed int, feature_set string, model string, n_train int, status string, n long, accuracy double, precision double, recall double, f1 double, fpr double, auc double"
+_METRICS = ("accuracy", "precision", "recall", "f1", "fpr", "auc")
 
 
 def protocol_sizes(rows: int, sizes: dict[str, int] | None = None) -> dict[str, int]:
@@ -37,56 +34,93 @@ def protocol_sizes(rows: int, sizes: dict[str, int] | None = None) -> dict[str,
     return {k: int(n * share) for k, n in sizes.items()}
 
 
-def in_threads(work: Iterable[Callable[[], list]], threads: int = THREADS) -> list:
-    """The rows of all pieces of work, in order."""
-    carried = inheritable_thread_target(SparkSession.active())
-    with ThreadPoolExecutor(threads) as pool:
-        done = [pool.submit(carried(w)) for w in work]
-        return [row for d in done for row in d.result()]
+def _units(seeds: tuple[int, ...], sets: dict[str, list[str]], names: list[str], grids: dict[str, list[dict]], sizes: list[tuple], choose: bool, judged: list[str]) -> tuple[list[dict], list[str]]:
+    """A unit for each seed, feature set and model, and the columns that they pick from."""
+    columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    which = [(s, k, m) for m in names for s in seeds for k in sets]
+    return [{"unit": u, "seed": s, "feature_set": k, "model": m, "grid": grids.get(m, [{}]), "columns": [columns.index(c) for c in sets[k]], "sizes": sizes, "choose": choose, "judged": judged} for u, (s, k, m) in enumerate(which)], columns
 
 
-def _judged(seed: int, set_name: str, name: str, n_train: int, fit: Callable[[], models.Fitted], test: DataFrame, y: str) -> list[tuple]:
-    try:
-        got = models.evaluate_once(fit(), test, y)
-        return [(seed, set_name, name, n_train, "ok", got["n"], *(got[k] for k in ("accuracy", "precision", "recall", "f1", "fpr", "auc")))]
-    except Exception as e:  # noqa: BLE001 - a failed run is part of the result
-        return [(seed, set_name, name, n_train, f"failed: {type(e).__name__}", 0, *[None] * 6)]
+def _run(df: DataFrame, parts: dict[str, int], units: list[dict], columns: list[str], row_id: str, y: str, counts: dict) -> DataFrame:
+    sweeps.check_size(sum(parts.values()))
+    seeds = tuple(dict.fromkeys(u["seed"] for u in units))
+    dealt = split.partitions_by_seed(df.select(row_id, y, *columns), parts, row_id, y, seeds, counts)
+    return sweeps.run(sweeps.by_unit(dealt, "seed", units), units, columns, row_id, y)
 
 
-def learning_curves(df: DataFrame, columns: list[str], names: list[str], row_id: str, y: str = "y", sizes: tuple[int, ...] = CURVE, test: int = PROTOCOL["test"], seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """A row for each seed, size and model; the training sets of one seed are nested and its test rows the same."""
+def _statuses(got: DataFrame) -> dict[tuple, str]:
+    """What became of each (unit, n_train): `ok`, or what it said when it failed."""
+    found = {(r.unit, r.n_train): r.status for r in got.where("status is not null and status <> 'cell'").select("unit", "n_train", "status").collect()}
+    sweeps.check_any(list(found.values()))
+    return found
+
+
+def learning_curves(df: DataFrame, columns: list[str] | dict[str, list[str]], names: list[str], row_id: str, y: str = "y", sizes: tuple[int, ...] = CURVE, test: int = PROTOCOL["test"], seeds: tuple[int, ...] = SEEDS, cells: dict[str, dict] | None = None) -> DataFrame:
+    """A row for each seed, feature set, size and model; the training sets of one seed are nested and its test rows the same.
+
+    columns: those of one feature set, or of several by name. cells: the parameters of each model; by
+    default what tuning found.
+    """
+    sets = columns if isinstance(columns, dict) else {"all": columns}
+    counts, parts = split.label_counts(df, y), {"train": max(sizes), "test": test}
+    among = split.quotas(counts, max(sizes)) if max(sizes) <= sum(counts.values()) else counts
+    grids = {m: [p] for m, p in (cells or models.CURVE_CELLS).items()}
+    units, own = _units(seeds, sets, names, grids, [(n, split.quotas(among, n)) for n in sizes], False, ["test"])
+    with held(_run(df, parts, units, own, row_id, y, counts)) as got:
+        status = _statuses(got)
+        judged = {(r.unit, r.n_train): r for r in metrics.evaluate(got.where("split = 'test'"), ["unit", "n_train"], "y").collect()}
     rows = []
-    for seed in seeds:
-        with held(split.partitions(df, {"train": max(sizes), "test": test}, row_id, y, seed)) as dealt:
-            train, held_out = dealt.where("split = 'train'"), dealt.where("split = 'test'")
-            parts = {n: split.sample(train, n, row_id, y, seed) for n in sizes}
-            rows += in_threads(lambda n=n, m=m: _judged(seed, "all", m, n, lambda: models.FITTERS[m](parts[n], columns, y), held_out, y) for n in sizes for m in names)
-    return df.sparkSession.createDataFrame(rows, _ROW)
+    for u in units:
+        for n in sizes:
+            r = judged.get((u["unit"], n))
+            rows.append((u["seed"], u["feature_set"], u["model"], n, status[u["unit"], n], *((r.tn + r.fp + r.fn + r.tp, *(r[k] for k in _METRICS)) if r else (0, *[None] * 6))))
+    return df.sparkSession.createDataFrame(rows, "seed int, feature_set string, model string, n_train int, status string, n long, " + ", ".join(f"{k} double" for k in _METRICS))
+
+
+def experiment(df: DataFrame, sets: dict[str, list[str]], names: list[str], sizes: dict[str, int], row_id: str, y: str, seeds: tuple[int, ...]) -> DataFrame:
+    """(seed, feature_set, model, status, metrics) of every combination, each model with what it takes by default."""
+    got = learning_curves(df, sets, names, row_id, y, (sizes["train"],), sizes["test"], seeds, models.DEFAULTS)
+    return got.select("seed", "feature_set", "model", "status", "n", "accuracy", "f1", "fpr", "auc")
+
+
+def tuning(df: DataFrame, columns: list[str], names: list[str], row_id: str, y: str = "y", sizes: dict[str, int] | None = None, seeds: tuple[int, ...] = SEEDS, grids: dict[str, list[dict]] | None = None) -> DataFrame:
+    """Each cell of each model's grid, fitted on `train` and judged on `tune` with every seed: means and population deviations, and the model's best cell by mean F1 (the first on ties)."""
+    sizes, grids = sizes or TUNING, grids or models.GRIDS
+    parts = {k: sizes[k] for k in ("train", "tune")}
+    units, own = _units(seeds, {"all": columns}, names, grids, [(parts["train"], None)], False, ["tune"])
+    with held(_run(df, parts, units, own, row_id, y, split.label_counts(df, y))) as got:
+        failed = {u: s for (u, _), s in _statuses(got).items() if s != "ok"}
+        scored = metrics.evaluate(got.where("split = 'tune'"), ["unit", "grid_pos"], "y", digits=4)
+        names_of = df.sparkSession.createDataFrame([(u["unit"], u["model"]) for u in units], "unit int, model string")
+        measures = ("f1", "accuracy", "auc")
+        means = scored.join(F.broadcast(names_of), "unit").groupBy("model", "grid_pos").agg(F.count("*").alias("seeds"), *(f(k).alias(f"{k}_{n}") for k in measures for n, f in (("mean", F.avg), ("std", F.stddev_pop)))).collect()
+    best = {m: max((r for r in means if r.model == m), key=lambda r: (round(r.f1_mean, 4), -r.grid_pos), default=None) for m in names}
+    rows = [(r.model, r.grid_pos, json.dumps(grids[r.model][r.grid_pos], sort_keys=True), r.seeds, *(round(r[f"{k}_{n}"], 4) if r[f"{k}_{n}"] is not None else None for k in measures for n in ("mean", "std")), r is best[r.model]) for r in means]
+    rows += [(u["model"], None, s, 0, *[None] * 6, False) for u in units if (s := failed.get(u["unit"]))]
+    return df.sparkSession.createDataFrame(rows, "model string, grid_pos int, params string, seeds long, " + ", ".join(f"{k}_{n} double" for k in measures for n in ("mean", "std")) + ", best boolean")
 
 
 def benchmark(df: DataFrame, sets: dict[str, list[str]], names: list[str], row_id: str, y: str = "y", sizes: dict[str, int] | None = None, seeds: tuple[int, ...] = SEEDS, grids: dict[str, list[dict]] | None = None, targets: tuple[float, ...] = (0.01, 0.02)) -> DataFrame:
-    """Tuned on `tune`, refitted on `train`, thresholds frozen on `cal`, judged on `test`: a row for each seed, feature set, model and target.
+    """Tuned on `tune`, fitted on `train`, thresholds frozen on `cal`, judged on `test`: a row for each seed, feature set, model and target.
 
-    All feature sets of a seed share their rows. grids: of each model; its own full grid by default.
+    All feature sets of a seed share their rows, which are disjoint by construction. grids: of each model; its own full grid by default.
     """
-    spark, out = df.sparkSession, []
-
-    def one(seed: int, set_name: str, name: str, parts: dict[str, DataFrame]) -> list[tuple]:
-        try:
-            best, _ = models.tune(name, parts["train"], parts["tune"], sets[set_name], y, (grids or models.GRIDS)[name])
-            fitted = models.FITTERS[name](parts["train"], sets[set_name], y, **best)
-            cal, test = (fitted.transform(parts[k]).withColumn("model", F.lit(name)) for k in ("cal", "test"))
-            got = metrics.operational(cal, test, ["model"], targets, y).collect()
-            return [(seed, set_name, name, json.dumps(best, sort_keys=True), "ok", r.target_fpr, r.threshold, r.tn, r.fp, r.fn, r.tp, r.precision, r.recall, r.f1, r.fpr, r.auc, r.pauc) for r in got]
-        except Exception as e:  # noqa: BLE001 - a failed run is part of the result
-            return [(seed, set_name, name, None, f"failed: {type(e).__name__}", t, *[None] * 11) for t in targets]
-
-    for seed in seeds:
-        with held(split.partitions(df, sizes or PROTOCOL, row_id, y, seed)) as dealt:
-            split.check_disjoint(dealt, row_id)
-            parts = {k: dealt.where(F.col("split") == k) for k in (sizes or PROTOCOL)}
-            out += in_threads(lambda s=s, m=m: one(seed, s, m, parts) for s in sets for m in names)
-    return spark.createDataFrame(out, "seed int, feature_set string, model string, params string, status string, target_fpr double, threshold double, tn long, fp long, fn long, tp long, precision double, recall double, f1 double, fpr double, auc double, pauc double")
+    sizes, grids = sizes or PROTOCOL, grids or models.GRIDS
+    units, own = _units(seeds, sets, names, grids, [(sizes["train"], None)], True, ["cal", "test"])
+    with held(_run(df, sizes, units, own, row_id, y, split.label_counts(df, y))) as got:
+        status = _statuses(got)
+        cells = {(r.unit, r.grid_pos): r.f1 for r in got.where("status = 'cell'").select("unit", "grid_pos", "f1").collect()}
+        judged = {(r.unit, r.target_fpr): r for r in metrics.operational(got.where("split = 'cal'"), got.where("split = 'test'"), ["unit"], targets, "y").collect()}
+    rows = []
+    for u in units:
+        f1 = [cells.get((u["unit"], k)) for k in range(len(u["grid"]))]
+        said = status[u["unit"], sizes["train"]]
+        pos = int(np.argmax(f1)) if said == "ok" else None
+        for t in targets:
+            r = judged.get((u["unit"], t))
+            kept = (r.threshold, r.tn, r.fp, r.fn, r.tp, r.precision, r.recall, r.f1, r.fpr, r.auc, r.pauc) if r else (None,) * 11
+            rows.append((u["seed"], u["feature_set"], u["model"], json.dumps(u["grid"][pos], sort_keys=True) if pos is not None else None, len(u["grid"]), f1[pos] if pos is not None else None, said, t, *kept))
+    return df.sparkSession.createDataFrame(rows, "seed int, feature_set string, model string, params string, cells int, tune_f1 double, status string, target_fpr double, threshold double, tn long, fp long, fn long, tp long, precision double, recall double, f1 double, fpr double, auc double, pauc double")
 
 
 def tune_kernel_c(train: DataFrame, tune: DataFrame, columns: list[str], y: str = "y", grid: list[dict] | None = None) -> tuple[list[dict], dict]:

@@ -1,33 +1,41 @@
-"""Classifiers on Spark ML: forests, boosting, kernel SVMs by explicit features, grid searches, the three-model engine."""
+"""Classifiers: forests and boosted trees on histograms, kernel SVMs by explicit features, grid searches, the three-model engine."""
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import held
-from . import calibrate, kernel, metrics, split, svm
+from . import calibrate, metrics, split, svm, sweeps, trees
 from .prepare import AngleScaler, Scaler
+from .sweeps import random_features, state_features
 
-# Hyper-parameter grids.
-SVM_GRID = [{"c": c, "gamma": g} for c in (0.5, 1.0, 5.0) for g in ("scale", "auto")]
+# Hyper-parameter grids of cross-validation, of tuning, and what the learning curves take.
 FOREST_GRID = [{"trees": t, "depth": d, "leaf": m} for t in (50, 100) for d in (10, 20) for m in (1, 2)]
-BOOSTING_GRID = [{"rounds": 20, "rate": 0.1, "depth": 3}, {"rounds": 20, "rate": 0.1, "depth": 5}, {"rounds": 40, "rate": 0.1, "depth": 3}, {"rounds": 20, "rate": 0.05, "depth": 5}, {"rounds": 40, "rate": 0.2, "depth": 3}]
+SVM_GRID = [{"c": c, "gamma": g} for c in (0.5, 1.0, 5.0) for g in ("scale", "auto")]
+KERNEL_GRID = [{"c": c} for c in (0.01, 0.1, 1.0, 10.0, 100.0)]
+GRIDS = {
+    "rf": [{"trees": 50, "depth": 10}, {"trees": 100, "depth": 10}, {"trees": 100, "depth": 15}, {"trees": 100, "depth": None}, {"trees": 200, "depth": 15}],
+    "hgb": [{"rounds": 50, "rate": 0.1, "depth": 6}, {"rounds": 100, "rate": 0.1, "depth": 6}, {"rounds": 100, "rate": 0.1, "depth": 10}, {"rounds": 100, "rate": 0.05, "depth": 10}, {"rounds": 200, "rate": 0.1, "depth": 10}],
+    "svm": [{"c": 0.1, "gamma": "scale"}, {"c": 1.0, "gamma": "scale"}, {"c": 10.0, "gamma": "scale"}, {"c": 10.0, "gamma": 0.1}, {"c": 100.0, "gamma": "scale"}],
+    "qsvc": KERNEL_GRID,
+}
+CURVE_CELLS = {"rf": {"trees": 100, "depth": 10}, "svm": {"c": 100.0, "gamma": "scale"}, "qsvc": {"c": 10.0}, "hgb": {"rounds": 100, "rate": 0.1, "depth": 6}}
+#: What a fit takes that says nothing else.
+DEFAULTS = {"rf": {"trees": 50, "depth": 10, "leaf": 1}, "hgb": {"rounds": 20, "rate": 0.1, "depth": 3}, "svm": {"c": 1.0, "gamma": "scale"}, "qsvc": {"c": 1.0}}
 #: Training rows for each partition of a fit.
 ROWS_A_PARTITION = 20_000
-KERNEL_GRID = [{"c": c} for c in (0.1, 1.0, 10.0)]
 
 
 def margin_or_probability(df: DataFrame) -> Column:
@@ -49,18 +57,6 @@ def checked_scores(df: DataFrame) -> DataFrame:
     return df
 
 
-def random_features(width: int, gamma: float, size: int = 256, seed: int = 42) -> Callable[[np.ndarray], np.ndarray]:
-    """Random Fourier features of the Gaussian kernel exp(-gamma |x - x'|^2)."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, math.sqrt(2 * gamma), (width, size)), rng.uniform(0, 2 * math.pi, size)
-    return lambda x: np.cos(x @ w + b) * math.sqrt(2 / size)
-
-
-def state_features(reps: int = 2) -> Callable[[np.ndarray], np.ndarray]:
-    """The explicit map of the fidelity kernel."""
-    return lambda x: kernel.explicit_map(kernel.states(x, reps))
-
-
 @dataclass
 class Fitted:
     """A fitted model with what comes before it; transform adds score and pred."""
@@ -77,8 +73,8 @@ class Fitted:
         return out.withColumns(made).drop("features", "rawPrediction", "probability", "prediction", "margin")
 
 
-def _assembled(columns: list[str]) -> Callable[[DataFrame], DataFrame]:
-    return VectorAssembler(inputCols=columns, outputCol="features").transform
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _packed(train: DataFrame) -> tuple[DataFrame, int, int]:
@@ -88,20 +84,45 @@ def _packed(train: DataFrame) -> tuple[DataFrame, int, int]:
     return train.coalesce(parts), n, parts
 
 
-def _fit(name: str, before: Callable, estimator, train: DataFrame, params: dict) -> Fitted:
+def forests(train: DataFrame, columns: list[str], y: str, grid: list[dict], seed: int = 42) -> list[Fitted]:
+    """The cells of a grid of trees, depth and leaf: one forest for each leaf, of which each cell is the first trees and levels."""
+    out: dict[int, Fitted] = {}
+    few, _, parts = _packed(train)
+    for leaf in sorted({p.get("leaf", 1) for p in grid}):
+        began = time.perf_counter()
+        own = [(k, p) for k, p in enumerate(grid) if p.get("leaf", 1) == leaf]
+        depth = {k: min(p["depth"] or 30, 30) for k, p in own}
+        edges, made = trees.forest(few, columns, y, max(p["trees"] for _, p in own), max(depth.values()), leaf, seed, parts)
+        took = time.perf_counter() - began
+        for k, p in own:
+            score = partial(trees.forest_scores, made=[t.arrays(depth[k]) for t in made[: p["trees"]]])
+            out[k] = Fitted("rf", _as_is, trees.Model(columns, edges, score), p, took)
+    return [out[k] for k in range(len(grid))]
+
+
+def boosters(train: DataFrame, columns: list[str], y: str, grid: list[dict]) -> list[Fitted]:
+    """The cells of a grid of rounds, rate and depth, grown side by side: one chain for each rate and depth, whose beginning a shorter cell is."""
     began = time.perf_counter()
-    model = estimator.fit(before(_packed(train)[0]))
-    return Fitted(name, before, model, params, time.perf_counter() - began)
+    few, _, parts = _packed(train)
+    chains: dict[tuple, trees.Chain] = {}
+    for p in grid:
+        c = chains.setdefault((p["rate"], p["depth"]), trees.Chain(0, p["rate"], p["depth"]))
+        c.rounds = max(c.rounds, p["rounds"])
+    edges = trees.boosted(few, columns, y, list(chains.values()), parts)
+    took, out = time.perf_counter() - began, []
+    for p in grid:
+        c = chains[p["rate"], p["depth"]]
+        score = partial(trees.boosted_scores, base=c.base, made=[t.arrays() for t in c.trees[: p["rounds"]]])
+        out.append(Fitted("hgb", _as_is, trees.Model(columns, edges, score), p, took))
+    return out
 
 
 def forest(train: DataFrame, columns: list[str], y: str = "y", trees: int = 50, depth: int | None = 10, leaf: int = 1, seed: int = 42) -> Fitted:
-    est = RandomForestClassifier(labelCol=y, numTrees=trees, maxDepth=min(depth or 30, 30), minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
-    return _fit("rf", _assembled(columns), est, train, {"trees": trees, "depth": depth, "leaf": leaf})
+    return forests(train, columns, y, [{"trees": trees, "depth": depth, "leaf": leaf}], seed)[0]
 
 
-def boosting(train: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, rate: float = 0.1, depth: int = 3, seed: int = 42) -> Fitted:
-    est = GBTClassifier(labelCol=y, maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed)
-    return _fit("hgb", _assembled(columns), est, train, {"rounds": rounds, "rate": rate, "depth": depth})
+def boosting(train: DataFrame, columns: list[str], y: str = "y", rounds: int = 20, rate: float = 0.1, depth: int = 3) -> Fitted:
+    return boosters(train, columns, y, [{"rounds": rounds, "rate": rate, "depth": depth}])[0]
 
 
 def machines(name: str, scale: Callable[[DataFrame], DataFrame], features: Callable, train: DataFrame, columns: list[str], y: str, grid: list[dict]) -> list[Fitted]:
@@ -139,46 +160,56 @@ def kernel_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.
 
 FITTERS: dict[str, Callable[..., Fitted]] = {"rf": forest, "hgb": boosting, "svm": rbf_svm, "qsvc": kernel_svm}
 #: Fitters of a whole grid at once.
-GRID_FITTERS: dict[str, Callable[..., list[Fitted]]] = {"svm": rbf_svms, "qsvc": kernel_svms}
-GRIDS = {"rf": FOREST_GRID, "hgb": BOOSTING_GRID, "svm": SVM_GRID, "qsvc": KERNEL_GRID}
+GRID_FITTERS: dict[str, Callable[..., list[Fitted]]] = {"rf": forests, "hgb": boosters, "svm": rbf_svms, "qsvc": kernel_svms}
 
 
 def tune(name: str, train: DataFrame, held: DataFrame, columns: list[str], y: str = "y", grid: list[dict] | None = None) -> tuple[dict, list[dict]]:
     """The grid cell of the highest F1 on held, the first on ties, and all cells in grid order."""
+    best, cells = _tuned(name, train, held, columns, y, grid)
+    return best.params, cells
+
+
+def _tuned(name: str, train: DataFrame, held: DataFrame, columns: list[str], y: str, grid: list[dict] | None) -> tuple[Fitted, list[dict]]:
     cells, grid = [], grid or GRIDS[name]
-    made = GRID_FITTERS[name](train, columns, y, grid) if name in GRID_FITTERS else (FITTERS[name](train, columns, y, **p) for p in grid)
+    made = GRID_FITTERS[name](train, columns, y, grid)
     for pos, (params, fitted) in enumerate(zip(grid, made, strict=True)):
-        row = metrics.confusion(fitted.transform(held).withColumn("_m", F.lit(name)), ["_m"], y).first()
-        tp, fp, fn = row.tp, row.fp, row.fn
-        cells.append({"grid_pos": pos, "params": params, "f1": 2 * tp / max(2 * tp + fp + fn, 1)})
-    return max(cells, key=lambda c: (c["f1"], -c["grid_pos"]))["params"], cells
+        row = fitted.transform(held).agg(*metrics.cells(F.col(y), F.col("pred"))).first()
+        cells.append({"grid_pos": pos, "params": params, "f1": 2 * row.tp / max(2 * row.tp + row.fp + row.fn, 1)})
+    best = max(cells, key=lambda c: (c["f1"], -c["grid_pos"]))
+    return made[best["grid_pos"]], cells
 
 
 def tune_and_refit(name: str, train: DataFrame, held: DataFrame, columns: list[str], y: str = "y", grid: list[dict] | None = None) -> Fitted:
-    best, _ = tune(name, train, held, columns, y, grid)
-    return FITTERS[name](train, columns, y, **best)
+    """The best cell's fit on train: the one that was tuned is the one that another fit on the same rows would give."""
+    return _tuned(name, train, held, columns, y, grid)[0]
 
 
-def cross_validate(name: str, df: DataFrame, columns: list[str], row_id: str, y: str = "y", k: int = 3, grid: list[dict] | None = None, seed: int = 42, at_most: int | None = 5000) -> list[dict]:
-    """Mean AUC of each grid cell over k stratified folds; above at_most rows, a stratified sample of that size."""
-    if at_most is not None and df.count() > at_most:
+def cross_validate(name: str, df: DataFrame, columns: list[str], row_id: str, y: str = "y", k: int = 3, grid: list[dict] | None = None, seed: int = 42, at_most: int = 5000) -> list[dict]:
+    """Mean AUC of each grid cell over k stratified folds; above at_most rows, a stratified sample of that size. All cells and folds are fitted in one job."""
+    sweeps.check_size(at_most)
+    if df.count() > at_most:
         df = split.sample(df, at_most, row_id, y, seed)
-    from .jobs import in_threads
-
-    cells = list(enumerate(grid or GRIDS[name]))
-    with held(split.folds(df, k, row_id, y, seed)) as dealt:
-
-        def scored(params: dict, f: int) -> list[float]:
-            fitted = FITTERS[name](dealt.where(F.col("fold") != f), columns, y, **params)
-            return [metrics.auc(fitted.transform(dealt.where(F.col("fold") == f)).withColumn("_m", F.lit(name)), ["_m"], y).first().auc or 0.0]
-
-        got = in_threads(lambda p=p, f=f: scored(p, f) for _, p in cells for f in range(k))
-    return [{"grid_pos": pos, "params": json.dumps(params, sort_keys=True), "auc": float(np.mean(got[pos * k : pos * k + k]))} for pos, params in cells]
+    cells = list(enumerate(grid or FOREST_GRID))
+    # The cells of a forest's grid that differ in leaves share nothing.
+    parts = [[c for c in cells if c[1].get("leaf") == leaf] for leaf in dict.fromkeys(p.get("leaf") for _, p in cells)]
+    units = [{"unit": f * len(parts) + g, "fold": f, "seed": seed, "model": name, "grid": [p for _, p in part], "cells": [pos for pos, _ in part], "columns": list(range(len(columns))), "sizes": [(0, None)], "choose": False, "judged": ["test"]} for f in range(k) for g, part in enumerate(parts)]
+    every = F.explode(F.array(*(F.lit(u["unit"]) for u in units)))
+    dealt = split.folds(df, k, row_id, y, seed).withColumn("unit", every)
+    dealt = dealt.withColumn("split", F.when(F.floor(F.col("unit") / len(parts)) == F.col("fold"), "test").otherwise("train")).withColumn("place", F.lit(0))
+    with held(sweeps.run(dealt, units, columns, row_id, y)) as got:
+        sweeps.check_any([r.status for r in got.where("status is not null").select("status").collect()])
+        found = {(r.unit, r.grid_pos): r.auc or 0.0 for r in metrics.auc(got.where("split = 'test'"), ["unit", "grid_pos"], "y").collect()}
+    scores: dict[int, list[float]] = {}
+    for u in units:
+        for at, pos in enumerate(u["cells"]):
+            scores.setdefault(pos, []).append(found.get((u["unit"], at), 0.0))
+    return [{"grid_pos": pos, "params": json.dumps(params, sort_keys=True), "auc": sum(scores[pos]) / k} for pos, params in cells]
 
 
 def evaluate_once(fitted: Fitted, test: DataFrame, y: str = "y") -> dict:
     """Metrics and seconds for each thousand rows on a test set."""
     began = time.perf_counter()
+    # One key for all rows: the windows below it hold bins of scores, not rows.
     row = metrics.evaluate(fitted.transform(test).withColumn("_m", F.lit(fitted.name)), ["_m"], y).first().asDict()
     took = time.perf_counter() - began
     n = row["tn"] + row["fp"] + row["fn"] + row["tp"]
@@ -230,23 +261,3 @@ def forest_stages(columns: list[str], y: str = "y", trees: int = 20, seed: int =
     """Stages that can be saved as one bundle: cleaning in SQL, assembling, the forest."""
     safe = ", ".join(f"coalesce(cast({c} AS double), 0D) AS {c}_" for c in columns)
     return [SQLTransformer(statement=f"SELECT *, {safe} FROM __THIS__"), VectorAssembler(inputCols=[f"{c}_" for c in columns], outputCol="features"), RandomForestClassifier(labelCol=y, numTrees=trees, seed=seed)]
-
-
-def experiment(df: DataFrame, sets: dict[str, list[str]], names: list[str], sizes: dict[str, int], row_id: str, y: str, seeds: list[int]) -> DataFrame:
-    """(seed, feature_set, model, status, metrics) of every combination; a failing run is a row of its own."""
-    from .jobs import in_threads
-
-    spark, rows = df.sparkSession, []
-
-    def one(seed: int, set_name: str, name: str, train: DataFrame, test: DataFrame) -> list[tuple]:
-        try:
-            got = evaluate_once(FITTERS[name](train, sets[set_name], y), test, y)
-            return [(seed, set_name, name, "ok", got["n"], got["accuracy"], got["f1"], got["fpr"], got["auc"])]
-        except Exception as e:  # noqa: BLE001 - a failed run is part of the result
-            return [(seed, set_name, name, f"failed: {type(e).__name__}", 0, None, None, None, None)]
-
-    for seed in seeds:
-        with held(split.partitions(df, sizes, row_id, y, seed)) as dealt:
-            train, test = dealt.where("split = 'train'"), dealt.where("split = 'test'")
-            rows += in_threads(lambda s=s, m=m: one(seed, s, m, train, test) for s, m in itertools.product(sets, names))
-    return spark.createDataFrame(rows, "seed int, feature_set string, model string, status string, n long, accuracy double, f1 double, fpr double, auc double")

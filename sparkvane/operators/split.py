@@ -15,27 +15,32 @@ def hash_order(row_id: str, seed: int) -> Column:
     return uniform(str(seed), F.col(row_id))
 
 
-def ranked(df: DataFrame, row_id: str, label: str, seed: int, at_most: dict | None = None) -> DataFrame:
-    """df with `place`, its 0-based rank within its label in hash order.
-
-    Draws are filed in BINS; ranks count within a bin and add the sizes of the bins before, so that a
-    label of any size is ranked by many tasks. at_most drops whole bins beyond the places wanted.
-    """
-    df = df.withColumn("_u", hash_order(row_id, seed)).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
-    sizes = df.groupBy(label, "_bin").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+def _placed(drawn: DataFrame, keys: list[str], row_id: str, label: str, at_most: dict | None) -> DataFrame:
+    """Rows with a draw (_u) with `place`: their rank within keys in the order of the draws."""
+    df = drawn.withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
+    sizes = df.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if at_most is not None:
         wanted = F.lit(0)
         for value, k in at_most.items():
             wanted = F.when(F.col(label) == value, k).otherwise(wanted)
         sizes = sizes.where(F.col("_before") < wanted)
-    own = Window.partitionBy(label, "_bin").orderBy("_u", row_id)
-    # At most BINS rows a label.
-    placed = df.join(F.broadcast(sizes.drop("_n")), [label, "_bin"]).withColumn("place", F.row_number().over(own) - 1 + F.col("_before"))
+    own = Window.partitionBy(*keys, "_bin").orderBy("_u", row_id)
+    # At most BINS rows for each of the keys.
+    placed = df.join(F.broadcast(sizes.drop("_n")), [*keys, "_bin"]).withColumn("place", F.row_number().over(own) - 1 + F.col("_before"))
     return placed.drop("_u", "_bin", "_before")
 
 
+def ranked(df: DataFrame, row_id: str, label: str, seed: int, at_most: dict | None = None) -> DataFrame:
+    """df with `place`, its 0-based rank within its label in hash order.
+
+    Draws are filed in BINS; ranks count within a bin and add the sizes of the bins before, so that a
+    label of any size is ranked by many tasks. at_most drops whole bins beyond the places wanted.
+    """
+    return _placed(df.withColumn("_u", hash_order(row_id, seed)), [label], row_id, label, at_most)
+
+
 def quotas(counts: dict, n: int) -> dict:
     """n shared among labels in proportion to their counts, by largest remainder; ties to the smaller label."""
     total = sum(counts.values())
@@ -61,9 +66,8 @@ def sample(df: DataFrame, n: int, row_id: str, label: str, seed: int) -> DataFra
     return ranked(df, row_id, label, seed, want).where(F.col("place") < limit).drop("place")
 
 
-def partitions(df: DataFrame, sizes: dict[str, int], row_id: str, label: str, seed: int) -> DataFrame:
-    """df with `split`: consecutive ranges of the hash order of each label, disjoint by construction; ValueError if df is too small."""
-    counts = label_counts(df, label)
+def _ranges(counts: dict, sizes: dict[str, int], label: str) -> tuple[Column, dict]:
+    """The split of a place, and the places taken of each label."""
     if sum(sizes.values()) > sum(counts.values()):
         raise ValueError(f"{sum(sizes.values())} rows wanted of {sum(counts.values())}")
     start = dict.fromkeys(counts, 0)
@@ -75,9 +79,23 @@ def partitions(df: DataFrame, sizes: dict[str, int], row_id: str, label: str, se
             split = F.when(inside, F.lit(name)).otherwise(split)
             start[value] += k
             left[value] -= k
+    return split, start
+
+
+def partitions(df: DataFrame, sizes: dict[str, int], row_id: str, label: str, seed: int) -> DataFrame:
+    """df with `split`: consecutive ranges of the hash order of each label, disjoint by construction; ValueError if df is too small."""
+    split, start = _ranges(label_counts(df, label), sizes, label)
     return ranked(df, row_id, label, seed, start).withColumn("split", split).where("split is not null")
 
 
+def partitions_by_seed(df: DataFrame, sizes: dict[str, int], row_id: str, label: str, seeds: tuple[int, ...], counts: dict | None = None) -> DataFrame:
+    """partitions() for several seeds from the same two readings of df: with `seed`, `split` and `place`, a row for each seed that takes it."""
+    split, start = _ranges(counts or label_counts(df, label), sizes, label)
+    draws = F.explode(F.array(*(F.struct(F.lit(int(s)).alias("seed"), hash_order(row_id, s).alias("_u")) for s in seeds)))
+    drawn = df.withColumn("_d", draws).withColumns({"seed": F.col("_d.seed"), "_u": F.col("_d._u")}).drop("_d")
+    return _placed(drawn, ["seed", label], row_id, label, start).withColumn("split", split).where("split is not null")
+
+
 def bounded_partitions(df: DataFrame, train: int, validation: int, test: int, row_id: str, label: str, seed: int) -> DataFrame:
     """Partitions under the hard ceilings of the restricted experiment."""
     for n, ceiling in ((train, 100), (validation, 50), (test, 100)):

@@ -74,6 +74,11 @@ def fit(rows: DataFrame, columns: list[str], y: str, features: Map, costs: list[
         sent.destroy()
         return np.zeros((len(points), size)) if total is None else total.reshape(len(points), size)
 
+    return solve(one_pass, width, costs)
+
+
+def solve(one_pass: Callable[[list[tuple[np.ndarray, float]]], np.ndarray], width: int, costs: list[float]) -> list[tuple[np.ndarray, float]]:
+    """Weights and offset for each cost; one_pass gives the rows' sums at some (weights, smoothing) for all costs that are not done yet."""
     ridge = np.append(np.ones(width - 1), 1e-6)
     at, step, low = [np.zeros(width) for _ in costs], [np.zeros(width) for _ in costs], [np.inf] * len(costs)
     trial, stage, live = [w.copy() for w in at], [0] * len(costs), set(range(len(costs)))
@@ -100,6 +105,17 @@ def fit(rows: DataFrame, columns: list[str], y: str, features: Map, costs: list[
     return [(w[:-1], float(w[-1])) for w in at]
 
 
+def fit_local(x: np.ndarray, y: np.ndarray, features: Map, costs: list[float]) -> list[tuple[np.ndarray, float]]:
+    """fit() on rows that are at hand, whose features are computed once."""
+    phi = np.concatenate([features(x), np.ones((len(x), 1))], axis=1)
+    sign = 2.0 * y - 1
+
+    def one_pass(points: list[tuple[np.ndarray, float]]) -> np.ndarray:
+        return np.stack([np.concatenate([[loss], gradient, curve.ravel()]) for loss, gradient, curve in (sums(phi, sign, w, smooth) for w, smooth in points)])
+
+    return solve(one_pass, phi.shape[1], costs)
+
+
 class Machine:
     """A fitted one: transform adds margin and prediction."""
 

@@ -1092,7 +1092,7 @@ def _(s, d):
 def _(s, d):
     f = _labelled(s, d)
     sizes = jobs.protocol_sizes(f.count())
-    return models.experiment(f, {k: SETS[k] for k in ("numeric", "no_tax")}, ["rf", "svm", "qsvc"], {k: sizes[k] for k in ("train", "test")}, "row_id", "y", list(jobs.SEEDS))
+    return jobs.experiment(f, {k: SETS[k] for k in ("numeric", "no_tax")}, ["rf", "svm", "qsvc"], {k: sizes[k] for k in ("train", "test")}, "row_id", "y", jobs.SEEDS)
 
 
 @query("X4_restricted_kernel")
@@ -1105,7 +1105,13 @@ def _(s, d):
     f = _labelled(s, d)
     sizes = jobs.protocol_sizes(f.count())
     curve = tuple(max(20, n * sizes["train"] // jobs.PROTOCOL["train"]) for n in jobs.CURVE)
-    return jobs.learning_curves(f, NUMERIC, ["rf", "svm"], "row_id", sizes=curve, test=sizes["test"])
+    return jobs.learning_curves(f, NUMERIC, ["rf", "svm", "qsvc"], "row_id", sizes=curve, test=sizes["test"])
+
+
+@query("X6_tuning")
+def _(s, d):
+    f = _labelled(s, d)
+    return jobs.tuning(f, NUMERIC, ["qsvc", "svm", "rf"], "row_id", sizes=jobs.protocol_sizes(f.count(), jobs.TUNING))
 
 
 @query("X7_operational_benchmark")
@@ -1116,9 +1122,8 @@ def _(s, d):
 
 @query("X8_feature_spaces")
 def _(s, d):
-    # One cell of each grid, as three spaces by three models by five seeds are to be compared and not tuned here.
     f = _labelled(s, d)
-    return jobs.benchmark(f, SETS, ["rf", "hgb", "svm"], "row_id", sizes=jobs.protocol_sizes(f.count()), grids={m: g[:1] for m, g in models.GRIDS.items()})
+    return jobs.benchmark(f, SETS, ["rf", "hgb", "svm"], "row_id", sizes=jobs.protocol_sizes(f.count()))
 
 
 @query("X9_kernel_scaling")

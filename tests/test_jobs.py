@@ -47,7 +47,7 @@ def test_learning_curves_hold_every_run(spark):
     got = jobs.learning_curves(df, ["a", "b"], ["svm", "absent"], "row_id", sizes=(40, 120), test=100, seeds=(1, 2)).collect()
     assert sorted((r.seed, r.n_train, r.model) for r in got) == sorted((s, n, m) for s in (1, 2) for n in (40, 120) for m in ("svm", "absent"))
     assert all(r.status == "ok" and r.n == 100 and r.accuracy > 0.8 for r in got if r.model == "svm")
-    assert all(r.status == "failed: KeyError" and r.accuracy is None for r in got if r.model == "absent")
+    assert all(r.status == "failed: KeyError: 'absent'" and r.accuracy is None for r in got if r.model == "absent")
 
 
 def test_benchmark_freezes_its_thresholds(spark):
