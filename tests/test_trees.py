@@ -233,7 +233,9 @@ def test_tuning_and_choice(spark, table):
     assert sum(r.best for r in got) == 2 and max((r for r in got if r.model == "rf"), key=lambda r: r.f1_mean).best
     bench = jobs.benchmark(df, {"all": columns}, ["hgb", "absent"], "row_id", sizes={"train": 200, "tune": 100, "cal": 150, "test": 150}, seeds=(4,), grids={"hgb": [{"rounds": 1, "rate": 0.01, "depth": 1}, {"rounds": 20, "rate": 0.3, "depth": 4}]}).collect()
     assert [r.status for r in bench if r.model == "absent"] == ["failed: KeyError: 'absent'"] * 2
-    assert all(r.status == "ok" and r.cells == 2 and r.tune_f1 > 0.5 and r.tn + r.fp + r.fn + r.tp == 150 for r in bench if r.model == "hgb")
+    assert all(r.status == "ok" and r.cells == 2 and "rounds\": 20" in r.params and r.tune_f1 > 0.8 and r.auc > 0.9 for r in bench if r.model == "hgb")
+    # Of some 75 negatives a hundredth is less than one: no threshold, and no counts.
+    assert [(r.threshold is None, r.tn + r.fp + r.fn + r.tp) for r in bench if r.model == "hgb"] == [(True, 0), (False, 150)]
     with pytest.raises(RuntimeError, match="KeyError"):
         jobs.learning_curves(df, columns, ["absent"], "row_id", sizes=(50,), test=50, seeds=(1,))
     with pytest.raises(ValueError):
