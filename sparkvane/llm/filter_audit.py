@@ -19,7 +19,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import permutations, product
 
 import numpy as np
 import pyarrow as pa
@@ -142,31 +142,31 @@ def audit(counted: DataFrame, orders: list[str] | None = None) -> DataFrame:
     spark = counted.sparkSession
     counted = cut(counted, "cells")
     steps = []
-    for order in orders:
-        earlier = 0
+    for order, mask in product(orders, range(1 << len(FILTERS))):
+        gone = 0
         for k, f in enumerate(order):
             own = 1 << FILTERS.index(f)
-            steps.append((order, k + 1, own, earlier))
-            earlier |= own
-    # The steps are a constant table of five rows an order; each cell meets each step once.
-    table = F.broadcast(spark.createDataFrame(steps, "filter_order string, step int, own int, earlier int").withColumn("_one", F.lit(1)))
-    met = counted.withColumn("_one", F.lit(1)).join(table, "_one")
-    fails_own, gone = F.col("mask").bitwiseAND(F.col("own")) != 0, F.col("mask").bitwiseAND(F.col("earlier")) != 0
+            # Of all orders, a document that fails f and others goes by f in those that have f first among them.
+            among = len(ORDERS) // mask.bit_count() if mask & own else 0
+            steps.append((mask, order, k + 1, bool(mask & own), bool(mask & gone), mask == own, among))
+            gone |= own
+    # A constant table, five rows an order and mask: what each step of each order makes of a mask.
+    table = F.broadcast(spark.createDataFrame(steps, "mask int, filter_order string, step int, fails_own boolean, gone boolean, alone boolean, among int"))
+    met = counted.join(table, "mask")
+    fails_own, gone = F.col("fails_own"), F.col("gone")
     here = fails_own & ~gone
-    # Of the orders, a document that fails f and others goes by f in those that have f first among them.
-    among = F.when(fails_own, F.floor(F.lit(len(ORDERS)) / F.bit_count("mask"))).otherwise(0)
 
-    def total(what: str | Column, when: Column) -> Column:
-        return F.sum(F.when(when, F.col(what) if isinstance(what, str) else what).otherwise(0)).cast("long")
+    def total(what: str, when: Column) -> Column:
+        return F.sum(F.when(when, F.col(what)).otherwise(0)).cast("long")
 
     return met.groupBy("part", "filter_order", "step").agg(
         total("n", ~fails_own & ~gone).alias("kept"),
         total("n", here).alias("removed"),
         total("n", fails_own & gone).alias("redundant"),
-        total("n", F.col("mask") == F.col("own")).alias("unique_fails"),
+        total("n", F.col("alone")).alias("unique_fails"),
         total("good", here).alias("good_lost"),
         total("toxic", here).alias("toxic_lost"),
-        F.sum(F.col("n") * among).cast("long").alias("shapley"),
+        F.sum(F.col("n") * F.col("among")).cast("long").alias("shapley"),
     )
 
 
