@@ -1,10 +1,11 @@
 """Filter interaction audit: what each of five filters removes in every order of them, by part of the corpus.
 
 The filters judge whole texts. FAILS tells when a text fails A to D; E fails a text that is identical to
-that of any smaller doc_id, removed or not. For E the rows are range-sorted by a fingerprint of the text,
-the text and doc_id, so that copies stand together, however many there are: a task compares each row
-with its predecessor and hands on its first and last run of equal texts, by which the runs that cross
-a boundary are put together. A document then is a mask of the filters it fails, and all figures are
+that of any smaller doc_id, removed or not. For E the rows are range-sorted by fingerprints of the text
+(a fast one and SHA-256), the text and doc_id, so that copies stand together, however many there are: a
+task compares each row with its predecessor and hands on its first and last run of equal texts, by
+which the runs that cross a boundary are put together. Ranges are drawn by fingerprints and doc_id
+alone, so that no texts come to the driver with the sample that the bounds are chosen from. A document then is a mask of the filters it fails, and all figures are
 sums over (part, mask) cells, 32 a part at most: in an order of filters a document goes at the first
 step whose filter it fails.
 
@@ -103,10 +104,10 @@ def masks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"))
-    order = ["key", "text", "doc_id"]
-    ranged = rows.repartitionByRange(parts_for(spark), *order).sortWithinPartitions(*order)
+    rows = rows.withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    ranged = rows.repartitionByRange(parts_for(spark), "key", "sha", "doc_id").sortWithinPartitions("key", "sha", "text", "doc_id")
     mask = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails(F.col("text")))), F.lit(0))
-    found = cut(ranged.select(*order, "part", mask.cast("int").alias("mask")).mapInArrow(_copies, _ROWS), "copies")
+    found = cut(ranged.select("key", "text", "doc_id", "part", mask.cast("int").alias("mask")).mapInArrow(_copies, _ROWS), "copies")
 
     # Two rows a partition tell which first runs go on from the partition before, and since which doc_id.
     ends: dict[int, dict] = {}
