@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 from ..functions.frames import held
 from . import split
+from .neighbours import information, neighbour_information
 
-LEAST_VARIANCE, STRICT, NEIGHBOURS, MI_CHUNK, MAX_BROADCAST = 1e-5, 0.9, 3, 20_000, 100_000
+LEAST_VARIANCE, STRICT, MAX_BROADCAST = 1e-5, 0.9, 100_000
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,62 +39,6 @@ def binned_information(df: DataFrame, columns: list[str], y: str, bins: int = 16
     return terms.groupBy("name").agg(F.round(F.greatest(F.lit(0.0), F.sum("term")), 6).alias("mi"))
 
 
-def digamma(n: np.ndarray) -> np.ndarray:
-    """At positive integers: harmonic number of n - 1 less Euler's constant."""
-    h = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, max(int(n.max(initial=1)), 2)))])
-    return h[n.astype(int) - 1] - 0.5772156649015329
-
-
-def inside(order: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How many of the sorted values are nearer to each x than its radius. Differences are compared, as sums of value and radius are rounded."""
-    lo = np.searchsorted(order, np.nextafter(x - radius, -np.inf), "left")
-    hi = np.searchsorted(order, np.nextafter(x + radius, np.inf), "right")
-    for end, step, at in ((lo, 1, 0), (hi, -1, -1)):
-        left = np.flatnonzero(lo < hi)
-        while len(left := left[(lo[left] < hi[left]) & (np.abs(order[np.clip(end[left] + at, 0, len(order) - 1)] - x[left]) >= radius[left])]):
-            end[left] += step
-    return hi - lo
-
-
-def information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS, seed: int = 42, least: float = 0.0) -> float:
-    """Ross's nearest-neighbour estimate for a continuous x and a discrete y, at least `least`."""
-    x = np.asarray(x, float)
-    scale = x.std()
-    x = (x / scale if scale > 0 else x) + 1e-10 * max(1.0, float(np.abs(x).mean()) / (scale or 1.0)) * np.random.default_rng(seed).standard_normal(len(x))
-    order, near, own, used = np.sort(x), [], [], []
-    for c in np.unique(y):
-        mine = np.sort(x[y == c])
-        n = len(mine)
-        if n < 2:
-            continue
-        kk = min(k, n - 1)
-        # The kk-th neighbour lies within kk places on either side.
-        padded = np.concatenate([np.full(kk, -np.inf), mine, np.full(kk, np.inf)])
-        windows = np.abs(np.lib.stride_tricks.sliding_window_view(padded, 2 * kk + 1) - mine[:, None])
-        near.append(inside(order, mine, np.partition(windows, kk, axis=1)[:, kk]))
-        own.append(np.full(n, n))
-        used.append(np.full(n, kk))
-    if not near:
-        return 0.0
-    m, n_y, kk = np.concatenate(near), np.concatenate(own), np.concatenate(used)
-    return max(least, float(digamma(np.array([len(m)]))[0] + digamma(kk).mean() - digamma(n_y).mean() - digamma(np.maximum(m, 1)).mean()))
-
-
-def neighbour_information(df: DataFrame, columns: list[str], y: str, row_id: str, seed: int = 42, chunk: int = MI_CHUNK) -> DataFrame:
-    """(name, mi) by nearest neighbours. Rows are dealt at random into chunks of about `chunk`, of which the estimates are averaged by rows; only the mean is cut off at 0, as single estimates below it balance those above."""
-    parts = max(1, round(df.count() / chunk))
-    at = F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(parts)).alias("part")
-    long = melt(df, columns, F.col(y).alias("y"), at)
-
-    def estimate(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"name": [pdf["name"].iloc[0]], "n": [len(pdf)], "mi": [information(pdf["x"].to_numpy(), pdf["y"].to_numpy(), seed=seed, least=-np.inf)]})
-
-    got = long.groupBy("name", "part").applyInPandas(estimate, "name string, n long, mi double")
-    return got.groupBy("name").agg(F.greatest(F.lit(0.0), F.sum(F.col("n") * F.col("mi")) / F.sum("n")).alias("mi"))
-
-
 def by_information(df: DataFrame) -> DataFrame:
     """Highest first, the later name first on ties."""
     return df.orderBy(F.desc("mi"), F.desc("name"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.operators import kernel, models, prepare, profile, projection, select, split
+from sparkvane.operators import kernel, models, neighbours, prepare, profile, projection, select, split
 from sparkvane.sources import tables
 
 
@@ -259,10 +259,36 @@ def test_neighbours_strictly_inside(spark):
         order = np.sort(x)
         gaps = np.abs(order[None, :] - x[:, None])
         radius = np.sort(gaps, axis=1)[:, 3]
-        assert select.inside(order, x, radius).tolist() == (gaps < radius[:, None]).sum(axis=1).tolist()
+        assert neighbours.inside(order, x, radius).tolist() == (gaps < radius[:, None]).sum(axis=1).tolist()
     y = (rng.random(4000) < 0.25).astype(int)
     for shift, want in ((0.5, 0.023), (1.0, 0.086)):
         assert abs(select.information(rng.normal(size=4000) + shift * y, y) - want) < 0.03
     assert select.information(rng.normal(size=4000) + 2.0 * y, y) > 0.2
     df = spark.createDataFrame([(str(k), float(v), int(c)) for k, (v, c) in enumerate(zip(rng.normal(size=4000) + 1.0 * y, y, strict=True))], "row_id string, x double, y int")
-    assert abs(select.neighbour_information(df, ["x"], "y", "row_id", chunk=1000).first().mi - 0.086) < 0.03
+    assert abs(select.neighbour_information(df, ["x"], "y", "row_id").first().mi - 0.086) < 0.03
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_neighbours_across_ranges(spark, parts):
+    """Over any number of ranges the estimate is that of all rows at once: ties, rare classes, nulls, classes of one."""
+    rng = np.random.default_rng(parts)
+    y = np.where(rng.random(900) < 0.9, 0, rng.integers(1, 4, 900)).astype(float)
+    y[:2], y[2] = 7, 9
+    a, b, c = rng.normal(size=900) + y, rng.integers(0, 4, 900) + (y > 1) * 1.0, np.full(900, 5.0)
+    rows = [(f"r{k}", *(None if (k + j) % 50 == 7 else float(v) for j, v in enumerate(t)), None if k % 60 == 9 else float(y[k])) for k, t in enumerate(zip(a, b, c, strict=True))]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, c double, label double")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r["name"]: r.mi for r in neighbours.neighbour_information(df, ["a", "b", "c"], "label", "row_id").collect()}
+        assert neighbours.neighbour_information(df.limit(0), ["a"], "label", "row_id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    values = neighbours.moved(df, ["a", "b", "c"], "label", "row_id", 42).toPandas()
+    for name, own in values.groupby("name"):
+        assert got[name] == pytest.approx(neighbours.information(own["x"].to_numpy(), own["y"].to_numpy(), seed=None), abs=1e-9)
+    assert got["a"] > 0.05
+    n = np.array([1, 2, 15, 16, 17, 1000])
+    want = [sum(1 / i for i in range(1, v)) - 0.5772156649015329 for v in n]
+    assert np.abs(neighbours.digamma(n) - want).max() < 1e-11
+    column = spark.createDataFrame([(int(v),) for v in n], "n long").select(neighbours.digamma_column(F.col("n")).alias("d")).toPandas()["d"]
+    assert np.abs(np.sort(column) - np.sort(want)).max() < 1e-11
