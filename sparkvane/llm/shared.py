@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The folder of the run that this thread is in, if any (see scratch()).
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again, so that lost executors cost a reread and not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = f"{_FOLDER.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The tables that cut() wrote and clear() has not deleted yet.
-_WRITTEN: list[str] = []
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables of what is called within, deleted at the end with what it holds.
 
-
-def clear(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this process; for callers whose results are written and no longer read from them."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    For callers that have written or collected the results by then; those of others, and results made
+    before, keep their tables.
+    """
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

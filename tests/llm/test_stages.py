@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.llm import decontamination, jaccard, mixing, shared, token_files
+from sparkvane.llm import decontamination, jaccard, mixing, repeats, shared, token_files
 
 
 def prose(rnd, n):
@@ -84,9 +84,25 @@ def test_pipeline_on_odd_and_empty_tables(spark, docs, odd_rows, bench_dir, tmp_
         assert (len(got) > 10) == (name == "odd") and 10 not in {r.doc_id for r in got}
 
 
-def test_intermediate_tables_are_cleared(spark):
-    made = shared.cut(spark.range(3).toDF("x"), "cleared")
-    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
-    assert made.count() == 3 and list(folder.glob("cleared-*"))
-    shared.clear(spark)
-    assert not list(folder.glob("cleared-*"))
+def test_intermediate_tables_go_with_their_run(spark, docs, bench_dir, tmp_path):
+    import corpus_pipeline
+
+    folder, _ = bench_dir
+    rnd = random.Random(6)
+    shared_text = prose(rnd, 200)
+    rows = [(k, prose(rnd, 40) + shared_text) for k in range(6)]
+    lazy = repeats.drop_repeats(docs(rows))
+    docs([(k, prose(rnd, 50)) for k in range(40)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in at.iterdir()}
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    # The pipeline leaves its stages' results and token files alone, and other callers' tables where they are.
+    assert {p.name.split("-")[0] for p in at.iterdir() if p.name not in before} == {"corpus", "token"}
+    assert sorted(r.doc_id for r in lazy.collect() if r.spans) == list(range(6))
+    with shared.scratch(spark) as own:
+        made = shared.cut(spark.range(3).toDF("x"), "made")
+        with shared.scratch(spark):
+            assert shared.cut(made, "inner").count() == 3
+        assert made.count() == 3 and list(Path(own.removeprefix("file:")).glob("made-*"))
+    assert not Path(own.removeprefix("file:")).exists()
