@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkvane.llm import decontamination, jaccard, language, mixing, token_files
-from sparkvane.llm.shared import clear, read, shared_dir
+from sparkvane.llm.shared import read, scratch, shared_dir
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language.keep_identified),
@@ -31,7 +31,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        clear(spark)  # what the stage wrote on its way
+        with scratch(spark):  # what the stage writes on its way
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
