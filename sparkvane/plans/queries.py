@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import count_if, uniform
+from ..functions.frames import shared_folder
 from ..operators import agreement, calibrate, inference, jobs, kernel, metrics, models, policy, prepare, profile, projection, select, split, summaries
 from ..sources import tables
 from ..sources.tables import MODELS, by_model, flows, scored, table
@@ -54,6 +57,48 @@ def _(s, d):
     return tables.invalid_counts(scored(s, d), ["y", "svm_pred", "rf_pred", "qsvc_pred"])
 
 
+#: Faults that the scan of written flows must find: of every so many orders one has such a text in a column.
+_FAULTS = (("quantity", 97, "n/a"), ("discount", 89, "0,04"), ("label", 83, "2"), ("flag", 79, None))
+
+
+def _fault_sql() -> str:
+    cases = " ".join(f"WHEN l_orderkey % {n} = 0 THEN '{c}'" for c, n, _ in _FAULTS)
+    values = " ".join(f"WHEN '{c}' THEN {f"'{v}'" if v else 'NULL'}" for c, _, v in _FAULTS)
+    return f"WITH c AS (SELECT l_quantity, CASE {cases} END AS reject_column FROM lineitem) SELECT coalesce(reject_column, 'kept') AS outcome, count(*) AS n, max(CASE reject_column {values} END) AS value, round(sum(CASE WHEN reject_column IS NULL THEN l_quantity END), 2) AS quantity FROM c GROUP BY ALL"
+
+
+@query("IO2_checked_scan", _fault_sql())
+def _(s, d):
+    """Flows are written as CSV, some with faults, and read back: what the scan keeps and rejects, by column."""
+    rows = flows(s, d).select("row_id", *(F.col(c).cast("string").alias(c) for c in ("quantity", "discount", "label", "flag")), F.split("row_id", ":")[0].cast("long").alias("_order"))
+    for c, n, v in _FAULTS:
+        rows = rows.withColumn(c, F.when(F.col("_order") % n == 0, F.lit(v)).otherwise(F.col(c)))
+    path = f"{shared_folder(s)}/checked-{uuid.uuid4().hex}"
+    rows.drop("_order").write.option("header", True).csv(path)
+    got = tables.checked_csv(s, path, T.StructType([T.StructField("quantity", T.DoubleType()), T.StructField("discount", T.DoubleType()), T.StructField("label", T.IntegerType())]), required=("flag",), binary=("label",))
+    kept = F.col("reject_column").isNull()
+    return got.groupBy(F.coalesce("reject_column", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.max("reject_value").alias("value"), F.round(F.sum(F.when(kept, F.col("quantity"))), 2).alias("quantity"))
+
+
+_REPORTS = "SELECT user_id, event_type, count(*) AS n, max(json_extract_string(props, '$.k')::INT) AS top FROM events GROUP BY ALL"
+
+
+@query("IO6_report_rows", f"""WITH p AS ({_REPORTS})
+SELECT user_id, '$.types.' || event_type || '.n' AS path, 'BIGINT' AS kind, n::VARCHAR AS value FROM p
+UNION ALL SELECT user_id, '$.types.' || event_type || '.top', CASE WHEN top IS NULL THEN 'VOID' ELSE 'BIGINT' END, top::VARCHAR FROM p
+UNION ALL SELECT user_id, '$.seen[' || (row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1) || ']', 'STRING', event_type FROM p
+UNION ALL SELECT DISTINCT user_id, '$.none', 'OBJECT', '{{}}' FROM p""")
+def _(s, d):
+    """Nested reports a user, whose keys are the event types that there are, opened to their scalars."""
+    per = table(s, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max(F.get_json_object("props", "$.k").cast("int")).alias("top"))
+    inner = F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", F.to_json(F.struct("n", "top"), {"ignoreNullFields": "false"})))))
+    reports = per.groupBy("user_id").agg(inner.alias("types"), F.array_sort(F.collect_list("event_type")).alias("seen"))
+    # The inner reports as text, keys and all, as a report file has them.
+    body = F.array_join(F.transform(F.map_entries("types"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ",")
+    text = F.concat(F.lit('{"types":{'), body, F.lit('},"seen":'), F.to_json("seen"), F.lit(',"none":{}}'))
+    return tables.report_rows(reports.select("user_id", text.alias("report")), "report", "user_id")
+
+
 # --- projections and predicates ----------------------------------------------------------------------------------
 
 @query("P1_features_target", f"WITH {sql.FLOWS} SELECT row_id, quantity, price, discount, tax, is_open, status, flag, label AS y, trim(category) AS category FROM flows")
@@ -702,12 +747,6 @@ def _(s, d):
     return s.createDataFrame([("explicit map", float(np.abs(f @ f.T - k).max())), ("diagonal", got["diagonal"]), ("asymmetry", got["asymmetry"]), ("least eigenvalue", got["least_eigenvalue"])], "item string, value double")
 
 
-@query("K13_scaling_gate", "SELECT q::INT AS qubits, (2 * 100.0::DOUBLE * pow(2.0, q) * 16 + 8 * 100.0::DOUBLE * 100 + 10485760)::BIGINT AS bytes, 2 * 100.0::DOUBLE * pow(2.0, q) * 16 + 8 * 100.0::DOUBLE * 100 + 10485760 <= 524288000 AS fits FROM (SELECT unnest([4, 6, 8, 10, 12, 14, 16]) AS q)")
-def _(s, d):
-    rows = s.createDataFrame([(q, 100, kernel.fits(100, q)) for q in (4, 6, 8, 10, 12, 14, 16)], "qubits int, n int, fits boolean")
-    return rows.select("qubits", projection.state_memory(F.col("n"), F.col("qubits")).cast("long").alias("bytes"), "fits")
-
-
 # --- metrics, curves, thresholds ---------------------------------------------------------------------------------
 
 @query("E1_evaluate", f"WITH {sql.LONG}, c AS (SELECT model, {sql.CELLS} FROM long GROUP BY model), {sql.cumulative('long', 'model')}, a AS (SELECT model, {sql.auc()} FROM cum GROUP BY model) SELECT model, tn, fp, fn, tp, {sql.rates(6)}, auc FROM c JOIN a USING (model)")
@@ -936,12 +975,6 @@ def _(s, d):
     return agreement.pairs(tables.first_rows(scored(s, d), "row_id", 100)).select("model_a", "model_b", "n", "agree", "both_wrong", "agreement")
 
 
-@query("V5_presets", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {v}, '{t}', true)" for n, v, t in policy.PRESETS) + ") p(name, votes, threat, as_expected)")
-def _(s, d):
-    rows = s.createDataFrame([(n, t, *(int(k < v) for k in range(3))) for n, v, t in policy.PRESETS], "name string, want string, a int, b int, c int")
-    return policy.decide(rows, ["a", "b", "c"]).select("name", "votes", "threat", (F.col("threat") == F.col("want")).alias("as_expected"))
-
-
 _DECIDED = f"{sql.SCORED}, v AS (SELECT *, svm_pred + rf_pred + qsvc_pred AS votes FROM scored), decided AS (SELECT *, (votes >= 2)::INT AS final, CASE votes WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS threat, votes IN (1, 2) AS review, votes::VARCHAR || '/3' AS tally FROM v)"
 
 
@@ -983,6 +1016,19 @@ def _(s, d):
     return triage.alert_rates(triage.decided(table(s, d, "events")))
 
 
+@query("V2_alert_streaks", """WITH v AS (SELECT DISTINCT ON (event_id, ts) user_id, ts, (event_type = 'error')::INT + coalesce((value > 50.0)::INT, 0) + coalesce((json_extract_string(props, '$.k')::INT >= 50)::INT, 0) AS votes FROM events),
+a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER u + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts FROM v WHERE votes > 0 AND user_id IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS streak FROM a)
+SELECT user_id, min(ts) AS streak_start, max(ts) + INTERVAL 2 HOUR AS streak_end, count(*) AS n FROM b GROUP BY user_id, streak HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
+def _(s, d):
+    """The stream itself: streaks that the watermark has closed, appended to a folder."""
+    from ..streaming import triage
+
+    stream = triage.alert_streaks(triage.decided(triage.read_events(s, d)))
+    got = triage.run_to_folder(stream, f"{shared_folder(s)}/streaks-{uuid.uuid4().hex}")
+    return got.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("streak_start", "streak_end")), "n")
+
+
 # --- models (values are of the library; rows are checked) --------------------------------------------------------
 
 def _labelled(s, d):
@@ -1136,11 +1182,6 @@ def _(s, d):
     return jobs.timed_kernels(_angles(s, d), ANGLES, "vec_id").drop("seconds", "projected")
 
 
-@query("X18_versions")
-def _(s, d):
-    return jobs.versions(s)
-
-
 @query("F12_two_pools", f"{_SELECTION}, {_pruned_sql()}, {_picked_sql(4, among=f'k{len(POOL)}')}, z_b AS MATERIALIZED (SELECT * FROM b WHERE name <> 'discount'), {_order_sql('z_')}, {_pruned_sql('z_')}, {_picked_sql(4, prefix='z_', among=f'z_k{len(POOL)}')} SELECT 'all_features' AS run, unnest(range(len(picked)))::INT AS place, unnest(picked) AS name FROM p4 UNION ALL SELECT 'excluded', unnest(range(len(picked)))::INT, unnest(picked) FROM z_p4")
 def _(s, d):
     got = jobs.two_pools(flows(s, d), POOL, ("discount",), "label", "row_id", binned=True)

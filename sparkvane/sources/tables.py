@@ -42,6 +42,67 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA)
         raise FileNotFoundError(path) from e
 
 
+def checked_csv(spark: SparkSession, path: str, schema: T.StructType, required: tuple[str, ...] = (), binary: tuple[str, ...] = ()) -> DataFrame:
+    """A CSV table with a header whose bad records are kept beside the good ones; FileNotFoundError if it is missing, ValueError without a required column.
+
+    Fields are read as text and cast, so that one that does not parse spoils nothing else: reject_column
+    is the first column, in the file's order, whose text is no value of its type (or no 0 or 1, for
+    those in `binary`; or missing, for required ones), or `fields` for a line of another number of
+    fields; reject_value is the text. Both are null for good records.
+    """
+    try:
+        names = spark.read.option("header", True).csv(path).columns
+    except AnalysisException as e:
+        raise FileNotFoundError(path) from e
+    if missing := [c for c in (*required, *binary) if c not in names]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    types = {f.name: f.dataType for f in schema}
+    text = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_line", T.StringType())])
+    rows = spark.read.schema(text).option("header", True).option("columnNameOfCorruptRecord", "_line").csv(path)
+    typed = {c: F.col(f"`{c}`").try_cast(types.get(c, T.StringType())) for c in names}
+    column, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for c in reversed(names):
+        own = F.col(f"`{c}`")
+        bad = own.isNotNull() & typed[c].isNull()
+        if c in required or c in binary:
+            bad = bad | own.isNull()
+        if c in binary:
+            bad = bad | ~typed[c].isin(0, 1)
+        column, value = F.when(bad, F.lit(c)).otherwise(column), F.when(bad, own).otherwise(value)
+    # Spark does not read the line of a bad record alone, so the fields are looked at with it (the length is never negative).
+    short = F.col("_line").isNotNull() & (F.length(F.concat_ws("", *(F.col(f"`{c}`") for c in names))) >= 0)
+    return rows.select(*(typed[c].alias(c) for c in names), F.when(short, F.lit("fields")).otherwise(column).alias("reject_column"), F.when(short, F.col("_line")).otherwise(value).alias("reject_value"))
+
+
+def scan_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(file, report): whole JSON files as text."""
+    return spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.col("value").alias("report"))
+
+
+def report_rows(df: DataFrame, report: str, *keep: str) -> DataFrame:
+    """keep, path, kind and value: a row for each scalar of nested JSON texts of any shape, whose keys need not be known.
+
+    Paths are like $.a.b[0]. Empty objects and lists are values {} and []. A text that is no JSON is
+    one row of kind `BROKEN`, a null text none. The levels are opened one after the other, as many as
+    the deepest report has.
+    """
+    spark = df.sparkSession
+    level = df.where(F.col(report).isNotNull()).select(*keep, F.lit("$").alias("path"), F.try_parse_json(report).alias("v"), F.col(report).alias("_text"))
+    out = level.where("v IS NULL").select(*keep, "path", F.lit("BROKEN").alias("kind"), F.col("_text").alias("value"))
+    level = level.where("v IS NOT NULL").drop("_text")
+    while True:
+        told = level.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)).withColumn("text", F.to_json("v"))
+        box = F.col("kind").isin("OBJECT", "ARRAY") & ~F.col("text").isin("{}", "[]")
+        scalar = F.when(F.col("kind").isin("OBJECT", "ARRAY"), F.col("text")).otherwise(F.col("v").cast("string"))
+        out = out.unionByName(told.where(~box).select(*keep, "path", "kind", scalar.alias("value")))
+        level = told.where(box).drop("kind", "text")
+        if level.isEmpty():
+            return out
+        inner = spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_v"))
+        step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "_key"))
+        level = level.lateralJoin(inner).select(*keep, F.concat("path", step).alias("path"), F.col("_v").alias("v"))
+
+
 def load_data(spark: SparkSession, train_path: str, test_path: str) -> tuple[DataFrame, DataFrame]:
     return scan_csv(spark, train_path), scan_csv(spark, test_path)
 
