@@ -58,12 +58,15 @@ def class_report(df: DataFrame, keys: list[str], y: str = "y", pred: str = "pred
     return per.unionByName(both)
 
 
+def bin_of(score: Column) -> Column:
+    """Rising with the score and fine at every magnitude, so that bins need no look at the data first."""
+    return F.floor(F.signum(score) * F.log1p(F.abs(score) * 1000) * STEPS).cast("int")
+
+
 def counted(df: DataFrame, keys: list[str], y: str = "y", score: str = "score", *more: Column) -> DataFrame:
     """keys, _bin, score, pos and neg (rows with that score) and what else is to be counted; _bin and score are null for NaN and null scores."""
     s = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
-    # Rising with the score and fine at every magnitude, so that bins need no look at the data first.
-    at = F.floor(F.signum(s) * F.log1p(F.abs(s) * 1000) * STEPS).cast("int")
-    return df.groupBy(*keys, at.alias("_bin"), s.alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"), *more)
+    return df.groupBy(*keys, bin_of(s).alias("_bin"), s.alias("score")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"), *more)
 
 
 def below(per: DataFrame, keys: list[str]) -> DataFrame:

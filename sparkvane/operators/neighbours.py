@@ -192,9 +192,27 @@ def _counted(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
 
 def neighbour_information(df: DataFrame, columns: list[str], y: str, row_id: str, seed: int = 42, k: int = NEIGHBOURS) -> DataFrame:
     """(name, mi) of each column by nearest neighbours among all rows."""
-    spark = df.sparkSession
+    return estimate(moved(df, columns, y, row_id, seed), k)
+
+
+def complement_information(df: DataFrame, columns: list[str], y: str, row_id: str, fold: str, n_folds: int, seed: int = 42, k: int = NEIGHBOURS) -> dict[int, dict[str, float]]:
+    """neighbour_information() of the rows outside each fold (with the seed raised by the fold), all by one sort."""
+    long = None
+    for f in range(n_folds):
+        own = moved(df.where(F.col(fold) != f), columns, y, row_id, seed + f).withColumn("name", F.concat(F.lit(f"{f}|"), "name"))
+        long = own if long is None else long.unionByName(own)
+    out: dict[int, dict[str, float]] = {f: {} for f in range(n_folds)}
+    for r in estimate(long, k).collect():  # a row a fold and column
+        f, name = r["name"].split("|", 1)
+        out[int(f)][name] = r.mi
+    return out
+
+
+def estimate(long: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(name, mi) for long (name, x, y), whose values of a name are all different."""
+    spark = long.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = moved(df, columns, y, row_id, seed).repartitionByRange(parts, "name", "x").sortWithinPartitions("name", "x")
+    ranged = long.repartitionByRange(parts, "name", "x").sortWithinPartitions("name", "x")
     with held(ranged.select(F.spark_partition_id().alias("r"), "name", "x", "y")) as order:
         found = [(r.r, r["name"], pickle.loads(r.s)) for r in order.mapInArrow(_summaries(k), "r int, name string, s binary").collect()]
         with held(order.mapInArrow(_reaches(_edges(found, k), k), _FOUND)) as got:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.frames import held
-from . import split
-from .neighbours import information, neighbour_information
+from . import metrics, split
+from .neighbours import complement_information, information, neighbour_information  # noqa: F401
 
 LEAST_VARIANCE, STRICT, MAX_BROADCAST = 1e-5, 0.9, 100_000
 
@@ -19,7 +19,17 @@ def spread(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("v", F.var_samp), ("d", F.countDistinct))]
     rows = F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"v_{c}").alias("variance"), F.col(f"d_{c}").alias("n_distinct")) for c in columns))
     out = df.agg(*aggs).select(F.inline(rows))
-    return out.withColumn("kept", ~((F.col("n_distinct") <= 1) | (F.coalesce("variance", F.lit(0.0)) <= LEAST_VARIANCE)))
+    return out.withColumn("kept", _kept())
+
+
+def _kept() -> Column:
+    return ~((F.col("n_distinct") <= 1) | (F.coalesce("variance", F.lit(0.0)) <= LEAST_VARIANCE))
+
+
+def equal_width(x: str, lo: str, hi: str, bins: int = 16) -> Column:
+    """One of `bins` bins of equal width between two columns' values."""
+    x, lo, hi = F.col(x), F.col(lo), F.col(hi)
+    return F.when(hi > lo, F.least(F.lit(bins - 1), F.floor((x - lo) / (hi - lo) * bins))).otherwise(0)
 
 
 def melt(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
@@ -32,11 +42,15 @@ def binned_information(df: DataFrame, columns: list[str], y: str, bins: int = 16
     long = melt(df, columns, F.col(y).alias("y"))
     ends = long.groupBy("name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     # One row a column.
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
-    n = long.join(F.broadcast(ends), "name").groupBy("name", at.alias("bin"), "y").agg(F.count("*").cast("double").alias("n"))
-    total = lambda *by: F.sum("n").over(Window.partitionBy("name", *by))
-    terms = n.select("name", (F.col("n") / total() * F.log(F.col("n") * total() / (total("bin") * total("y")))).alias("term"))
-    return terms.groupBy("name").agg(F.round(F.greatest(F.lit(0.0), F.sum("term")), 6).alias("mi"))
+    n = long.join(F.broadcast(ends), "name").groupBy("name", equal_width("x", "lo", "hi", bins).alias("bin"), "y").agg(F.count("*").cast("double").alias("n"))
+    return _plug_in(n, ["name"])
+
+
+def _plug_in(n: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and mi, for the numbers n of rows by keys, bin and y."""
+    total = lambda *by: F.sum("n").over(Window.partitionBy(*keys, *by))
+    terms = n.select(*keys, (F.col("n") / total() * F.log(F.col("n") * total() / (total("bin") * total("y")))).alias("term"))
+    return terms.groupBy(*keys).agg(F.round(F.greatest(F.lit(0.0), F.sum("term")), 6).alias("mi"))
 
 
 def by_information(df: DataFrame) -> DataFrame:
@@ -46,9 +60,7 @@ def by_information(df: DataFrame) -> DataFrame:
 
 def value_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, x, rank): the average rank of each distinct value of each column, so no window holds all rows."""
-    from .metrics import cumulative
-
-    counts = cumulative(melt(df, columns, F.lit(0).alias("y")), ["name"], "y", "x")
+    counts = metrics.cumulative(melt(df, columns, F.lit(0).alias("y")), ["name"], "y", "x")
     return counts.select("name", F.col("score").alias("x"), (F.col("neg_below") + (F.col("neg") + 1) / 2.0).alias("rank"))
 
 
@@ -64,24 +76,29 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     MAX_BROADCAST values are sent to all tasks, others are shuffled.
     """
     pairs = [(a, b) for a in sorted(columns) for b in sorted(columns) if a < b]
-    spark, n = df.sparkSession, F.count("*").cast("double")
+    spark = df.sparkSession
     with held(value_ranks(df, columns)) as found:
         sizes = {r.name: r.n for r in found.groupBy("name").agg(F.count("*").alias("n")).collect()}
         ranks = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
         for c in columns:
             own = found.where(F.col("name") == c).select(F.col("x").alias(c), F.col("rank").alias(f"r_{c}"))
             ranks = ranks.join(F.broadcast(own) if sizes.get(c, 0) <= MAX_BROADCAST else own, c, "left")
-        aggs = []
-        for a, b in pairs:
-            x, y = F.col(f"r_{a}"), F.col(f"r_{b}")
-            cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-            var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
-            aggs.append(F.when(var > 0, cov / F.sqrt(var)).alias(f"{a}|{b}"))
-        rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}|{b}"), 6).alias("rho")) for a, b in pairs))
-        got = ranks.agg(*aggs).select(F.inline(rows)).collect()  # a row a pair
+        got = _products(ranks.withColumn("_one", F.lit(1)), ["_one"], pairs).select("a", "b", "rho").collect()  # a row a pair
     return spark.createDataFrame(got, "a string, b string, rho double")
 
 
+def _products(ranks: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """keys, a, b and rho, for rows with the rank r_c of each column c."""
+    aggs, n = [], F.count("*").cast("double")
+    for a, b in pairs:
+        x, y = F.col(f"r_{a}"), F.col(f"r_{b}")
+        cov = n * F.sum(x * y) - F.sum(x) * F.sum(y)
+        var = (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))
+        aggs.append(F.when(var > 0, cov / F.sqrt(var)).alias(f"{a}|{b}"))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(f"{a}|{b}"), 6).alias("rho")) for a, b in pairs))
+    return ranks.groupBy(*keys).agg(*aggs).select(*keys, F.inline(rows))
+
+
 def rho_table(rows: list) -> dict[tuple[str, str], float]:
     out = {}
     for r in rows:
@@ -130,12 +147,57 @@ def select_features(df: DataFrame, pool: list[str], y: str, row_id: str, k: int
     return {"selected": mrmr({c: mi[c] for c in survivors}, rho, k, quotient), "survivors": survivors, "dropped": dropped, "mi": mi}
 
 
+def complements(df: DataFrame, columns: list[str], y: str, fold: str, n_folds: int, binned: bool) -> dict[int, tuple[list[str], dict[str, float], dict]]:
+    """For the rows outside each fold: the columns that spread() keeps, their binned information (if asked for) and rank correlations.
+
+    The rows are read twice, whatever the folds. First they are counted by column, value, label and
+    fold: what a fold leaves is the total less the fold's own, and spread, bins and ranks are functions of
+    these counts. Then the ranks of each row outside each fold are multiplied and summed.
+    """
+    pairs = [(a, b) for a in sorted(columns) for b in sorted(columns) if a < b]
+    others = lambda own: F.explode(F.filter(F.array(*map(F.lit, range(n_folds))), lambda f: f != own)).alias("out")
+    found: dict[int, tuple[list[str], dict[str, float], dict]] = {f: ([], {}, {}) for f in range(n_folds)}
+    values = melt(df, columns, F.col(y).alias("y"), F.col(fold).alias("fold")).groupBy("name", "x", "y", "fold").agg(F.count("*").alias("n"))
+    left = values.select("name", "x", "y", "n", others(F.col("fold"))).groupBy("out", "name", "x", "y").agg(F.sum("n").alias("n"))
+    with held(left) as left:
+        keys = ["out", "name"]
+        each = left.groupBy(*keys, "x").agg(F.sum("n").alias("n"))
+        centre = each.groupBy(*keys).agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"), F.sum("n").alias("all"), F.count("*").alias("n_distinct"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        # A row a fold and column.
+        centre = F.broadcast(centre)
+        told = each.join(centre, keys).groupBy(*keys, "all", "n_distinct").agg((F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)) / F.nullif(F.col("all") - 1, F.lit(0))).alias("variance"))
+        for r in told.where(_kept()).collect():
+            found[r.out][0].append(r["name"])
+        if binned:
+            for r in _plug_in(left.join(centre, keys).groupBy(*keys, equal_width("x", "lo", "hi").alias("bin"), "y").agg(F.sum("n").cast("double").alias("n")), keys).collect():
+                found[r.out][1][r["name"]] = r.mi
+        if pairs:
+            counts = each.select(*keys, metrics.bin_of(F.col("x")).alias("_bin"), F.col("x").alias("score"), F.lit(0).cast("long").alias("pos"), F.col("n").alias("neg"))
+            ranks = metrics.below(counts, keys).select(*keys, F.col("score").alias("x"), (F.col("neg_below") + (F.col("neg") + 1) / 2.0).alias("rank"))
+            with held(ranks.groupBy("name", "x").agg(F.map_from_entries(F.collect_list(F.struct("out", "rank"))).alias("ranks"))) as ranks:
+                sizes = {r["name"]: r.n for r in ranks.groupBy("name").agg(F.count("*").alias("n")).collect()}
+                rows = df.select(F.col(fold).alias("_fold"), *(F.col(c).cast("double").alias(c) for c in columns))
+                for c in columns:
+                    own = ranks.where(F.col("name") == c).select(F.col("x").alias(c), F.col("ranks").alias(f"m_{c}"))
+                    rows = rows.join(F.broadcast(own) if sizes.get(c, 0) <= MAX_BROADCAST else own, c, "left")
+                rows = rows.select(*(f"m_{c}" for c in columns), others(F.col("_fold")))
+                rows = rows.select("out", *(F.element_at(f"m_{c}", F.col("out")).alias(f"r_{c}") for c in columns))
+                for r in _products(rows, ["out"], pairs).collect():
+                    found[r.out][2][r.a, r.b] = found[r.out][2][r.b, r.a] = abs(r.rho or 0.0)
+    return found
+
+
 def stability(df: DataFrame, pool: list[str], y: str, row_id: str, k: int = 4, n_folds: int = 5, seed: int = 42, binned: bool = False) -> list[dict]:
-    """How many folds pick each feature, most first, then by name."""
+    """How many folds pick each feature, most first, then by name: select_features() on the rows outside each, from sums that all folds share."""
     picks: dict[str, int] = {}
+    columns = sorted(pool)
     with held(split.folds(df, n_folds, row_id, y, seed).select(row_id, y, "fold", *pool)) as dealt:
-        for f in range(n_folds):
-            for c in select_features(dealt.where(F.col("fold") != f), pool, y, row_id, k, seed=seed + f, binned=binned)["selected"]:
+        found = complements(dealt, columns, y, "fold", n_folds, binned)
+        near = {} if binned else complement_information(dealt, columns, y, row_id, "fold", n_folds, seed)
+        for f, (kept, mi, rho) in found.items():
+            mi = {c: v for c, v in (mi if binned else near[f]).items() if c in kept}
+            survivors, _ = prune(mi, rho)
+            for c in mrmr({c: mi[c] for c in survivors}, rho, k):
                 picks[c] = picks.get(c, 0) + 1
     return [{"name": c, "folds": n, "frequency": round(n / n_folds, 4)} for c, n in sorted(picks.items(), key=lambda x: (-x[1], x[0]))]
 

@@ -292,3 +292,20 @@ def test_neighbours_across_ranges(spark, parts):
     assert np.abs(neighbours.digamma(n) - want).max() < 1e-11
     column = spark.createDataFrame([(int(v),) for v in n], "n long").select(neighbours.digamma_column(F.col("n")).alias("d")).toPandas()["d"]
     assert np.abs(np.sort(column) - np.sort(want)).max() < 1e-11
+
+
+def test_complements_are_selections_outside_each_fold(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"r{k}", float(rng.integers(0, 5)), float(rng.normal()), 3.0 if k % 100 else 4.0, None if k % 9 == 4 else float(rng.integers(0, 50)), int(rng.integers(0, 2)), k % 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id string, a double, b double, c double, d double, y int, fold int")
+    found = select.complements(df, ["a", "b", "c", "d"], "y", "fold", 3, True)
+    near = neighbours.complement_information(df, ["a", "b"], "y", "row_id", "fold", 3, 5)
+    for f, (kept, mi, rho) in found.items():
+        own = df.where(F.col("fold") != f)
+        assert sorted(kept) == sorted(r["name"] for r in select.spread(own, ["a", "b", "c", "d"]).where("kept").collect())
+        assert mi == {r["name"]: r.mi for r in select.binned_information(own, ["a", "b", "c", "d"], "y").collect()}
+        want = select.rho_table(select.spearman(own, ["a", "b", "c", "d"]).collect())
+        assert rho.keys() == want.keys() and all(abs(rho[p] - want[p]) < 1e-9 for p in rho)
+        assert near[f] == {r["name"]: pytest.approx(r.mi, abs=1e-9) for r in neighbours.neighbour_information(own, ["a", "b"], "y", "row_id", 5 + f).collect()}
+    none = select.complements(df.limit(0), ["a", "b"], "y", "fold", 2, True)
+    assert none[0][:2] == ([], {}) and set(none[0][2].values()) <= {0.0}
