@@ -156,44 +156,64 @@ def judged(intervals: DataFrame) -> DataFrame:
     return intervals.withColumn("better", better).withColumn("verdict", verdict()).drop("better")
 
 
-def poisson_weight(seed: str, resample: Column, row_id: Column) -> Column:
-    """A Poisson draw of mean 1 from a hash of the row, the same on every engine; at most 7, beyond which lies a chance of 1e-6."""
+#: Up to so many rows a draw of a Poisson total is the sum of their single draws.
+SINGLE_DRAWS = 8
+# The chances of a Poisson number of mean 1 to be at most 0 to 6 (beyond 7 lies one of 1e-6).
+_AT_MOST = [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(7)]
+
+
+def poisson_total(seed: str, resample: Column, cell: Column, n: Column) -> Column:
+    """The number of times that the n rows of a cell are drawn: a Poisson draw of mean n by hashes of the resample and the cell, the same on every engine.
+
+    Up to SINGLE_DRAWS rows it is the sum of single draws of mean 1, for more the quantile of a normal
+    draw z with its first correction for skewness, n + z sqrt(n) + (z^2 - 1) / 6, rounded.
+    """
     from ..functions.columns import uniform
 
-    u, p, total, w = uniform(seed, resample, row_id), math.exp(-1.0), 0.0, None
-    for k in range(1, 8):
-        total += p
-        p /= k
-        step = (u >= F.lit(total)).cast("int")
-        w = step if w is None else w + step
-    return w
+    single = F.lit(0)
+    for i in range(SINGLE_DRAWS):
+        u = uniform(seed, resample, cell, str(i))
+        single = single + F.when(n > i, sum(((u >= F.lit(x)).cast("int") for x in _AT_MOST), F.lit(0))).otherwise(0)
+    z = F.sqrt(-2.0 * F.log(1.0 - uniform(seed, resample, cell, "a"))) * F.cos(2.0 * math.pi * uniform(seed, resample, cell, "b"))
+    many = F.floor(n + z * F.sqrt(n.cast("double")) + (z * z - 1.0) / 6.0 + 0.5)
+    return F.when(n <= SINGLE_DRAWS, single).otherwise(F.greatest(F.lit(0), many)).cast("long")
+
+
+def _each_resample(resamples: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")
 
 
 def poisson_counts(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
-    """(resample, model, n, right): the accuracy's bootstrap with Poisson weights."""
-    rows = df.select("row_id", *((F.col(f"{m}_pred") == F.col("y")).cast("int").alias(m) for m in MODELS), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    w = poisson_weight(seed, F.col("resample"), F.col("row_id"))
-    sums = rows.withColumn("w", w).groupBy("resample").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(m)).alias(m) for m in MODELS))
-    return sums.select("resample", F.col("n"), F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("right")) for m in MODELS))))
+    """(resample, model, n, right): the accuracy's bootstrap with Poisson totals.
+
+    Rows are read once and counted by which models are right; each resample draws these eight counts.
+    """
+    right = [(F.col(f"{m}_pred") == F.col("y")).cast("int").alias(m) for m in MODELS]
+    cells = df.select(*right).groupBy(*MODELS).agg(F.count("*").alias("rows"))
+    drawn = cells.select("*", _each_resample(resamples)).withColumn("w", poisson_total(seed, F.col("resample"), F.concat_ws(":", *MODELS), F.col("rows")))
+    sums = drawn.groupBy("resample").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(m)).alias(m) for m in MODELS))
+    return sums.select("resample", "n", F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("right")) for m in MODELS))))
 
 
 def poisson_bootstrap(df: DataFrame, resamples: int, seed: str = "boot") -> DataFrame:
-    """bootstrap() with Poisson weights, common to all models, in DataFrame operations alone; scores lie in [0, 1].
+    """bootstrap() with Poisson totals, common to both models of a pair, in DataFrame operations alone; scores lie in [0, 1].
 
-    Rows are summed by resample, model and score bin before anything is shuffled, so what follows holds
-    at most resamples x models x AUC_BINS rows.
+    Rows are read once and counted by pair and cell (label, both predictions, both score bins); what
+    is drawn and shuffled for each resample are the cells, at most 8 x AUC_BINS x AUC_BINS of a pair.
     """
-    rows = df.select("row_id", "y", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"), *(F.col(f"{m}_{k}") for m in MODELS for k in ("pred", "score")))
-    rows = rows.withColumn("w", poisson_weight(seed, F.col("resample"), F.col("row_id"))).where("w > 0")
-    each = F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"{m}_pred").alias("pred"), score_bin(F.col(f"{m}_score")).alias("bin")) for m in MODELS)))
+    each = F.inline(F.array(*(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), *(c.alias(f"{n}{k}") for k, m in enumerate((a, b)) for n, c in (("p", F.col(f"{m}_pred").cast("int")), ("s", score_bin(F.col(f"{m}_score")))))) for a, b in PAIRS)))
+    keys = ["model_a", "model_b"]
+    cells = df.select(F.col("y").cast("int").alias("y"), each).groupBy(*keys, "y", "p0", "p1", "s0", "s1").agg(F.count("*").alias("rows"))
+    drawn = cells.select("*", _each_resample(resamples)).withColumn("w", poisson_total(seed, F.col("resample"), F.concat_ws(":", *keys, "y", "p0", "p1", "s0", "s1"), F.col("rows"))).where("w > 0")
+    sides = F.inline(F.array(*(F.struct(F.lit(1 - 2 * k).alias("side"), F.col(f"p{k}").alias("pred"), F.col(f"s{k}").alias("bin")) for k in (0, 1))))
     w, y, pred = F.col("w"), F.col("y"), F.col("pred")
-    bins = rows.select("resample", "y", "w", each).groupBy("resample", "model", "bin").agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"), F.sum(w * y * pred).alias("tp"), F.sum(w * (1 - y) * pred).alias("fp"))
-    past = Window.partitionBy("resample", "model").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    by = [*keys, "resample", "side"]
+    bins = drawn.select(*keys, "resample", "y", "w", sides).groupBy(*by, "bin").agg(F.sum(w * y).alias("pos"), F.sum(w * (1 - y)).alias("neg"), F.sum(w * y * pred).alias("tp"), F.sum(w * (1 - y) * pred).alias("fp"))
+    past = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("below", F.coalesce(F.sum("neg").over(past), F.lit(0)))
-    sums = bins.groupBy("resample", "model").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp")), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"))
+    sums = bins.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "tp", "fp")), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("area"))
     pos, neg, tp, fp = (F.col(c) for c in ("pos", "neg", "tp", "fp"))
     made = {"accuracy": (tp + neg - fp) / (pos + neg), "f1": 2 * tp / F.greatest(tp + pos + fp, F.lit(1)), "fpr": fp / F.greatest(neg, F.lit(1)), "auc": F.col("area") / F.greatest(pos * neg, F.lit(1))}
-    long = sums.select("resample", "model", F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in made.items()))))
-    wide = long.groupBy("resample", "metric").pivot("model", list(MODELS)).agg(F.first("v"))
-    pairs = F.array(*(F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), (F.col(a) - F.col(b)).alias("difference")) for a, b in PAIRS))
-    return judged(interval(wide.select("metric", F.inline(pairs)), ["model_a", "model_b", "metric"], "difference"))
+    long = sums.select(*by, F.inline(F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("v")) for k, v in made.items()))))
+    differences = long.groupBy(*keys, "resample", "metric").agg(F.sum(F.col("v") * F.col("side")).alias("difference"))
+    return judged(interval(differences, [*keys, "metric"], "difference"))

@@ -476,15 +476,18 @@ def _(s, d):
     return summaries.union_all(frames).groupBy("model").agg(F.count("*").alias("n"), F.sum("pred").alias("alarms"))
 
 
+def _total_sql(cell: str) -> str:
+    """A Poisson draw of mean n for a resample and cell: single draws up to eight rows, a corrected normal quantile beyond."""
+    u = lambda k: sql.uniform("'boot'", "resample", cell, f"'{k}'")
+    single = " + ".join(f"CASE WHEN n > {i} THEN (SELECT {' + '.join(f'(u >= {x!r}::DOUBLE)::INT' for x in inference._AT_MOST)} FROM (SELECT {u(i)} AS u)) ELSE 0 END" for i in range(inference.SINGLE_DRAWS))
+    z = f"(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {u('a')})) * cos(2.0::DOUBLE * pi() * {u('b')}))"
+    return f"(CASE WHEN n <= {inference.SINGLE_DRAWS} THEN {single} ELSE (SELECT greatest(0, floor(n + z * sqrt(n::DOUBLE) + (z * z - 1.0::DOUBLE) / 6.0::DOUBLE + 0.5::DOUBLE)) FROM (SELECT {z} AS z)) END)::BIGINT"
+
+
 def _poisson_sql(resamples: int) -> str:
-    u, total, p, steps = sql.uniform("'boot'", "resample", "row_id"), 0.0, math.exp(-1.0), []
-    for k in range(1, 8):
-        total += p
-        steps.append(total)
-        p /= k
-    w = " + ".join(f"({u} >= {x!r}::DOUBLE)::INT" for x in steps)
-    sums = " UNION ALL ".join(f"SELECT resample, sum(w)::BIGINT AS n, '{m}' AS model, sum(w * ({m}_pred = y)::INT)::BIGINT AS right FROM rw GROUP BY resample" for m in MODELS)
-    return f"WITH {sql.SCORED}, rw AS MATERIALIZED (SELECT resample, y, svm_pred, rf_pred, qsvc_pred, {w} AS w FROM scored, (SELECT unnest(range({resamples}))::INT AS resample)) {sums.replace('AS right', 'AS \"right\"')}"
+    cell = "concat_ws(':', " + ", ".join(MODELS) + ")"
+    sums = " UNION ALL ".join(f"SELECT resample, sum(w)::BIGINT AS n, '{m}' AS model, sum(w * {m})::BIGINT AS \"right\" FROM rw GROUP BY resample" for m in MODELS)
+    return f"WITH {sql.SCORED}, cells AS (SELECT {', '.join(f'({m}_pred = y)::INT AS {m}' for m in MODELS)}, count(*) AS n FROM scored GROUP BY ALL), rw AS MATERIALIZED (SELECT *, {_total_sql(cell)} AS w FROM cells, (SELECT unnest(range({resamples}))::INT AS resample)) {sums}"
 
 
 @query("S11_poisson_bootstrap", _poisson_sql(20))
@@ -890,25 +893,17 @@ def _(s, d):
     return inference.bootstrap(scored(s, d))
 
 
-def _weights_sql() -> str:
-    """Cumulative Poisson probabilities, each step one more."""
-    total, p, steps = 0.0, math.exp(-1.0), []
-    for k in range(1, 8):
-        total += p
-        steps.append(total)
-        p /= k
-    u = sql.uniform("'boot'", "resample", "row_id")
-    return " + ".join(f"({u} >= {x!r}::DOUBLE)::INT" for x in steps)
-
-
 def _paired_sql(resamples: int) -> str:
-    each = " UNION ALL ".join(f"SELECT resample, '{m}' AS model, y, w, {m}_pred AS pred, greatest(0, least(511, floor({m}_score * 512)::INT)) AS bin FROM rw" for m in MODELS)
-    pairs = " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, x.metric, x.v - z.v AS difference FROM tall x JOIN tall z ON x.resample = z.resample AND x.metric = z.metric AND x.model = '{a}' AND z.model = '{b}'" for a, b in agreement.PAIRS)
-    tall = " UNION ALL ".join(f"SELECT resample, model, '{k}' AS metric, {v} AS v FROM sums" for k, v in (("accuracy", "(tp + neg - fp) / (pos + neg)::DOUBLE"), ("f1", "2 * tp / greatest(tp + pos + fp, 1)::DOUBLE"), ("fpr", "fp / greatest(neg, 1)::DOUBLE"), ("auc", "area / greatest(pos * neg, 1)::DOUBLE")))
-    return f"""WITH {sql.SCORED}, rw AS MATERIALIZED (SELECT resample, y, {', '.join(f'{m}_pred, {m}_score' for m in MODELS)}, {_weights_sql()} AS w FROM scored, (SELECT unnest(range({resamples}))::INT AS resample)),
-bins AS (SELECT resample, model, bin, sum(w * y)::BIGINT AS pos, sum(w * (1 - y))::BIGINT AS neg, sum(w * y * pred)::BIGINT AS tp, sum(w * (1 - y) * pred)::BIGINT AS fp FROM ({each}) GROUP BY ALL),
-below AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY resample, model ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lower_neg FROM bins),
-sums AS MATERIALIZED (SELECT resample, model, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(pos * (lower_neg + neg / 2.0::DOUBLE)) AS area FROM below GROUP BY ALL), tall AS MATERIALIZED ({tall}),
+    at = lambda m: f"greatest(0, least(511, floor({m}_score * 512)::INT))"
+    each = " UNION ALL ".join(f"SELECT '{a}' AS model_a, '{b}' AS model_b, y, {a}_pred AS p0, {b}_pred AS p1, {at(a)} AS s0, {at(b)} AS s1 FROM scored" for a, b in agreement.PAIRS)
+    sides = " UNION ALL ".join(f"SELECT model_a, model_b, resample, {1 - 2 * k} AS side, y, w, p{k} AS pred, s{k} AS bin FROM rw" for k in (0, 1))
+    tall = " UNION ALL ".join(f"SELECT model_a, model_b, resample, side, '{k}' AS metric, {v} AS v FROM sums" for k, v in (("accuracy", "(tp + neg - fp) / (pos + neg)::DOUBLE"), ("f1", "2 * tp / greatest(tp + pos + fp, 1)::DOUBLE"), ("fpr", "fp / greatest(neg, 1)::DOUBLE"), ("auc", "area / greatest(pos * neg, 1)::DOUBLE")))
+    pairs = "SELECT model_a, model_b, metric, sum(v * side) AS difference FROM tall GROUP BY model_a, model_b, metric, resample"
+    cell = "concat_ws(':', model_a, model_b, y, p0, p1, s0, s1)"
+    return f"""WITH {sql.SCORED}, cells AS (SELECT *, count(*) AS n FROM ({each}) GROUP BY ALL), rw AS MATERIALIZED (SELECT *, {_total_sql(cell)} AS w FROM cells, (SELECT unnest(range({resamples}))::INT AS resample)),
+bins AS (SELECT model_a, model_b, resample, side, bin, sum(w * y)::BIGINT AS pos, sum(w * (1 - y))::BIGINT AS neg, sum(w * y * pred)::BIGINT AS tp, sum(w * (1 - y) * pred)::BIGINT AS fp FROM ({sides}) WHERE w > 0 GROUP BY ALL),
+below AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY model_a, model_b, resample, side ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lower_neg FROM bins),
+sums AS MATERIALIZED (SELECT model_a, model_b, resample, side, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(pos * (lower_neg + neg / 2.0::DOUBLE)) AS area FROM below GROUP BY ALL), tall AS MATERIALIZED ({tall}),
 i AS (SELECT model_a, model_b, metric, avg(difference) AS mean, stddev_pop(difference) AS se, quantile_cont(difference, 0.025) AS lo, quantile_cont(difference, 0.975) AS hi FROM ({pairs}) GROUP BY ALL),
 o AS (SELECT *, CASE WHEN metric = 'fpr' THEN -hi ELSE lo END AS low, CASE WHEN metric = 'fpr' THEN -lo ELSE hi END AS high FROM i)
 SELECT model_a, model_b, metric, round(mean, 6) AS mean, round(se, 6) AS se, round(lo, 6) AS lower, round(hi, 6) AS upper,

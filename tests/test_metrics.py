@@ -244,3 +244,14 @@ def test_dry_run(spark):
     measured = {"n_train": 200, "n_test": 1000, "test_embed": 50.0, "train_kernel": 0.5, "test_kernel": 2.0, "fit": 0.1, "predict": 0.25}
     r = projection.dry_run(spark.createDataFrame([(400,)], "n_train int"), measured).first()
     assert (r.embed_s, r.train_kernel_s, r.test_kernel_s, r.fit_s, r.predict_s, r.total_s, r.test_matrix_mb) == (20.0, 2.0, 4.0, 0.4, 0.25, 26.65, 3.05)
+
+
+def test_poisson_totals(spark):
+    """Mean and variance of a draw are the rows of its cell, whether drawn singly or by the normal quantile; draws differ by cell and resample."""
+    sizes = (1, 3, 8, 9, 20, 400)
+    df = spark.range(6000).select(F.col("id").cast("int").alias("r"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    drawn = df.withColumn("w", inference.poisson_total("t", F.col("r"), F.concat(F.lit("cell"), F.col("n").cast("string")), F.col("n")))
+    for r in drawn.groupBy("n").agg(F.avg("w").alias("mean"), F.var_samp("w").alias("var"), F.min("w").alias("least"), F.count("*").alias("c")).collect():
+        assert r.c == 6000 and r.least >= 0
+        assert abs(r.mean - r.n) < 5 * math.sqrt(r.n / 6000) and abs(r["var"] / r.n - 1) < 0.12
+    assert drawn.where("n = 1 AND w = 0").count() / 6000 == pytest.approx(math.exp(-1), abs=0.03)
