@@ -5,8 +5,8 @@ a fixed depth: lines of one leaf agree in their number of tokens and in their LE
 A node's template keeps the token that more than half of its lines have at a place and generalises
 the other places; a line belongs to it if at least SIMILAR of its tokens are the template's own.
 A leaf may hold several templates: the lines that do not fit are dealt to new nodes, each by the token
-that most of them share but not all (the first such place on ties), SPLITS times; so a template is
-found whatever other lines share its leaf. Besides, lines that differ in variable fields only are one
+that most of them share but not all (the first such place on ties), again and again until no node
+has MIN_DOCS lines left that do not fit; so a template is found whatever other lines share its leaf. Besides, lines that differ in variable fields only are one
 template, whatever their node. A template found in at least MIN_DOCS different texts recurs, and its
 lines are dropped from every document. Lines without a token stay.
 
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .groups import splittable
 from .shared import cut, read
 
-LEADING, MIN_DOCS, SIMILAR, SPLITS, FIELD = 3, 5, 0.6, 2, "<*>"
+LEADING, MIN_DOCS, SIMILAR, FIELD = 3, 5, 0.6, "<*>"
+#: Rounds of splitting that the SQL tells; there are as many as the lines need.
+SQL_ROUNDS = 10
 
 
 def _fields(tokens: Column) -> Column:
@@ -50,29 +52,29 @@ def _templates(shapes: DataFrame) -> DataFrame:
     return places.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "token"))), lambda x: x["token"]).alias("template"))
 
 
-def _dealt(rest: DataFrame) -> DataFrame:
-    """rest (node, shape, tokens, c) in new nodes; shapes that share no such token with another stay out."""
-    total = rest.groupBy("node").agg(F.sum("c").alias("total"))
+def _dealt(rest: DataFrame, least: int) -> DataFrame:
+    """rest (node, shape, tokens, c) in new nodes, each of fewer lines; shapes that share no such token with another stay out, and nodes of fewer than `least` lines."""
+    total = rest.groupBy("node").agg(F.sum("c").alias("total")).where(F.col("total") >= least)
     shared = _cells(rest).where((F.col("token") != FIELD) & (F.col("c") > 1)).join(total, "node").where("c < total").select("node", "p", "token", F.col("c").alias("n"))
     places = rest.select("node", "shape", F.posexplode("tokens").alias("p", "token")).join(shared, ["node", "p", "token"])
     best = places.groupBy("node", "shape").agg(F.max_by(F.struct("p", "token"), F.struct("n", -F.col("p"))).alias("by"))
     return rest.join(best, ["node", "shape"]).select(F.xxhash64("node", "by.p", "by.token").alias("node"), "shape", "tokens", "c")
 
 
-def groups_of(near: DataFrame, similar: float = SIMILAR, splits: int = SPLITS) -> DataFrame:
-    """(shape, node): the template of each different line of near (leaf, shape, tokens), if it fits one."""
+def groups_of(near: DataFrame, similar: float = SIMILAR, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(shape, node): the template of each different line of near (leaf, shape, tokens), if it fits one that enough lines may share."""
     # Equal lines of a leaf count once, with their number.
     shapes = near.groupBy(F.col("leaf").alias("node"), "shape").agg(F.first("tokens").alias("tokens"), F.count("*").alias("c"))
     own = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b) & (b != FIELD)), lambda x: x))
     out = None
-    for k in range(splits + 1):
+    while True:
         judged = shapes.join(_templates(shapes), "node").withColumn("fits", own >= F.ceil(F.lit(similar) * F.size("tokens") - 1e-9))
-        judged = cut(judged.select("node", "shape", "tokens", "c", "fits"), f"judged-{k}")
+        judged = cut(judged.select("node", "shape", "tokens", "c", "fits"), "judged")
         got = judged.where("fits").select("shape", "node")
         out = got if out is None else out.unionByName(got)
-        if k < splits:
-            shapes = _dealt(judged.where("not fits"))
-    return out
+        shapes = cut(_dealt(judged.where("not fits"), min_docs), "dealt")
+        if shapes.isEmpty():
+            return out
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float = SIMILAR) -> DataFrame:
@@ -88,7 +90,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similar: float =
 
     often = lambda filed: filed.select("group", "tkey").distinct().groupBy("group").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("group")
     seen = near.select("tkey", "pos", "shape").withColumn("group", F.col("shape"))
-    filed = cut(near.select("tkey", "pos", "shape").join(groups_of(near, similar), "shape").withColumnRenamed("node", "group"), "filed")
+    filed = cut(near.select("tkey", "pos", "shape").join(groups_of(near, similar, min_docs), "shape").withColumnRenamed("node", "group"), "filed")
     gone = splittable(seen, often(seen), "group").select("tkey", "pos").unionByName(splittable(filed, often(filed), "group").select("tkey", "pos"))
     return gone.groupBy("tkey").agg(F.collect_set("pos").alias("dropped"))
 
@@ -119,16 +121,16 @@ parsed AS (SELECT text, pos, [CASE WHEN regexp_matches(t, '[0-9]') THEN '{FIELD}
 near AS MATERIALIZED (SELECT * FROM parsed WHERE len(tokens) > 0),
 shapes0 AS MATERIALIZED (SELECT [len(tokens)::VARCHAR] || tokens[1:{LEADING}] AS node, tokens, count(*) AS c FROM near GROUP BY tokens)"""]
     cells = "SELECT node, p, token, sum(c) AS c FROM (SELECT node, c, unnest(range(len(tokens))) AS p, unnest(tokens) AS token FROM {0}) GROUP BY ALL"
-    for k in range(SPLITS + 1):
+    for k in range(SQL_ROUNDS + 1):
         parts.append(f"""places{k} AS (SELECT node, p, CASE WHEN max(c) * 2 > sum(c) THEN arg_max(token, c) ELSE '{FIELD}' END AS token FROM ({cells.format(f'shapes{k}')}) GROUP BY node, p),
 templates{k} AS (SELECT node, list(token ORDER BY p) AS template FROM places{k} GROUP BY node),
 judged{k} AS MATERIALIZED (SELECT node, tokens, c, len([i FOR i IN range(1, len(tokens) + 1) IF tokens[i] = template[i] AND template[i] <> '{FIELD}']) >= ceil({SIMILAR}::DOUBLE * len(tokens) - 1e-9) AS fits FROM shapes{k} JOIN templates{k} USING (node))""")
-        if k < SPLITS:
+        if k < SQL_ROUNDS:
             parts.append(f"""rest{k} AS MATERIALIZED (SELECT node, tokens, c FROM judged{k} WHERE NOT fits),
-shared{k} AS (SELECT * FROM ({cells.format(f'rest{k}')}) JOIN (SELECT node, sum(c) AS total FROM rest{k} GROUP BY node) USING (node) WHERE token <> '{FIELD}' AND c > 1 AND c < total),
+shared{k} AS (SELECT * FROM ({cells.format(f'rest{k}')}) JOIN (SELECT node, sum(c) AS total FROM rest{k} GROUP BY node HAVING sum(c) >= {MIN_DOCS}) USING (node) WHERE token <> '{FIELD}' AND c > 1 AND c < total),
 best{k} AS (SELECT node, tokens, arg_max([p::VARCHAR, token], [s.c, -p]) AS step FROM (SELECT node, tokens, unnest(range(len(tokens))) AS p, unnest(tokens) AS token FROM rest{k}) JOIN shared{k} s USING (node, p, token) GROUP BY node, tokens),
 shapes{k + 1} AS MATERIALIZED (SELECT node || step AS node, tokens, c FROM rest{k} JOIN best{k} USING (node, tokens))""")
-    fitting = " UNION ALL ".join(f"SELECT node, tokens FROM judged{k} WHERE fits" for k in range(SPLITS + 1))
+    fitting = " UNION ALL ".join(f"SELECT node, tokens FROM judged{k} WHERE fits" for k in range(SQL_ROUNDS + 1))
     return f"""WITH {', '.join(parts)},
 filed AS (SELECT text, pos, node FROM near JOIN ({fitting}) USING (tokens)),
 exact AS (SELECT tokens FROM near GROUP BY tokens HAVING count(DISTINCT text) >= {MIN_DOCS}),
