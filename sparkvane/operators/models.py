@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import held
-from . import calibrate, metrics, split, svm, sweeps, trees
+from . import calibrate, landmarks, metrics, split, svm, sweeps, trees
 from .prepare import AngleScaler, Scaler
-from .sweeps import random_features, state_features
+from .sweeps import state_features
 
 # Hyper-parameter grids of cross-validation, of tuning, and what the learning curves take.
 FOREST_GRID = [{"trees": t, "depth": d, "leaf": m} for t in (50, 100) for d in (10, 20) for m in (1, 2)]
@@ -125,33 +125,35 @@ def boosting(train: DataFrame, columns: list[str], y: str = "y", rounds: int = 2
     return boosters(train, columns, y, [{"rounds": rounds, "rate": rate, "depth": depth}])[0]
 
 
-def machines(name: str, scale: Callable[[DataFrame], DataFrame], features: Callable, train: DataFrame, columns: list[str], y: str, grid: list[dict]) -> list[Fitted]:
-    """A machine for each cell of a grid that differs in c alone: every pass maps the rows once for all of them."""
+def machines(name: str, scale: Callable[[DataFrame], DataFrame], features: Callable[[DataFrame], svm.Map], train: DataFrame, columns: list[str], y: str, grid: list[dict]) -> list[Fitted]:
+    """A machine for each cell of a grid that differs in c alone: every pass maps the rows once for all of them. features are made from the scaled rows."""
     began = time.perf_counter()
     few, _, parts = _packed(scale(train))
-    got = svm.fit(few, columns, y, features, [float(p["c"]) for p in grid], parts)
+    made = features(few)
+    got = svm.fit(few, columns, y, made, [float(p["c"]) for p in grid], parts)
     took = time.perf_counter() - began
-    return [Fitted(name, scale, svm.Machine(columns, features, w, b), p, took) for p, (w, b) in zip(grid, got, strict=True)]
+    return [Fitted(name, scale, svm.Machine(columns, made, w, b), p, took) for p, (w, b) in zip(grid, got, strict=True)]
 
 
-def rbf_svms(train: DataFrame, columns: list[str], y: str, grid: list[dict], size: int = 256, seed: int = 42) -> list[Fitted]:
-    """Gaussian-kernel SVMs by random features; the scaler is fitted on train, so gamma `scale` and `auto` are both 1 / columns."""
+def rbf_svms(train: DataFrame, columns: list[str], y: str, grid: list[dict], error: float = landmarks.ERROR, most: int = landmarks.MOST) -> list[Fitted]:
+    """Gaussian-kernel SVMs by landmark features, as many as miss no more than `error` of the kernel's trace (but at most `most`); the scaler is fitted on train, so gamma `scale` and `auto` are both 1 / columns."""
     scaler = Scaler(train, columns, skewed=float("inf"))
     width = lambda p: p["gamma"] if isinstance(p.get("gamma"), float) else 1 / len(columns)
     out: dict[int, Fitted] = {}
     for g in sorted({width(p) for p in grid}):
         own = [k for k, p in enumerate(grid) if width(p) == g]
-        out |= dict(zip(own, machines("svm", scaler.transform, random_features(len(columns), g, size, seed), train, columns, y, [grid[k] for k in own]), strict=True))
+        features = lambda rows, g=g: landmarks.landmarks(rows, columns, g, error, most).features
+        out |= dict(zip(own, machines("svm", scaler.transform, features, train, columns, y, [grid[k] for k in own]), strict=True))
     return [out[k] for k in range(len(grid))]
 
 
 def kernel_svms(train: DataFrame, columns: list[str], y: str, grid: list[dict], reps: int = 2) -> list[Fitted]:
     """Fidelity-kernel SVMs as linear ones on the explicit map: linear in rows, no matrix of all pairs."""
-    return machines("qsvc", AngleScaler(train, columns).transform, state_features(reps), train, columns, y, grid)
+    return machines("qsvc", AngleScaler(train, columns).transform, lambda _: state_features(reps), train, columns, y, grid)
 
 
-def rbf_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, gamma: str | float = "scale", size: int = 256, seed: int = 42) -> Fitted:
-    return rbf_svms(train, columns, y, [{"c": c, "gamma": gamma}], size, seed)[0]
+def rbf_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, gamma: str | float = "scale") -> Fitted:
+    return rbf_svms(train, columns, y, [{"c": c, "gamma": gamma}])[0]
 
 
 def kernel_svm(train: DataFrame, columns: list[str], y: str = "y", c: float = 1.0, reps: int = 2) -> Fitted:

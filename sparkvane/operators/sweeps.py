@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel, svm, trees
+from . import kernel, landmarks, svm, trees
 
 MOST = 250_000
 Scorer = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -29,13 +29,6 @@ _OUT = pa.schema([("unit", pa.int32()), ("n_train", pa.int32()), ("grid_pos", pa
 _OUT_DDL = "unit int, n_train int, grid_pos int, split string, y int, score double, pred int, f1 double, status string"
 
 
-def random_features(width: int, gamma: float, size: int = 256, seed: int = 42) -> svm.Map:
-    """Random Fourier features of the Gaussian kernel exp(-gamma |x - x'|^2)."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (width, size)), rng.uniform(0, 2 * np.pi, size)
-    return lambda x: np.cos(x @ w + b) * np.sqrt(2 / size)
-
-
 def state_features(reps: int = 2) -> svm.Map:
     """The explicit map of the fidelity kernel."""
     return lambda x: kernel.explicit_map(kernel.states(x, reps))
@@ -103,7 +96,8 @@ def gaussian_machines(x: np.ndarray, y: np.ndarray, keys: np.ndarray, grid: list
     out: dict[int, Scorer] = {}
     for g in sorted({width(p) for p in grid}):
         own = [k for k, p in enumerate(grid) if width(p) == g]
-        out |= dict(zip(own, _machines(x, y, random_features(x.shape[1], g), lambda v: (v - mean) / std, [float(grid[k]["c"]) for k in own]), strict=True))
+        factor = landmarks.local_landmarks((x - mean) / std, g)
+        out |= dict(zip(own, _machines(x, y, factor.features, lambda v: (v - mean) / std, [float(grid[k]["c"]) for k in own]), strict=True))
     return [out[k] for k in range(len(grid))]
 
 

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from sparkvane.operators import jobs, models, select, svm
+from sparkvane.operators import jobs, landmarks, models, select, svm
 from sparkvane.sources import tables
 
 
@@ -19,7 +19,7 @@ def ring(spark, n=400, seed=0):
 
 def test_svm_is_at_its_minimum_however_rows_are_dealt(spark):
     x, y, df = ring(spark)
-    features = models.random_features(2, 0.5, 40)
+    features = landmarks.local_landmarks(x, 0.5, most=40).features
     one, many = (svm.fit(df.repartition(p), ["a", "b"], "y", features, [0.5, 5.0], p) for p in (1, 20))
     phi, sign = np.concatenate([features(x), np.ones((len(x), 1))], axis=1), 2 * y - 1
     for c, (w, b), (w2, b2) in zip((0.5, 5.0), one, many, strict=True):
@@ -115,3 +115,27 @@ def test_disagreement_and_versions(spark):
     got = {(r.section, r.subject, r.measure): r.value for r in jobs.disagreement(df).collect()}
     assert got["pairs", "svm-rf", "disagree"] == 5 and got["unanimity", "all", "unanimous"] == 35 and got["majority", "vote", "svm"] == 1.0
     assert {r.name for r in jobs.versions(spark).collect()} >= {"python", "spark"}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_landmark_features_are_the_kernel(spark, parts):
+    """What the features miss of the kernel is what is stated, on all pairs of 500 rows; few landmarks are enough for a smooth kernel."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(500, 4))
+    x[100:140] = x[0]  # rows that repeat are one landmark
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double, d double").repartition(parts)
+    want = landmarks.gaussian(x, x, 0.1)
+    for error in (0.2, 0.01):
+        got, near = landmarks.landmarks(df, list("abcd"), 0.1, error), landmarks.local_landmarks(x, 0.1, error)
+        for f in (got, near):
+            phi = f.features(x)
+            left = want - phi @ phi.T
+            assert np.trace(left) / 500 == pytest.approx(f.missed, abs=1e-9) and f.missed <= error
+            assert np.abs(left).max() <= np.diag(left).max() + 1e-9 and np.linalg.eigvalsh(left).min() > -1e-8
+            assert np.abs(phi @ phi.T - want)[:, 0].max() < 1  # and the landmarks' own values are exact
+            own = f.features(f.points)
+            assert np.abs(own @ own.T - landmarks.gaussian(f.points, f.points, 0.1)).max() < 1e-6
+        assert abs(len(got.points) - len(near.points)) <= landmarks.STEP
+    assert len(landmarks.local_landmarks(x, 0.1, 0.2).points) < len(near.points) < 256
+    assert len(landmarks.landmarks(df, list("abcd"), 50.0, 0.01, 40).points) == 40
+    assert len(landmarks.landmarks(df.limit(0), list("abcd"), 0.1).points) == 0 and landmarks.local_landmarks(x[:0], 0.1).features(x).shape == (500, 0)

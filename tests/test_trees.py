@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkvane.operators import jobs, metrics, models, split, svm, sweeps, trees
+from sparkvane.operators import jobs, landmarks, metrics, models, split, svm, sweeps, trees
 
 
 def made_rows(n=600, seed=0):
@@ -221,7 +221,7 @@ def test_local_machines_are_the_spread_ones(table):
     df, columns = table
     rows = df.select("y", *columns).collect()
     x, y = np.array([[r[c] for c in columns] for r in rows]), np.array([r.y for r in rows])
-    features = models.random_features(5, 0.2, 30)
+    features = landmarks.local_landmarks(x, 0.2, most=30).features
     for (w, b), (v, c) in zip(svm.fit_local(x, y, features, [0.5, 20.0]), svm.fit(df.repartition(3), columns, "y", features, [0.5, 20.0], 3), strict=True):
         assert np.abs(w - v).max() < 1e-3 and abs(b - c) < 1e-3
 
