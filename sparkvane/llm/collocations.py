@@ -36,7 +36,7 @@ from .groups import splittable
 from .shared import cut, mix64, parts_for, read, small_batches
 
 DEPTH, MIN_COUNT, FIRST, WITHIN_PERCENT = 4, 30, 2000, 80
-SLICE = 16 << 20
+SLICE = 32 << 20
 CELL_BITS, BLOCK_BITS, FILTER_BITS = 32, 24, 26
 
 _KIND = np.zeros(256, np.uint8)
@@ -54,11 +54,13 @@ class Words:
         joined = b"\n".join(pc.fill_null(texts.cast(pa.binary()), b"").to_pylist())
         data = _LOWER[np.frombuffer(joined, np.uint8)]
         kind = _KIND[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[1], kind, [1]]) == 0))
+        inside = np.zeros(len(kind) + 2, bool)
+        inside[1:-1] = kind == 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
-        stops = np.concatenate([[0], np.cumsum(kind == 2, dtype=np.int64)])
+        stops = np.flatnonzero(kind == 2)
         self.first = np.ones(len(starts), bool)
-        self.first[1:] = stops[starts[1:]] != stops[ends[:-1]]
+        self.first[1:] = np.searchsorted(stops, starts[1:]) != np.searchsorted(stops, ends[:-1])
 
         # The words' bytes one after the other, as an Arrow array.
         held = data[kind == 0].tobytes()
@@ -69,6 +71,7 @@ class Words:
         rank[order] = np.arange(len(order))
         self.words = found.dictionary.take(pa.array(order))
         self.ids = rank[found.indices.to_numpy()]
+        del data, kind, inside, edges, held, found
 
         own = pc.fill_null(langs, "und").dictionary_encode()
         self.names = own.dictionary.to_pylist()
