@@ -114,7 +114,7 @@ def brute_lines(texts):
     nodes = {}
     for k, w in lines.items():
         nodes.setdefault((len(w), w[: m.LEADING]), []).append(k)
-    while nodes:
+    for _ in range(m.SPLITS + 1):
         after = {}
         for node, ks in nodes.items():
             n, rest = len(lines[ks[0]]), []
@@ -126,7 +126,7 @@ def brute_lines(texts):
                 else:
                     rest.append(k)
             counts = [Counter(lines[k][p] for k in rest) for p in range(n)]
-            for k in rest if len(rest) >= m.MIN_DOCS else []:
+            for k in rest:
                 some = [(counts[p][t], -p, t) for p, t in enumerate(lines[k]) if t != m.FIELD and 1 < counts[p][t] < len(rest)]
                 if some:
                     after.setdefault((node, max(some)[1:]), []).append(k)
