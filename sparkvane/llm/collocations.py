@@ -36,7 +36,7 @@ from .groups import splittable
 from .shared import cut, mix64, parts_for, read, small_batches
 
 DEPTH, MIN_COUNT, FIRST, WITHIN_PERCENT = 4, 30, 2000, 80
-SLICE = 32 << 20
+SLICE = 16 << 20
 CELL_BITS, BLOCK_BITS, FILTER_BITS = 32, 24, 26
 
 _KIND = np.zeros(256, np.uint8)
