@@ -100,6 +100,22 @@ def tuning(df: DataFrame, columns: list[str], names: list[str], row_id: str, y:
     return df.sparkSession.createDataFrame(rows, "model string, grid_pos int, params string, seeds long, " + ", ".join(f"{k}_{n} double" for k in measures for n in ("mean", "std")) + ", best boolean")
 
 
+def tuned(df: DataFrame, columns: list[str], names: list[str], row_id: str, y: str = "y", sizes: dict[str, int] | None = None, seed: int = SEEDS[0], grids: dict[str, list[dict]] | None = None) -> DataFrame:
+    """A row for each model: its cell of the highest F1 on `tune` (the first on ties), fitted on `train` and judged once on `test`."""
+    sizes, grids = sizes or PROTOCOL, grids or models.GRIDS
+    parts = {k: sizes[k] for k in ("train", "tune", "test")}
+    units, own = _units((seed,), {"all": columns}, names, grids, [(parts["train"], None)], True, ["test"])
+    with held(_run(df, parts, units, own, row_id, y, split.label_counts(df, y))) as got:
+        status = _statuses(got)
+        judged = {r.unit: r for r in metrics.evaluate(got.where("split = 'test'"), ["unit", "grid_pos"], "y").collect()}
+    rows = []
+    for u in units:
+        r = judged.get(u["unit"])
+        kept = (json.dumps(u["grid"][r.grid_pos], sort_keys=True), r.tn + r.fp + r.fn + r.tp, *(r[k] for k in _METRICS)) if r else (None, 0, *[None] * 6)
+        rows.append((u["model"], status[u["unit"], parts["train"]], *kept))
+    return df.sparkSession.createDataFrame(rows, "model string, status string, params string, n long, " + ", ".join(f"{k} double" for k in _METRICS))
+
+
 def benchmark(df: DataFrame, sets: dict[str, list[str]], names: list[str], row_id: str, y: str = "y", sizes: dict[str, int] | None = None, seeds: tuple[int, ...] = SEEDS, grids: dict[str, list[dict]] | None = None, targets: tuple[float, ...] = (0.01, 0.02)) -> DataFrame:
     """Tuned on `tune`, fitted on `train`, thresholds frozen on `cal`, judged on `test`: a row for each seed, feature set, model and target.
 

@@ -236,6 +236,8 @@ def test_tuning_and_choice(spark, table):
     assert all(r.status == "ok" and r.cells == 2 and "rounds\": 20" in r.params and r.tune_f1 > 0.8 and r.auc > 0.9 for r in bench if r.model == "hgb")
     # Of some 75 negatives a hundredth is less than one: no threshold, and no counts.
     assert [(r.threshold is None, r.tn + r.fp + r.fn + r.tp) for r in bench if r.model == "hgb"] == [(True, 0), (False, 150)]
+    once = jobs.tuned(df, columns, ["rf", "absent"], "row_id", sizes={"train": 200, "tune": 100, "cal": 1, "test": 150}, seed=4, grids={"rf": [{"trees": 1, "depth": 1}, {"trees": 20, "depth": 6}]}).collect()
+    assert [(r.model, r.status, r.n) for r in once] == [("rf", "ok", 150), ("absent", "failed: KeyError: 'absent'", 0)] and once[0].auc > 0.8 and '"depth": 6' in once[0].params
     with pytest.raises(RuntimeError, match="KeyError"):
         jobs.learning_curves(df, columns, ["absent"], "row_id", sizes=(50,), test=50, seeds=(1,))
     with pytest.raises(ValueError):
