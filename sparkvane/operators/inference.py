@@ -170,12 +170,11 @@ def poisson_total(seed: str, resample: Column, cell: Column, n: Column) -> Colum
     """
     from ..functions.columns import uniform
 
-    single = F.lit(0)
-    for i in range(SINGLE_DRAWS):
-        u = uniform(seed, resample, cell, str(i))
-        single = single + F.when(n > i, sum(((u >= F.lit(x)).cast("int") for x in _AT_MOST), F.lit(0))).otherwise(0)
-    z = F.sqrt(-2.0 * F.log(1.0 - uniform(seed, resample, cell, "a"))) * F.cos(2.0 * math.pi * uniform(seed, resample, cell, "b"))
-    many = F.floor(n + z * F.sqrt(n.cast("double")) + (z * z - 1.0) / 6.0 + 0.5)
+    # Within a lambda a draw is made once, however often it is compared.
+    draws = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(SINGLE_DRAWS)).cast("int") - 1), lambda i: uniform(seed, resample, cell, i))
+    single = F.aggregate(draws, F.lit(0), lambda total, u: total + sum(((u >= F.lit(x)).cast("int") for x in _AT_MOST[1:]), (u >= F.lit(_AT_MOST[0])).cast("int")))
+    normal = F.sqrt(-2.0 * F.log(1.0 - uniform(seed, resample, cell, "a"))) * F.cos(2.0 * math.pi * uniform(seed, resample, cell, "b"))
+    many = F.get(F.transform(F.array(normal), lambda z: F.floor(n + z * F.sqrt(n.cast("double")) + (z * z - 1.0) / 6.0 + 0.5)), F.lit(0))
     return F.when(n <= SINGLE_DRAWS, single).otherwise(F.greatest(F.lit(0), many)).cast("long")
 
 
